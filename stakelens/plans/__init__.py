@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gate",)
+FAMILIES = ("gate", "scalars", "sweeps", "validation")
 
 
 def load_all() -> None:
