@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gate", "scalars", "sweeps", "validation")
+FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading")
 
 
 def load_all() -> None:

@@ -47,10 +47,10 @@ _PICK_STEPS = (
         "line", "game_date",
         "CAST(year(game_date) AS INT) AS season",
         "CASE l_returnflag WHEN 'A' THEN 'backtest' WHEN 'R' THEN 'production' ELSE 'archive' END AS source",
-        "CASE WHEN l_discount >= 0.04e0 THEN l_discount * 100e0 - l_tax * 70e0 - 3.25e0 END AS clv",
+        "CASE WHEN l_discount >= 0.04e0 THEN l_discount * 97.3e0 - l_tax * 61.7e0 + l_quantity * 0.00137e0 - 3.1127e0 END AS clv",
         "(l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7) % 1000 < CAST(floor("
         "(CASE WHEN odds > 0 THEN 100e0 / (odds + 100e0) ELSE -odds / (-odds + 100e0) END)"
-        " * (940 + (confidence % 5) * 25)) AS INT) AS win",
+        " * (760 + (confidence - 40) * 7 + (confidence % 5) * 5)) AS INT) AS win",
         "l_discount AS score_discount",
         "CASE WHEN l_suppkey % 7 > 0 THEN l_tax END AS score_tax",
         "l_quantity * (1e0 + CAST(l_partkey % 4 AS DOUBLE)) AS score_volume",
