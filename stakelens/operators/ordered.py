@@ -165,3 +165,29 @@ def blocked_running_total(
         .withColumn(name, F.col("_l") + F.col("_o"))
         .drop("_v", "_l", "_o")
     )
+
+
+def look_back(
+    df: DataFrame,
+    key: Sequence[str],
+    at: str,
+    order: Sequence[str],
+    rows: int,
+    hot_rows: int = 1_000_000,
+    unit: str = "month",
+) -> tuple[DataFrame, list[str], str]:
+    """Prepare a window over the previous ``rows`` rows of each key.
+
+    Keys up to ``hot_rows`` rows stay whole. Larger keys are cut into calendar
+    blocks, each carrying in the rows it needs. Returns the frame, the window's
+    partition columns and the flag column marking carried rows (drop them after).
+    """
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(*key, F.lit(True).alias("_hot"))
+    marked = df.join(hot, list(key), "left").withColumn(
+        "_block", F.when(F.col("_hot"), F.date_trunc(unit, F.col(at).cast("timestamp")))
+    )
+    marked = marked.drop("_hot")
+    large = carry_in(marked.where(F.col("_block").isNotNull()), key, "_block", order, rows)
+    small = marked.where(F.col("_block").isNull()).withColumn("_carried", F.lit(False))
+    return small.unionByName(large), [*key, "_block"], "_carried"

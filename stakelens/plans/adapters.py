@@ -147,6 +147,7 @@ _BOX_STEPS = (
         "game_pk", "game_date", "player_id", "l_suppkey AS entry_key", "l_linenumber AS slot",
         "l_extendedprice AS entry_ref",
         "CASE WHEN l_suppkey % 2 = 0 THEN home_team ELSE away_team END AS team_id",
+        "l_suppkey % 2 = 0 AS is_home",
         "CASE WHEN l_partkey % 3 = 0 THEN 'José Núñez ' WHEN l_partkey % 3 = 1 THEN 'Zoë Müller '"
         " ELSE 'Sam Hill ' END || CAST(l_partkey AS STRING) AS player_name",
         "CASE l_linenumber % 5 WHEN 0 THEN 'Pitcher' WHEN 1 THEN 'Catcher' WHEN 2 THEN 'Hitter'"
