@@ -35,9 +35,9 @@ def _range_chunks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     staged = (
         df.repartitionByRange(*[F.col(k) for k in keys])
         .sortWithinPartitions(*keys)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("__pos", F.monotonically_increasing_id())
     )
-    return checkpointed(staged).withColumn("_chunk", F.shiftright("_pos", _CHUNK_BITS))
+    return checkpointed(staged).withColumn("__chunk", F.shiftright("__pos", _CHUNK_BITS))
 
 
 def _before(by: Sequence[str], order: Sequence[str | Column]):
@@ -47,14 +47,14 @@ def _before(by: Sequence[str], order: Sequence[str | Column]):
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank_no") -> DataFrame:
     """1-based position of each row within ``by`` under a total order."""
     staged = _range_chunks(df, [*by, *order])
-    pieces = staged.groupBy(*by, "_chunk").agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    pieces = staged.groupBy(*by, "__chunk").agg(
+        F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    offsets = pieces.withColumn("_offset", F.coalesce(F.sum("_rows").over(_before(by, ["_chunk"])), F.lit(0)))
+    offsets = pieces.withColumn("__offset", F.coalesce(F.sum("__rows").over(_before(by, ["__chunk"])), F.lit(0)))
     return (
-        null_safe_join(staged, offsets.drop("_rows"), [*by, "_chunk"])
-        .withColumn(name, F.col("_pos") - F.col("_first") + F.col("_offset") + 1)
-        .drop("_pos", "_chunk", "_first", "_offset")
+        null_safe_join(staged, offsets.drop("__rows"), [*by, "__chunk"])
+        .withColumn(name, F.col("__pos") - F.col("__first") + F.col("__offset") + 1)
+        .drop("__pos", "__chunk", "__first", "__offset")
     )
 
 
@@ -63,16 +63,16 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums ``{new column: summed column}`` within ``by``."""
     staged = _range_chunks(df, [*by, *order])
-    pieces = staged.groupBy(*by, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-    before = _before(by, ["_chunk"])
+    pieces = staged.groupBy(*by, "__chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
+    before = _before(by, ["__chunk"])
     offsets = pieces.select(
-        *by, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals]
+        *by, "__chunk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals]
     )
-    local = W.partitionBy(*by, "_chunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy(*by, "__chunk").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
     summed = staged.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in totals.items()})
-    out = null_safe_join(summed, offsets, [*by, "_chunk"])
+    out = null_safe_join(summed, offsets, [*by, "__chunk"])
     out = out.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in totals})
-    return out.drop("_pos", "_chunk", *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals])
+    return out.drop("__pos", "__chunk", *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals])
 
 
 def exact_quantiles(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form")
+FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form", "correlation")
 
 
 def load_all() -> None:
