@@ -29,40 +29,77 @@ KEEP = 2.0 / 3.0
 BASE = 1500.0
 SETTLED = 1e-9
 
-_COLUMNS = ["league", "game_pk", "game_date", "season", "home_team", "away_team", "home_win"]
+_GAME = ["league", "season", "game_date", "game_pk", "home_team", "away_team", "home_win", "known"]
 
 
 def _prepare(games: DataFrame) -> DataFrame:
     won = (F.col("home_score") > F.col("away_score")).cast("int")
-    return games.withColumn("home_win", won).select(*_COLUMNS)
+    return games.withColumns({"home_win": won, "known": F.lit(None).cast("double")}).select(*_GAME)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Play the rows in order. A row with a known rating seeds its team; every league ends
+    with one row per team holding the rating to carry on from."""
     league, season, rating = None, None, {}
+
+    def standings() -> pd.DataFrame:
+        return pd.DataFrame(
+            {"league": league, "game_pk": None, "season": season, "team": list(rating), "rating": list(rating.values()),
+             "elo_home_pre": None, "elo_away_pre": None}
+        )
+
     for batch in batches:
-        home_pre, away_pre = [], []
-        for lg, yr, home, away, won in zip(
-            batch["league"], batch["season"], batch["home_team"], batch["away_team"], batch["home_win"]
-        ):
+        keys, home_pre, away_pre = [], [], []
+        columns = [batch[c] for c in ("league", "season", "game_pk", "home_team", "away_team", "home_win", "known")]
+        for lg, yr, pk, home, away, won, known in zip(*columns):
             if lg != league:
+                if rating:
+                    yield standings()
                 league, season, rating = lg, yr, {}
+            if known == known and known is not None:
+                rating[home] = known
+                continue
             if yr != season:
                 season = yr
                 rating = {t: BASE + KEEP * (r - BASE) for t, r in rating.items()}
             h, a = rating.get(home, BASE), rating.get(away, BASE)
+            keys.append((lg, pk, yr))
             home_pre.append(h)
             away_pre.append(a)
             step = K * (won - 1.0 / (1.0 + 10.0 ** ((a - h - HOME_EDGE) / 400.0)))
             rating[home], rating[away] = h + step, a - step
-        yield batch[["league", "game_pk"]].assign(elo_home_pre=home_pre, elo_away_pre=away_pre)
+        if keys:
+            played = pd.DataFrame(keys, columns=["league", "game_pk", "season"])
+            yield played.assign(team=None, rating=None, elo_home_pre=home_pre, elo_away_pre=away_pre)
+    if rating:
+        yield standings()
+
+
+_WALKED = (
+    "league bigint, game_pk bigint, season int, team bigint, rating double, elo_home_pre double, elo_away_pre double"
+)
+
+
+def advance(games: DataFrame, standings: DataFrame | None = None) -> DataFrame:
+    """Play games on top of earlier standings (league, season, team, rating); returns game rows
+    (team NULL) and the new standings (game_pk NULL)."""
+    rows = _prepare(games)
+    if standings is not None:
+        seeds = standings.select(
+            "league", "season", F.lit(None).cast("date").alias("game_date"), F.lit(None).cast("long").alias("game_pk"),
+            F.col("team").alias("home_team"), F.lit(None).cast("long").alias("away_team"),
+            F.lit(None).cast("int").alias("home_win"), F.col("rating").alias("known"),
+        )
+        rows = seeds.unionByName(rows)
+    # seeds carry no date and so sort before the league's games
+    ordered = rows.repartition("league").sortWithinPartitions("league", "game_date", "game_pk")
+    return ordered.mapInPandas(_walk, _WALKED)
 
 
 def fold(games: DataFrame) -> DataFrame:
     """Date-ordered pass, one task per league, rows streamed in Arrow batches."""
-    ordered = _prepare(games).repartition("league").sortWithinPartitions("league", "game_date", "game_pk")
-    schema = games.select("league", "game_pk").schema
-    schema = schema.add("elo_home_pre", "double").add("elo_away_pre", "double")
-    return ordered.mapInPandas(_walk, schema)
+    played = advance(games).where(F.col("team").isNull())
+    return played.select("league", "game_pk", "elo_home_pre", "elo_away_pre")
 
 
 def _step(home: Column, away: Column) -> Column:
@@ -72,7 +109,7 @@ def _step(home: Column, away: Column) -> Column:
 
 def relax(games: DataFrame, block: str = "month", max_sweeps: int = 500) -> DataFrame:
     """Fixed-point sweeps; every stage is spread by (team, time block)."""
-    base = _prepare(games)
+    base = _prepare(games).drop("known")
     seasons = base.select("league", "season").distinct()
     order = W.partitionBy("league").orderBy("season")
     seasons = seasons.withColumn("age", F.row_number().over(order) - 1)

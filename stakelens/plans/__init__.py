@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form", "correlation")
+FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form", "correlation", "ingest", "streams", "models")
 
 
 def load_all() -> None:
