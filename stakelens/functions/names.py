@@ -29,8 +29,10 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 def norm_name(c: Column | str) -> Column:
     """Strip accents, trim, lower: precomposed Latin letters by translate, loose marks by regex."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.translate(c, _SOURCE, _TARGET)
-    return F.lower(F.btrim(F.regexp_replace(plain, r"\p{Mn}+", ""), F.lit(WHITESPACE)))
+    folded = F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{Mn}+", "")
+    # plain ASCII (one byte per character) has nothing to fold
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
+    return F.lower(F.btrim(plain, F.lit(WHITESPACE)))
 
 
 @F.pandas_udf(T.StringType())

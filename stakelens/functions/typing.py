@@ -37,7 +37,7 @@ def not_flagged(name: str) -> Column:
 
 def signed_number(name: str) -> Column:
     """'+1.5' -> 1.5"""
-    return F.regexp_replace(F.col(name), r"\+", "").try_cast("double")
+    return F.replace(F.col(name), F.lit("+"), F.lit("")).try_cast("double")
 
 
 def innings_to_outs(name: str) -> Column:

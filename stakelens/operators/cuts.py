@@ -99,17 +99,6 @@ CONFIDENCE_FLOORS = (0, 50, 55, 58, 60, 62, 65, 68, 70, 72, 75, 80)
 GRID_SIDES = ("both", "over", "under")
 
 
-def grid_price_filters(odds: str = "odds") -> list[tuple[str, Column]]:
-    o = F.col(odds)
-    return [
-        ("all", F.lit(True)),
-        ("minus", o < 0),
-        ("minus_tight(-101..-200)", (o < 0) & (o >= -200)),
-        ("minus_heavy(<=-200)", o <= -200),
-        ("plus", o >= 0),
-    ]
-
-
 def grid_cells(df: DataFrame) -> DataFrame:
     """Coordinates that decide membership of every grid cut: price class and confidence step."""
     o, c = F.col("odds"), F.col("confidence")
@@ -120,32 +109,30 @@ def grid_cells(df: DataFrame) -> DataFrame:
     return df.withColumns({"price_class": price, "conf_step": step})
 
 
-def explode_grid(cells: DataFrame) -> DataFrame:
-    """Cells -> every (confidence floor, price filter, side) cut that contains them."""
-    price = F.col("price_class")
-    minus = price.isin("tight", "edge", "heavy")
-    filters = F.array_compact(
-        F.array(
-            F.lit("all"),
-            F.when(minus, F.lit("minus")),
-            F.when(price.isin("tight", "edge"), F.lit("minus_tight(-101..-200)")),
-            F.when(price.isin("edge", "heavy"), F.lit("minus_heavy(<=-200)")),
-            F.when(price == "plus", F.lit("plus")),
-        )
-    )
-    floors = F.filter(F.array(*[F.lit(f) for f in CONFIDENCE_FLOORS]), lambda f: f <= F.col("conf_step"))
-    sides = F.array_compact(
-        F.array(F.lit("both"), *[F.when(F.col("side") == s, F.lit(s)) for s in GRID_SIDES[1:]])
-    )
-    return (
-        cells.withColumn("conf_floor", F.explode(floors))
-        .withColumn("price_filter", F.explode(filters))
-        .withColumn("side_filter", F.explode(sides))
-    )
+GRID_PRICES = ("all", "minus", "minus_tight(-101..-200)", "minus_heavy(<=-200)", "plus")
 
 
-def grid_label() -> Column:
-    return F.concat(
-        F.lit("conf>="), F.col("conf_floor").cast("string"), F.lit(" "), F.col("price_filter"),
-        F.lit(" "), F.col("side_filter"),
-    )
+def explode_grid(cells: DataFrame) -> DataFrame:
+    """Cells -> the number of every (confidence floor, price filter, side) cut that contains them."""
+    price = F.col("price_class")
+    member = {
+        "all": F.lit(True),
+        "minus": price != "plus",
+        "minus_tight(-101..-200)": price.isin("tight", "edge"),
+        "minus_heavy(<=-200)": price.isin("edge", "heavy"),
+        "plus": price == "plus",
+    }
+    cuts = []
+    for i, floor in enumerate(CONFIDENCE_FLOORS):
+        for j, name in enumerate(GRID_PRICES):
+            for k, side in enumerate(GRID_SIDES):
+                inside = (F.col("conf_step") >= floor) & member[name]
+                if side != "both":
+                    inside = inside & (F.col("side") == side)
+                cuts.append(F.when(inside, F.lit((i * len(GRID_PRICES) + j) * len(GRID_SIDES) + k)))
+    return cells.withColumn("cut_no", F.explode(F.array(*cuts))).where(F.col("cut_no").isNotNull())
+
+
+def grid_label(number: str = "cut_no") -> Column:
+    labels = [f"conf>={f} {p} {s}" for f in CONFIDENCE_FLOORS for p in GRID_PRICES for s in GRID_SIDES]
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(number) + 1)

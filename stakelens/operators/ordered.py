@@ -81,15 +81,17 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     bounded: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles ``{column: probability}`` per group.
 
     The rows are first folded to (group, value, count). ``bounded`` says that the
     value domain is small by nature (calendar days, whole prices), so a plain
     window over the folded table is enough; otherwise the running count is taken
-    over range chunks.
+    over range chunks. ``weight`` names a column of row counts for folded input.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(count.alias("_n"))
     if bounded:
         w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         cum = hist.withColumn("_cum", F.sum("_n").over(w))

@@ -8,29 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stakelens.operators.ordered import null_safe_join, ranked
+from stakelens.operators.ordered import exact_quantiles, null_safe_join, ranked
 from stakelens.operators.stats import stats_from_moments, sums_where
 
 
 def walk_forward_cells(cells: DataFrame, by: Sequence[str], day: str, fraction: float) -> DataFrame:
     """Train/test statistics split at the interpolated date quantile of each group.
 
-    Works on (group, day) moments, so the split costs no second look at the rows
-    and the window runs over calendar days only.
+    Works on (group, day) moments, so the split costs no second look at the rows, and
+    the quantile's window runs over calendar days only.
     """
-    epoch = (F.unix_date(day) * 86400).cast("double")
-    daily = cells.groupBy(*by, day).agg(*sums_where(F.lit(True), "")).withColumn("_at", epoch)
-    group = W.partitionBy(*by)
-    upto = group.orderBy(day).rowsBetween(W.unboundedPreceding, 0)
-    placed = daily.withColumns({"_cum": F.sum("n").over(upto), "_size": F.sum("n").over(group)})
-    target = F.lit(float(fraction)) * (F.col("_size") - 1)
-    first, last = F.col("_cum") - F.col("n"), F.col("_cum") - 1
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= first) & (rank <= last), F.col("_at"))).over(group)
-
-    low, high = at(F.floor(target)), at(F.ceil(target))
-    split = placed.withColumn("_split", low + (high - low) * (target - F.floor(target)))
+    timed = cells.withColumn("_at", (F.unix_date(day) * 86400).cast("double"))
+    splits = exact_quantiles(timed, by, "_at", {"_split": fraction}, bounded=True, weight="n")
+    split = null_safe_join(timed, splits, by)
     train = F.col("_at") < F.col("_split")
     merged = split.groupBy(*by).agg(
         F.max("_split").alias("split_epoch"), *sums_where(train, "_train"), *sums_where(~train, "_test")

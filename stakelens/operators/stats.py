@@ -19,8 +19,14 @@ Z95 = 1.96
 MOMENTS = ("n", "wins", "s1", "s2", "clv_sum", "clv_n")
 
 
+def steady_round(value: Column, digits: int) -> Column:
+    """Half away from zero, with values a summation error away from a tie counted as the tie:
+    the figure is the same however the rows were partitioned."""
+    return F.round(value + F.signum(value) * 1e-9, digits)
+
+
 def _interval(mean: Column, sd: Column, n: Column, sign: int) -> Column:
-    return F.round((mean + sign * Z95 * sd / F.sqrt(n)) * 100, 2)
+    return steady_round((mean + sign * Z95 * sd / F.sqrt(n)) * 100, 2)
 
 
 def roi_columns(win: str = "win", profit: str = "profit", clv: str | None = "clv") -> list[Column]:
@@ -28,13 +34,13 @@ def roi_columns(win: str = "win", profit: str = "profit", clv: str | None = "clv
     mean, sd, n = F.avg(profit), F.stddev_samp(profit), F.count(F.lit(1))
     out = [
         n.alias("n"),
-        F.round(F.avg(F.col(win).cast("int")) * 100, 1).alias("wr"),
-        F.round(mean * 100, 2).alias("roi"),
+        steady_round(F.avg(F.col(win).cast("int")) * 100, 1).alias("wr"),
+        steady_round(mean * 100, 2).alias("roi"),
         _interval(mean, sd, n, -1).alias("roi_lo"),
         _interval(mean, sd, n, 1).alias("roi_hi"),
     ]
     if clv is not None:
-        out.append(F.round(F.avg(clv), 2).alias("clv"))
+        out.append(steady_round(F.avg(clv), 2).alias("clv"))
     return out
 
 
@@ -75,14 +81,14 @@ def stats_from_moments(suffix: str = "", clv: bool = True, out_suffix: str = "")
     sd = F.when(n > 1, F.sqrt(F.try_divide(spread, nd - 1)))
     out = [
         n.alias(f"n{out_suffix}"),
-        F.round(F.try_divide(F.col(f"wins{suffix}"), nd) * 100, 1).alias(f"wr{out_suffix}"),
-        F.round(mean * 100, 2).alias(f"roi{out_suffix}"),
+        steady_round(F.try_divide(F.col(f"wins{suffix}"), nd) * 100, 1).alias(f"wr{out_suffix}"),
+        steady_round(mean * 100, 2).alias(f"roi{out_suffix}"),
         _interval(mean, sd, nd, -1).alias(f"roi_lo{out_suffix}"),
         _interval(mean, sd, nd, 1).alias(f"roi_hi{out_suffix}"),
     ]
     if clv:
         covered = F.col(f"clv_n{suffix}")
-        out.append(F.round(F.try_divide(F.col(f"clv_sum{suffix}"), covered), 2).alias(f"clv{out_suffix}"))
+        out.append(steady_round(F.try_divide(F.col(f"clv_sum{suffix}"), covered), 2).alias(f"clv{out_suffix}"))
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakelens.operators.stats import Z95, moments, stats_from_moments, sums_where
+from stakelens.operators.stats import Z95, moments, stats_from_moments, steady_round, sums_where
 
 
 def side_by_side(df: DataFrame, by: Sequence[str], source: str, left: str, right: str) -> DataFrame:
@@ -63,7 +63,7 @@ def cluster_robust(df: DataFrame, by: Sequence[str], cluster: str, value: str =
     )
 
     def pct(c: Column) -> Column:
-        return F.round(c * 100, 2)
+        return steady_round(c * 100, 2)
 
     return sums.select(
         *by, "n", "clusters",

@@ -50,7 +50,7 @@ _PICK_STEPS = (
         "CASE WHEN l_discount >= 0.04e0 THEN l_discount * 97.3e0 - l_tax * 61.7e0 + l_quantity * 0.00137e0 - 3.1127e0 END AS clv",
         "(l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7) % 1000 < CAST(floor("
         "(CASE WHEN odds > 0 THEN 100e0 / (odds + 100e0) ELSE -odds / (-odds + 100e0) END)"
-        " * (760 + (confidence - 40) * 7 + (confidence % 5) * 5)) AS INT) AS win",
+        " * (760 + (confidence - 40) * 6 + (confidence % 5) * 5)) AS INT) AS win",
         "l_discount AS score_discount",
         "CASE WHEN l_suppkey % 7 > 0 THEN l_tax END AS score_tax",
         "l_quantity * (1e0 + CAST(l_partkey % 4 AS DOUBLE)) AS score_volume",
@@ -302,18 +302,25 @@ def with_tables(*names: str, extra: str = "") -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
-def roi_sql(win: str = "win", profit: str = "profit", clv: str | None = "clv", where: str | None = None) -> str:
+def round_sql(value: str, digits: int = 2) -> str:
+    return f"round({value} + sign({value}) * 1e-9, {digits})"
+
+
+def roi_sql(
+    win: str = "win", profit: str = "profit", clv: str | None = "clv", where: str | None = None, tag: str = ""
+) -> str:
     """The return statistic as SQL aggregates."""
     f = f" FILTER (WHERE {where})" if where else ""
     n = f"count(*){f}"
     mean, sd = f"avg({profit}){f}", f"stddev_samp({profit}){f}"
     ci = f"1.96e0 * {sd} / sqrt({n})"
     out = (
-        f"{n} AS n, round(avg(CAST({win} AS INT)){f} * 100, 1) AS wr, round({mean} * 100, 2) AS roi, "
-        f"round(({mean} - {ci}) * 100, 2) AS roi_lo, round(({mean} + {ci}) * 100, 2) AS roi_hi"
+        f"{n} AS n{tag}, {round_sql(f'(avg(CAST({win} AS INT)){f} * 100)', 1)} AS wr{tag}, "
+        f"{round_sql(f'({mean} * 100)')} AS roi{tag}, {round_sql(f'(({mean} - {ci}) * 100)')} AS roi_lo{tag}, "
+        f"{round_sql(f'(({mean} + {ci}) * 100)')} AS roi_hi{tag}"
     )
     if clv:
-        out += f", round(avg({clv}){f}, 2) AS clv"
+        out += f", {round_sql(f'avg({clv}){f}')} AS clv{tag}"
     return out
 
 

@@ -20,7 +20,7 @@ from stakelens.plans.adapters import PICK_TIES, gate_sql, roi_sql, with_tables
 from stakelens.plans.form import _FORM, weather_totals
 from stakelens.plans.registry import query
 from stakelens.plans.scalars import _implied
-from stakelens.session import table
+from stakelens.session import checkpointed, table
 
 _FACTORS = ("score_discount", "score_tax", "score_volume", "score_price", "score_sparse", "score_form")
 _FULL_FORM = (
@@ -116,7 +116,8 @@ def _halves(spark, sf) -> DataFrame:
 def _train_top(halves: DataFrame) -> DataFrame:
     train = halves.where("part = 'train'")
     corr = fa.imputed_correlations(train, ["market"], prefixed(halves, "score_"), "win")
-    return fa.top_factors(corr, ["market"], min_abs=0.01)
+    # a handful of rows per market, used by several later passes
+    return checkpointed(fa.top_factors(corr, ["market"], min_abs=0.01))
 
 
 @query(

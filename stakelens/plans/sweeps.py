@@ -16,9 +16,10 @@ from stakelens.operators.stats import (
     moments,
     roi_stats,
     stats_from_moments,
+    steady_round,
     sums_where,
 )
-from stakelens.plans.adapters import gate_sql, games, picks, roi_sql, with_tables
+from stakelens.plans.adapters import gate_sql, games, picks, roi_sql, round_sql, with_tables
 from stakelens.plans.registry import query
 from stakelens.plans.scalars import _implied
 
@@ -91,8 +92,8 @@ _GRID_SQL = (
     f"stats AS (SELECT market, cut, {roi_sql()} FROM hits GROUP BY 1, 2 HAVING count(*) >= 200), "
     f"judged AS (SELECT *, {gate_sql('strict')} AS passed FROM stats), "
     "split AS (SELECT market, cut, quantile_cont(epoch(game_date), 0.6) AS split_at FROM hits GROUP BY 1, 2), "
-    "wf AS (SELECT h.market, h.cut, round(avg(profit) FILTER (WHERE epoch(game_date) < split_at) * 100, 2) AS wf_train, "
-    "round(avg(profit) FILTER (WHERE epoch(game_date) >= split_at) * 100, 2) AS wf_test FROM hits h "
+    f"wf AS (SELECT h.market, h.cut, {round_sql('(avg(profit) FILTER (WHERE epoch(game_date) < split_at) * 100)')} AS wf_train, "
+    f"{round_sql('(avg(profit) FILTER (WHERE epoch(game_date) >= split_at) * 100)')} AS wf_test FROM hits h "
     "JOIN split s ON h.market = s.market AND h.cut = s.cut GROUP BY 1, 2)"
 )
 
@@ -100,22 +101,24 @@ _GRID_SQL = (
 def grid_sweep(df: DataFrame, min_n: int = 200) -> DataFrame:
     """Every (confidence floor, price filter, side) cut per market, gate, and walk-forward on the passers.
 
-    Rows are folded once to (market, side, price class, confidence step, day) cells. The
-    grid is spread over the cells without the day; days come back only for passing cuts.
+    Rows are folded to (market, side, price class, confidence step) cells and the grid is
+    spread over those; calendar days are folded in only for the passing cuts.
     """
     coords = ["market", "side", "price_class", "conf_step"]
-    daily = moments(c.grid_cells(df), [*coords, "game_date"])
-    spread = c.explode_grid(merge_moments(daily, coords)).withColumn("cut", c.grid_label())
-    stats = merge_moments(spread, ["market", "cut"]).select("market", "cut", *stats_from_moments())
+    cells = c.grid_cells(df)
+    spread = c.explode_grid(moments(cells, coords))
+    stats = merge_moments(spread, ["market", "cut_no"]).select("market", "cut_no", *stats_from_moments())
     judged = stats.where(F.col("n") >= min_n).withColumn("passed", gate_pass("strict"))
-    passing = judged.where("passed").select("market", "cut")
-    members = spread.select(*coords, "cut").join(passing, ["market", "cut"])
-    forward = walk_forward_cells(daily.join(members, coords), ["market", "cut"], "game_date", 0.6).select(
-        "market", "cut", F.col("roi_train").alias("wf_train"), F.col("roi_test").alias("wf_test")
+    passing = judged.where("passed").select("market", "cut_no")
+    members = spread.select(*coords, "cut_no").join(passing, ["market", "cut_no"])
+    daily = moments(cells, [*coords, "game_date"], clv=None).join(members, coords)
+    forward = walk_forward_cells(daily, ["market", "cut_no"], "game_date", 0.6).select(
+        "market", "cut_no", F.col("roi_train").alias("wf_train"), F.col("roi_test").alias("wf_test")
     )
+    judged = judged.join(forward, ["market", "cut_no"], "left").withColumn("cut", c.grid_label()).drop("cut_no")
     best = W.partitionBy("market", "passed").orderBy(F.desc("roi"), "cut")
     return (
-        judged.join(forward, ["market", "cut"], "left")
+        judged
         .withColumn("stable", F.coalesce((F.col("wf_train") > 0) & (F.col("wf_test") > 0), F.lit(False)))
         .withColumn("best_of_market", F.col("passed") & (F.row_number().over(best) == 1))
     )
@@ -157,7 +160,7 @@ def q_band_side_seasons(spark, sf):
     by = ["market", "side", "band"]
     banded = picks(spark, sf).withColumn("band", c.odds_band()).where(F.col("band").isNotNull())
     cells = moments(banded, [*by, "season"])
-    roi = F.round(F.col("s1") / F.col("n") * 100, 2)
+    roi = steady_round(F.col("s1") / F.col("n") * 100, 2)
     pooled = cells.groupBy(*by).agg(
         *sums_where(F.lit(True), ""),
         F.count_if((F.col("n") >= 200) & (roi > 0)).alias("positive_seasons"),
@@ -194,15 +197,7 @@ _SEASONS = (1998, 1999, 2000)
 
 
 def _season_sql() -> str:
-    parts = []
-    for tag, year in zip("abc", _SEASONS):
-        parts.append(f"count(*) FILTER (WHERE season = {year}) AS n_{tag}")
-        parts.append(f"round(avg(profit) FILTER (WHERE season = {year}) * 100, 2) AS roi_{tag}")
-        parts.append(
-            f"round((avg(profit) FILTER (WHERE season = {year}) - 1.96e0 * stddev_samp(profit) FILTER "
-            f"(WHERE season = {year}) / sqrt(count(*) FILTER (WHERE season = {year}))) * 100, 2) AS lo_{tag}"
-        )
-    return ", ".join(parts)
+    return ", ".join(roi_sql(clv=None, where=f"season = {y}", tag=f"_{t}") for t, y in zip("abc", _SEASONS))
 
 
 @query(
@@ -211,7 +206,7 @@ def _season_sql() -> str:
     f"UNION ALL SELECT 'band', {_BAND}, * FROM picks), "
     f"m AS (SELECT market, dim, value, {_season_sql()} FROM d WHERE value IS NOT NULL GROUP BY 1, 2, 3)")
     + "SELECT market, dim, value, n_a, roi_a, n_b, roi_b, n_c, roi_c, "
-    "coalesce(n_a >= 500 AND lo_a > 0 AND n_b >= 500 AND lo_b > 0 AND roi_a > 0 AND roi_b > 0, false) AS replicated "
+    "coalesce(n_a >= 500 AND roi_lo_a > 0 AND n_b >= 500 AND roi_lo_b > 0 AND roi_a > 0 AND roi_b > 0, false) AS replicated "
     "FROM m WHERE dim = 'band' OR n_a >= 200 OR n_b >= 200",
 )
 def q_season_replication(spark, sf):

@@ -10,8 +10,8 @@ from stakelens.functions.odds import implied_prob, unit_profit
 from stakelens.operators import cuts as c
 from stakelens.operators import validation as v
 from stakelens.operators.splits import index_split, stable_flag, walk_forward_cells
-from stakelens.operators.stats import gate_pass, moments, roi_columns, roi_stats, stats_from_moments, sums_where
-from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, roi_sql, with_tables
+from stakelens.operators.stats import gate_pass, moments, roi_columns, roi_stats, stats_from_moments, steady_round, sums_where
+from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, roi_sql, round_sql, with_tables
 from stakelens.plans.registry import ORACLES, query
 from stakelens.plans.scalars import _implied
 from stakelens.plans.sweeps import strategy_bets
@@ -22,14 +22,7 @@ _TIES = ", ".join(PICK_TIES)
 
 
 def _split_roi(cond: str, tag: str) -> str:
-    n = f"count(*) FILTER (WHERE {cond})"
-    mean, sd = (f"{f}(profit) FILTER (WHERE {cond})" for f in ("avg", "stddev_samp"))
-    return (
-        f"{n} AS n_{tag}, round(avg(CAST(win AS INT)) FILTER (WHERE {cond}) * 100, 1) AS wr_{tag}, "
-        f"round({mean} * 100, 2) AS roi_{tag}, "
-        f"round(({mean} - 1.96e0 * {sd} / sqrt({n})) * 100, 2) AS roi_lo_{tag}, "
-        f"round(({mean} + 1.96e0 * {sd} / sqrt({n})) * 100, 2) AS roi_hi_{tag}"
-    )
+    return roi_sql(clv=None, where=cond, tag=f"_{tag}")
 
 
 @query(
@@ -206,7 +199,7 @@ def _profit_sql(o: str) -> str:
     f"{_implied('best_odds')} AS best_prob FROM m WHERE best_odds IS NOT NULL)")
     + "SELECT market, count(*) AS n, round(avg(odds), 1) AS avg_odds, round(avg(best_odds), 1) AS avg_best, "
     "round(avg(own_prob), 4) AS own_prob, round(avg(best_prob), 4) AS best_prob, "
-    "round(avg(profit) * 100, 2) AS roi_own, round(avg(best_profit) * 100, 2) AS roi_best, "
+    f"{round_sql('(avg(profit) * 100)')} AS roi_own, {round_sql('(avg(best_profit) * 100)')} AS roi_best, "
     "count(*) FILTER (WHERE own_prob > best_prob) AS worse, count(*) FILTER (WHERE odds = best_odds) AS same, "
     "count(*) FILTER (WHERE own_prob < best_prob) AS better FROM x GROUP BY market",
 )
@@ -220,8 +213,8 @@ def q_execution_gap(spark, sf):
             F.round(F.avg("best_odds"), 1).alias("avg_best"),
             F.round(F.avg("own_prob"), 4).alias("own_prob"),
             F.round(F.avg("best_prob"), 4).alias("best_prob"),
-            F.round(F.avg("profit") * 100, 2).alias("roi_own"),
-            F.round(F.avg("best_profit") * 100, 2).alias("roi_best"),
+            steady_round(F.avg("profit") * 100, 2).alias("roi_own"),
+            steady_round(F.avg("best_profit") * 100, 2).alias("roi_best"),
             F.count_if(F.col("own_prob") > F.col("best_prob")).alias("worse"),
             F.count_if(F.col("odds") == F.col("best_odds")).alias("same"),
             F.count_if(F.col("own_prob") < F.col("best_prob")).alias("better"),
@@ -252,7 +245,7 @@ _TIER_SQL = "CASE WHEN confidence <= 50 THEN '<=50' WHEN confidence <= 60 THEN '
     with_tables("picks", extra=_EXEC_CTES
     + f", x AS (SELECT *, {_TIER_SQL} AS tier, {_profit_sql('best_odds')} AS best_profit, "
     f"{_implied('odds')} - {_implied('best_odds')} AS gap FROM m WHERE best_odds IS NOT NULL), "
-    "t AS (SELECT market, tier, count(*) AS n, round(avg(best_profit) * 100, 2) AS roi_best, "
+    f"t AS (SELECT market, tier, count(*) AS n, {round_sql('(avg(best_profit) * 100)')} AS roi_best, "
     "round(avg(gap), 4) AS avg_gap FROM x GROUP BY 1, 2), "
     "k AS (SELECT market, round(corr(confidence, CAST(win AS INT)), 4) AS corr_win, "
     "round(corr(confidence, best_profit), 4) AS corr_profit, round(corr(confidence, gap), 4) AS corr_gap "
@@ -269,7 +262,7 @@ def q_selection_gap(spark, sf):
     )
     tiers = rows.groupBy("market", "tier").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("best_profit") * 100, 2).alias("roi_best"),
+        steady_round(F.avg("best_profit") * 100, 2).alias("roi_best"),
         F.round(F.avg("gap"), 4).alias("avg_gap"),
     )
     links = rows.groupBy("market").agg(
@@ -297,9 +290,9 @@ def q_row_multiplicity(spark, sf):
     "r AS (SELECT market, count(*) AS clusters, sqrt(sum(u * u)) / sum(k) AS se_r FROM g GROUP BY 1), "
     "s AS (SELECT market, count(*) AS n, avg(profit) AS mu, stddev_samp(profit) / sqrt(count(*)) AS se_n "
     "FROM picks GROUP BY 1)")
-    + "SELECT s.market, n, clusters, round(mu * 100, 2) AS roi, round((mu - 1.96e0 * se_n) * 100, 2) AS naive_lo, "
-    "round((mu + 1.96e0 * se_n) * 100, 2) AS naive_hi, round((mu - 1.96e0 * se_r) * 100, 2) AS robust_lo, "
-    "round((mu + 1.96e0 * se_r) * 100, 2) AS robust_hi, round(se_r / se_n, 4) AS se_ratio, "
+    + f"SELECT s.market, n, clusters, {round_sql('(mu * 100)')} AS roi, {round_sql('((mu - 1.96e0 * se_n) * 100)')} AS naive_lo, "
+    f"{round_sql('((mu + 1.96e0 * se_n) * 100)')} AS naive_hi, {round_sql('((mu - 1.96e0 * se_r) * 100)')} AS robust_lo, "
+    f"{round_sql('((mu + 1.96e0 * se_r) * 100)')} AS robust_hi, round(se_r / se_n, 4) AS se_ratio, "
     "round(n * power(se_n / se_r, 2), 0) AS effective_n FROM s JOIN r ON s.market = r.market",
 )
 def q_cluster_robust_ci(spark, sf):

@@ -28,7 +28,8 @@ SCHEDULE_DOC = (
 
 
 def parse(docs: DataFrame, column: str, schema: str) -> DataFrame:
-    return docs.select(F.from_json(column, schema).alias("doc")).select("doc.*")
+    """Parsed once per document: a generator keeps the parse out of later filters and fields."""
+    return docs.select(F.inline(F.array(F.from_json(column, schema))))
 
 
 def usable_quotes(docs: DataFrame) -> DataFrame:
