@@ -12,6 +12,8 @@ Two devices:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,12 +27,25 @@ _CHUNK_BITS = 33
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join treating NULL keys as equal; keeps the left copy of the keys."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+BROADCAST_ROWS = 500_000
+
+
+def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows to a table expected to be small, without moving the rows.
+
+    The table is computed and counted first: up to ``BROADCAST_ROWS`` it is broadcast,
+    beyond that the join shuffles and Spark's skew handling applies.
+    """
+    small = checkpointed(small)
+    if small.count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return null_safe_join(rows, small, on, how)
+
+
 def _range_chunks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     staged = (
         df.repartitionByRange(*[F.col(k) for k in keys])
@@ -52,7 +67,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "
     )
     offsets = pieces.withColumn("__offset", F.coalesce(F.sum("__rows").over(_before(by, ["__chunk"])), F.lit(0)))
     return (
-        null_safe_join(staged, offsets.drop("__rows"), [*by, "__chunk"])
+        lookup_join(staged, offsets.drop("__rows"), [*by, "__chunk"])
         .withColumn(name, F.col("__pos") - F.col("__first") + F.col("__offset") + 1)
         .drop("__pos", "__chunk", "__first", "__offset")
     )
@@ -70,7 +85,7 @@ def running_totals(
     )
     local = W.partitionBy(*by, "__chunk").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
     summed = staged.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in totals.items()})
-    out = null_safe_join(summed, offsets, [*by, "__chunk"])
+    out = lookup_join(summed, offsets, [*by, "__chunk"])
     out = out.withColumns({n: F.col(f"_l_{n}") + F.col(f"_o_{n}") for n in totals})
     return out.drop("__pos", "__chunk", *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals])
 
@@ -186,7 +201,8 @@ def look_back(
     """
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_rows).select(*key, F.lit(True).alias("_hot"))
-    marked = df.join(hot, list(key), "left").withColumn(
+    # looked up, not shuffled: rows of a large key must stay where they are until the block is known
+    marked = lookup_join(df, hot, key, "left").withColumn(
         "_block", F.when(F.col("_hot"), F.date_trunc(unit, F.col(at).cast("timestamp")))
     )
     marked = marked.drop("_hot")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stakelens.operators.ordered import exact_quantiles, null_safe_join, ranked
+from stakelens.operators.ordered import exact_quantiles, lookup_join, null_safe_join, ranked
 from stakelens.operators.stats import stats_from_moments, sums_where
 
 
@@ -57,7 +57,7 @@ def index_split(
         *by, day, "_before", "_size",
         part(F.col("_before")).alias("_lo"), part(F.col("_before") + F.col("_n") - 1).alias("_hi"),
     )
-    rows = null_safe_join(df, days, [*by, day])
+    rows = lookup_join(df, days, [*by, day])
     whole = rows.where("_lo = _hi").withColumn(name, F.col("_lo"))
     straddling = ranked(rows.where("_lo <> _hi"), [*by, day], list(ties), "_rank")
     straddling = straddling.withColumn(name, part(F.col("_before") + F.col("_rank") - 1)).drop("_rank")

@@ -12,7 +12,7 @@ from stakelens.operators import cuts as c
 from stakelens.operators import factors as fa
 from stakelens.operators import form as f
 from stakelens.operators import metrics
-from stakelens.operators.ordered import exact_quantiles
+from stakelens.operators.ordered import exact_quantiles, lookup_join
 from stakelens.operators.splits import index_split
 from stakelens.operators.stats import gate_pass
 from stakelens.plans import adapters as a
@@ -178,7 +178,7 @@ def q_factor_reweight(spark, sf):
         ("top quartile", minus & (F.col("combo") >= F.col("cutoff"))),
         ("confidence baseline", minus & (F.col("confidence") >= 60)),
     ]
-    stats = c.cut_stats(scored.join(cutoff, "market"), ["market", "part"], cuts, name="rule", clv=None)
+    stats = c.cut_stats(lookup_join(scored, cutoff, ["market"]), ["market", "part"], cuts, name="rule", clv=None)
     return stats.withColumn("passed", gate_pass("strict"))
 
 
@@ -279,7 +279,7 @@ def quantile_bins(df: DataFrame, by: list[str], value: str, label: str, bins: in
     edges = exact_quantiles(df, by, value, probs)
     x, low = F.col(value), F.col("_e0")
     upper = F.least(*[F.when((F.col(e) > low) & (F.col(e) >= x), F.col(e)) for e in list(probs)[1:]])
-    binned = df.where(x.isNotNull()).join(edges, by).withColumn("bin_hi", F.coalesce(upper, F.col(f"_e{bins}")))
+    binned = lookup_join(df.where(x.isNotNull()), edges, by).withColumn("bin_hi", F.coalesce(upper, F.col(f"_e{bins}")))
     return binned.groupBy(*by, "bin_hi").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col(label).cast("int")) * 100, 1).alias("win_rate")
     )
