@@ -21,7 +21,6 @@ from stakelens.plans.grading import _GAME, _PARKS, _PROPS, _TYPED, _profit, game
 from stakelens.plans.registry import query
 from stakelens.plans.sweeps import explode_bets, season_rollup
 from stakelens.plans.validation import _split_roi
-from stakelens.session import table
 
 _FORM = (
     "tr AS (SELECT game_pk, game_date, home_team AS team, true AS at_home, CAST(home_score > away_score AS INT) AS won "

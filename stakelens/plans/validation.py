@@ -10,12 +10,11 @@ from stakelens.functions.odds import implied_prob, unit_profit
 from stakelens.operators import cuts as c
 from stakelens.operators import validation as v
 from stakelens.operators.splits import index_split, stable_flag, walk_forward_cells
-from stakelens.operators.stats import gate_pass, moments, roi_columns, roi_stats, stats_from_moments, steady_round, sums_where
+from stakelens.operators.stats import gate_pass, moments, roi_columns, stats_from_moments, steady_round, sums_where
 from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, roi_sql, round_sql, with_tables
 from stakelens.plans.registry import ORACLES, query
 from stakelens.plans.scalars import _implied
 from stakelens.plans.sweeps import strategy_bets
-from stakelens.session import table
 
 _PICKS = with_tables("picks")
 _TIES = ", ".join(PICK_TIES)
