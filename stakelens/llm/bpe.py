@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stakelens.llm.common import fresh
+
 #: White space of the split pattern (fixed value: the Unicode White_Space property).
 _WS = "\t-\r \x85\xa0  -     　"
 #: Plain Latin letters (fixed value: letters of the first two Unicode blocks that hold no other signs).
@@ -36,8 +38,9 @@ _RUNS = re.compile(f" ?[{_LATIN}]++(?=[\\x00-\\x7f]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?!
 _WORD = re.compile(f" ?[{_LATIN}]+")
 
 _START = -1
-_MAX_RUNS = 500_000  # entries of the run table and of the pair table: a bound on memory, not on results
-_MAX_PAIRS = 500_000
+_MAX_RUNS = 200_000  # entries of the run table and of the pair table: a bound on memory, not on results
+_MAX_PAIRS = 300_000
+_ROWS = 256
 _LONG = 256  # bytes after which settled tokens are emitted
 
 
@@ -243,22 +246,48 @@ def _digest(ranks: dict[bytes, int]) -> int:
     return h.intdigest()
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    values = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+
+
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Short runs of rows: a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), _ROWS):
+            yield batch.slice(start, _ROWS)
+
+
+class _Table:
+    """Bytes by id; one entry past the vocabulary stands for every id outside it and decodes to nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=-1) + 1
+        self.entries = [b""] * (self.size + 1)
+        for token, i in ranks.items():
+            self.entries[i] = token
+
+    def join(self, ids: Iterable[int]) -> bytes:
+        entries = self.entries
+        return b"".join([entries[i] for i in ids])
+
+    def safe(self, ids: Iterable[int | None]) -> list[int]:
+        return [i if i is not None and 0 <= i < self.size else self.size for i in ids]
 
 
 def encode_column(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """Token ids (array<int>) of a text column."""
+    """Token ids (array<int>) of a text column and the bytes they decode to: struct<ids, decoded>."""
     shared, key = spark.sparkContext.broadcast(ranks), _digest(ranks)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _shared_encoder(key, shared.value, pattern)
-        for batch in batches:
-            yield _lists([encoder.encode(t.as_py() or "") for t in batch])
+        encoder, table = _shared_encoder(key, shared.value, pattern), _Table(shared.value)
+        for rows in _slices(batches):
+            ids, out = [], []
+            for text in rows:
+                ids.append(np.array(encoder.encode(text.as_py() or ""), np.int32))
+                out.append(table.join(ids[-1].tolist()))
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(out, pa.binary())], ["ids", "decoded"])
 
     return encode(text)
 
@@ -269,21 +298,9 @@ def decode_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) ->
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bytes_of = {i: t for t, i in shared.value.items()}
-        size = max(bytes_of, default=-1) + 1
-        # one entry past the vocabulary stands for every id outside it and decodes to nothing
-        table = [bytes_of.get(i, b"") for i in range(size)] + [b""]
-        for batch in batches:
-            flat = batch.values.to_numpy(zero_copy_only=False) if batch.values.null_count == 0 else np.array(
-                [size if v is None else v for v in batch.values.to_pylist()], np.int64
-            )
-            flat = np.where((flat < 0) | (flat >= size), size, flat).astype(np.int64)
-            ends = batch.offsets.to_numpy(zero_copy_only=False)
-            null = batch.is_null().to_pylist()
-            yield pa.array(
-                [b"" if null[i] else b"".join([table[j] for j in flat[ends[i] : ends[i + 1]].tolist()]) for i in range(len(batch))],
-                pa.binary(),
-            )
+        table = _Table(shared.value)
+        for rows in _slices(batches):
+            yield pa.array([table.join(table.safe(row.as_py() or [])) for row in rows], pa.binary())
 
     return decode(ids)
 
@@ -295,9 +312,9 @@ def decode_text_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bytes_of = {i: t for t, i in shared.value.items()}
-        for batch in batches:
+        for rows in _slices(batches):
             out = []
-            for row in batch:
+            for row in rows:
                 stream, ids_ = StreamDecoder(bytes_of), row.as_py() or []
                 out.append("".join([stream.feed(ids_[i : i + 4096]) for i in range(0, len(ids_), 4096)]) + stream.close())
             yield pa.array(out, pa.string())
@@ -310,6 +327,6 @@ def encode_documents(
 ) -> DataFrame:
     """``docs`` with the ids of each text and the bytes they decode to."""
     spark = docs.sparkSession
-    ranks = read_ranks(spark, ranks_path)
-    out = docs.withColumn(ids, encode_column(spark, F.col(text), ranks, pattern))
-    return out.withColumn(decoded, decode_column(spark, F.col(ids), ranks))
+    coded = fresh(docs.columns, "_coded")
+    out = docs.withColumn(coded, encode_column(spark, F.col(text), read_ranks(spark, ranks_path), pattern))
+    return out.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)
