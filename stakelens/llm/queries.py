@@ -50,3 +50,13 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_toxicity(docs, labels)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op7_vantage_simhash")
+def op7_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-copy component of every document."""
+    from stakelens.llm.simhash import hex_column, near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", hex_column(F.col("bits")).alias("fingerprint"), "component_id"
+    )
