@@ -60,3 +60,11 @@ def op7_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", hex_column(F.col("bits")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op1_imatch")
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprint of every document and of its edited text."""
+    from stakelens.llm.imatch import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
