@@ -68,3 +68,32 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakelens.llm.imatch import fingerprint_documents
 
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Rules of the query (fixed values).
+URL_RULES = (
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+)
+
+
+@query("op2_url_logistic")
+def op2_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    from stakelens.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "score"
+    )
+
+
+@query("op4_raking_mix")
+def op4_raking_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and sampling decision of every document."""
+    from stakelens.llm.mixing import mixed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixed(docs).drop("text")
