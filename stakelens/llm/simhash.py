@@ -165,7 +165,7 @@ def link_within(points: np.ndarray, n_own: int, distance: int, groups: _Groups)
     search(np.arange(n_own), np.arange(len(points)), 0)
 
 
-def near_links(prints: DataFrame, bits: str = "bits", distance: int = 3, shard_rows: int = 4096, most_shards: int = 8192, sample_per_shard: int = 16) -> DataFrame:
+def near_links(prints: DataFrame, bits: str = "bits", distance: int = 3, shard_rows: int = 32_768, most_shards: int = 8192, sample_per_shard: int = 16) -> DataFrame:
     """(a, b): links that join exactly the distinct fingerprints that chains of near pairs join.
 
     ``shard_rows`` is the aim for a shard; the tree is learned from at most ``most_shards * sample_per_shard`` fingerprints and
