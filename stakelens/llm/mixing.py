@@ -92,7 +92,7 @@ def rake(
 
 def mixed(
     docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, temper: float = 0.9, rate: float | None = None,
-    topic: Column | None = None, seed: int = 4, prefix: str = "",
+    topic: Column | None = None, seed: int = 4, prefix: str = "", rounds: int = 20,
 ) -> DataFrame:
     """``docs`` with topic, n_tokens, weight, probability and kept (each named with ``prefix``).
 
@@ -119,7 +119,7 @@ def mixed(
         if m in given else tempered(cells, m, temper)
         for m in MARGINS
     }
-    fitted = rake(cells, wanted)
+    fitted = rake(cells, wanted, rounds)
     most = fitted.agg(F.max("weight")).first()[0] or 1.0
     step = min(rate, 1 / most) if rate is not None else 1 / most
     lookup = fitted.select(*[F.col(m).alias(f"{keys[m]}_") for m in MARGINS], F.col("weight").alias(name["weight"]))

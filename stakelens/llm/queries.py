@@ -97,3 +97,11 @@ def op4_raking_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixed(docs).drop("text")
+
+
+@query("op5_sentence_spans")
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeat an earlier span."""
+    from stakelens.llm.sentence_dedup import drop_repeated_sentences
+
+    return drop_repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), figures=True)
