@@ -105,3 +105,26 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stakelens.llm.sentence_dedup import drop_repeated_sentences
 
     return drop_repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), figures=True)
+
+
+#: The ten best of every query by whole-number inner product.
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score from s
+)
+select * from r where rank <= 10
+"""
+
+
+@query("op6_cover_tree", OP6_SQL)
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    from stakelens.llm.cover_tree import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
