@@ -24,6 +24,7 @@ from stakelens.llm.common import checkpointed, fresh, hash_unit, text_of
 
 MARGINS = ("source", "lang", "topic")
 _NONE = "\u0000none"
+_SMALL_BYTES = 16 << 20
 
 
 def n_tokens(text: Column) -> Column:
@@ -60,8 +61,8 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 def _scaled(targets: DataFrame, cells: DataFrame, margin: str) -> DataFrame:
     """Targets of the values that occur, scaled to sum 1."""
     there = targets.join(cells.select(margin).distinct(), margin)
-    whole = there.agg(F.sum("target").alias("whole"))
-    return there.join(F.broadcast(whole), F.lit(True)).select(margin, (F.col("target") / F.col("whole")).alias("target"))
+    whole = there.agg(F.sum("target")).first()[0] or 1.0
+    return there.select(margin, (F.col("target") / F.lit(float(whole))).alias("target"))
 
 
 def rake(
@@ -123,6 +124,10 @@ def mixed(
     most = fitted.agg(F.max("weight")).first()[0] or 1.0
     step = min(rate, 1 / most) if rate is not None else 1 / most
     lookup = fitted.select(*[F.col(m).alias(f"{keys[m]}_") for m in MARGINS], F.col("weight").alias(name["weight"]))
+    # the texts stay where they are as long as the cells are small enough to travel
+    width = sum((F.length(f"{keys[m]}_") for m in MARGINS), F.lit(64))
+    if (lookup.agg(F.sum(width)).first()[0] or 0) <= _SMALL_BYTES:
+        lookup = F.broadcast(lookup)
     joined = keyed.join(lookup, [keyed[keys[m]] == lookup[f"{keys[m]}_"] for m in MARGINS])
     out = joined.withColumn(name["probability"], F.least(F.col(name["weight"]) * F.lit(step), F.lit(1.0)))
     out = out.withColumn(name["kept"], hash_unit(F.col("doc_id"), text, F.lit(seed)) < F.col(name["probability"]))
