@@ -148,3 +148,13 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op8_suffix_arrays")
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated strings of 400 bytes."""
+    from stakelens.llm.suffix_dedup import drop_repeated_bytes
+
+    return drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -46,7 +46,6 @@ def test_query(spark):
         assert r.weight == pytest.approx(w, rel=1e-4) and r.probability == pytest.approx(w / most, rel=1e-4)
     kept = sum(r.n_tokens for r in rows if r.kept)
     assert kept == pytest.approx(total / most, rel=0.25)
-    out = QUERIES["op4_raking_mix"](spark, SF)
     for r in margin_totals(out).where("margin = 'source'").collect():
         assert r.expected * most == pytest.approx(targets[0][r.value], rel=1e-4)
     docs = docs.limit(20)
