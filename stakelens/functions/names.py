@@ -10,28 +10,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _fold_table() -> tuple[str, str]:
-    """Latin letters whose canonical decomposition is one base letter plus marks."""
-    source, target = [], []
-    for code in range(0xC0, 0x250):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one base letter plus marks, and those that decompose to several letters.
+
+    Hangul is left whole, as are characters outside the basic plane.
+    """
+    source, target, several = [], [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)):
         parts = unicodedata.normalize("NFKD", chr(code))
         base = "".join(p for p in parts if not unicodedata.combining(p))
         if len(base) == 1 and base != chr(code):
             source.append(chr(code))
             target.append(base)
-    return "".join(source), "".join(target)
+        elif len(base) > 1:
+            several[chr(code)] = base
+    return "".join(source), "".join(target), several
 
 
-_SOURCE, _TARGET = _fold_table()
+_SOURCE, _TARGET, _SEVERAL = _fold_tables()
+_LONG = "[" + "".join(_SEVERAL) + "]"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def norm_name(c: Column | str) -> Column:
-    """Strip accents, trim, lower: precomposed Latin letters by translate, loose marks by regex."""
+    """Strip accents, trim, lower: letters by translate, ligatures by lookup, loose marks by regex."""
     c = F.col(c) if isinstance(c, str) else c
+    whole = c
+    table = F.map_from_arrays(F.lit(list(_SEVERAL)), F.lit(list(_SEVERAL.values())))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    c = F.when(c.rlike(_LONG), spelled).otherwise(c)
     folded = F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{Mn}+", "")
     # plain ASCII (one byte per character) has nothing to fold
-    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(folded)
+    plain = F.when(F.octet_length(whole) == F.length(whole), whole).otherwise(folded)
     return F.lower(F.btrim(plain, F.lit(WHITESPACE)))
 
 

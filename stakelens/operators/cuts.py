@@ -19,12 +19,17 @@ def gate_cuts() -> list[tuple[str, Column]]:
     ]
 
 
-def cut_mask(cuts: Sequence[tuple[str, Column]]) -> Column:
-    """Bit i is set when the row meets cut i."""
-    mask = F.lit(0).cast("long")
+_WORD = 62  # cuts to a mask column
+
+
+def cut_masks(cuts: Sequence[tuple[str, Column]]) -> dict[str, Column]:
+    """Mask columns, as many as the cuts need; bit i % 62 of word i // 62 is set when the row meets cut i."""
+    masks: dict[str, Column] = {}
     for i, (_, cond) in enumerate(cuts):
-        mask = mask + F.when(cond, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return mask
+        word = f"_mask{i // _WORD}"
+        bit = F.when(cond, F.lit(1 << i % _WORD).cast("long")).otherwise(F.lit(0).cast("long"))
+        masks[word] = masks[word] + bit if word in masks else bit
+    return masks
 
 
 def cut_cells(
@@ -32,10 +37,13 @@ def cut_cells(
 ) -> DataFrame:
     """Moments per (by, cut). Rows are folded once per membership pattern; only the
     folded cells are then copied to each cut they belong to."""
-    cells = moments(df.withColumn("_mask", cut_mask(cuts)), [*by, "_mask"], clv=clv)
-    labels = F.array(
-        *[F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.lit(label)) for i, (label, _) in enumerate(cuts)]
-    )
+    masks = cut_masks(cuts)
+    cells = moments(df.withColumns(masks), [*by, *masks], clv=clv)
+
+    def member(i: int) -> Column:
+        return F.col(f"_mask{i // _WORD}").bitwiseAND(F.lit(1 << i % _WORD).cast("long")) != 0
+
+    labels = F.array(*[F.when(member(i), F.lit(label)) for i, (label, _) in enumerate(cuts)])
     exploded = cells.withColumn(name, F.explode(labels)).where(F.col(name).isNotNull())
     return merge_moments(exploded, [*by, name])
 

@@ -107,8 +107,11 @@ def _step(home: Column, away: Column) -> Column:
     return F.lit(K) * (F.col("home_win") - expected)
 
 
-def relax(games: DataFrame, block: str = "month", max_sweeps: int = 500) -> DataFrame:
-    """Fixed-point sweeps; every stage is spread by (team, time block)."""
+def relax(games: DataFrame, block: str = "month") -> DataFrame:
+    """Fixed-point sweeps until nothing moves; every stage is spread by (team, time block).
+
+    Each sweep settles at least the earliest game of every team not settled yet, so the sweeps end.
+    """
     base = _prepare(games).drop("known")
     seasons = base.select("league", "season").distinct()
     order = W.partitionBy("league").orderBy("season")
@@ -118,7 +121,7 @@ def relax(games: DataFrame, block: str = "month", max_sweeps: int = 500) -> Data
         .withColumn("block", F.date_trunc(block, F.col("game_date").cast("timestamp")))
         .withColumns({"h": F.lit(BASE), "a": F.lit(BASE)})
     )
-    for _ in range(max_sweeps):
+    while True:
         step = _step(F.col("h"), F.col("a"))
         team_rows = state.select(
             "league", "game_pk", "game_date", "block", "age",
@@ -144,7 +147,6 @@ def relax(games: DataFrame, block: str = "month", max_sweeps: int = 500) -> Data
         if (state.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:
             return state.select("league", "game_pk", F.col("h").alias("elo_home_pre"), F.col("a").alias("elo_away_pre"))
         state = state.drop("moved")
-    raise RuntimeError(f"ratings did not settle in {max_sweeps} sweeps")
 
 
 def elo_ratings(games: DataFrame, max_fold_games: int = 2_000_000) -> DataFrame:

@@ -36,12 +36,13 @@ def walk_forward_cells(cells: DataFrame, by: Sequence[str], day: str, fraction:
 def index_split(
     df: DataFrame, by: Sequence[str], day: str, ties: Sequence[str], fractions: Sequence[float], name: str = "part_no"
 ) -> DataFrame:
-    """Number of cut positions ``floor(n * fraction)`` at or before each row's date order.
+    """Number of cut positions ``floor(n * fraction)`` at or before each row's date order; rows without a day are left out.
 
     Only the days that straddle a cut need a row order at all; every other row gets
     its part from the (group, day) counts. The straddling days are ranked by range
     chunks, so neither a hot group nor a hot day is sorted in one task.
     """
+    df = df.where(F.col(day).isNotNull())
     counts = df.groupBy(*by, day).agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by)
     before = F.coalesce(F.sum("_n").over(group.orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -18,7 +18,7 @@ def q_stream_dedup_ingest(spark, sf):
     root = work_path(spark, "dedup")
     feed = jobs.file_stream(spark, f"{sf}/events.parquet")
     again = jobs.file_stream(spark, f"{sf}/events.parquet")
-    jobs.dedup_ingest(feed.unionByName(again), "event_id", "ts", "2 days", f"{root}/out", f"{root}/state")
+    jobs.dedup_ingest(feed.unionByName(again), "event_id", f"{root}/out", f"{root}/state")
     stored = spark.read.parquet(f"{root}/out")
     return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
 
@@ -32,7 +32,7 @@ def q_stream_gate(spark, sf):
     root = work_path(spark, "gate")
     picks = a._apply(jobs.file_stream(spark, f"{sf}/lineitem.parquet"), a._PICK_STEPS)
     jobs.running_gate(picks, ["market"], f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out")
+    return jobs.newest_batch(spark, f"{root}/out")
 
 
 @query(

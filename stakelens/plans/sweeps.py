@@ -252,31 +252,39 @@ def season_rollup(df: DataFrame, by: list[str], level: str, clv: str | None = "c
     return merge_moments(both, [*by, level]).select(*by, level, *stats_from_moments(clv=clv is not None))
 
 
+# fixed values: labels of the strategies that follow a price move
+_MOVE_LABELS = {
+    ("ML", "home"): "ML: line moved toward home, bet home",
+    ("ML", "away"): "ML: line moved toward away, bet away",
+    ("Total", "over"): "Total: line moved up, bet over",
+    ("Total", "under"): "Total: line moved down, bet under",
+}
+
+
+def _strategies_sql() -> str:
+    """Every strategy as rows of (strategy, season, win, odds): sides of each market, sides by price, sides by move."""
+    won = {
+        ("ML", "home"): "hw", ("ML", "away"): "NOT hw", ("RL", "home"): "home_score + hrl > away_score",
+        ("RL", "away"): "away_score + arl > home_score", ("Total", "over"): "tot > close_ou_line", ("Total", "under"): "tot < close_ou_line",
+    }
+    price = {"ML": "{}_close_ml", "RL": "{}_run_line_odds", "Total": "close_ou_odds"}
+    moved = {"home": "home_close_ml < home_open_ml", "away": "away_close_ml < away_open_ml"}
+    moved |= {"over": "close_ou_line > open_ou_line", "under": "close_ou_line < open_ou_line"}
+    rows = [(f"{m}: always {side}", w, price[m].format(side), "true") for (m, side), w in won.items()]
+    rows += [(label, won[key], price[key[0]].format(key[1]), moved[key[1]]) for key, label in _MOVE_LABELS.items()]
+    for label, sign in (("favorite", "<"), ("underdog", ">")):
+        home, away = f"home_close_ml {sign} away_close_ml", f"away_close_ml {sign} home_close_ml"
+        rows.append((f"ML: always {label}", f"CASE WHEN {home} THEN hw WHEN {away} THEN NOT hw END", f"CASE WHEN {home} THEN home_close_ml ELSE away_close_ml END", "true"))
+    return " UNION ALL ".join(
+        f"SELECT '{label}' AS strategy, season, coalesce({w}, false) AS win, {odds} AS odds FROM g WHERE {when}" for label, w, odds, when in rows
+    )
+
+
 @query(
     "strategy_catalogue",
     with_tables("games", extra="g AS (SELECT *, home_score > away_score AS hw, home_score + away_score AS tot, "
     "TRY_CAST(replace(home_run_line, '+', '') AS DOUBLE) AS hrl, "
-    "TRY_CAST(replace(away_run_line, '+', '') AS DOUBLE) AS arl FROM games), "
-    "b AS (SELECT 'ML: always home' AS strategy, season, hw AS win, home_close_ml AS odds FROM g "
-    "UNION ALL SELECT 'ML: always away', season, NOT hw, away_close_ml FROM g "
-    "UNION ALL SELECT 'ML: always favorite', season, coalesce((home_close_ml < away_close_ml AND hw) OR "
-    "(away_close_ml < home_close_ml AND NOT hw), false), "
-    "CASE WHEN home_close_ml < away_close_ml THEN home_close_ml ELSE away_close_ml END FROM g "
-    "UNION ALL SELECT 'ML: always underdog', season, coalesce((home_close_ml > away_close_ml AND hw) OR "
-    "(away_close_ml > home_close_ml AND NOT hw), false), "
-    "CASE WHEN home_close_ml > away_close_ml THEN home_close_ml ELSE away_close_ml END FROM g "
-    "UNION ALL SELECT 'RL: always home', season, home_score + hrl > away_score, home_run_line_odds FROM g "
-    "UNION ALL SELECT 'RL: always away', season, away_score + arl > home_score, away_run_line_odds FROM g "
-    "UNION ALL SELECT 'Total: always over', season, tot > close_ou_line, close_ou_odds FROM g "
-    "UNION ALL SELECT 'Total: always under', season, tot < close_ou_line, close_ou_odds FROM g "
-    "UNION ALL SELECT 'ML: moved to home, bet home', season, hw, home_close_ml FROM g "
-    "WHERE home_close_ml < home_open_ml "
-    "UNION ALL SELECT 'ML: moved to away, bet away', season, NOT hw, away_close_ml FROM g "
-    "WHERE away_close_ml < away_open_ml "
-    "UNION ALL SELECT 'Total: moved up, bet over', season, tot > close_ou_line, close_ou_odds FROM g "
-    "WHERE close_ou_line > open_ou_line "
-    "UNION ALL SELECT 'Total: moved down, bet under', season, tot < close_ou_line, close_ou_odds FROM g "
-    "WHERE close_ou_line < open_ou_line), "
+    f"TRY_CAST(replace(away_run_line, '+', '') AS DOUBLE) AS arl FROM games), b AS ({_strategies_sql()}), "
     "pr AS (SELECT *, CASE WHEN NOT win THEN -1e0 WHEN odds > 0 THEN odds / 100e0 ELSE 100e0 / abs(odds) END "
     "AS profit FROM b WHERE odds IS NOT NULL), "
     f"s AS (SELECT strategy, {roi_sql(clv=None)} FROM pr GROUP BY 1)")
@@ -291,27 +299,26 @@ def strategy_bets(g: DataFrame) -> DataFrame:
     """One row per (game, eligible strategy): the whole catalogue in one pass over the games."""
     from stakelens.functions.typing import signed_number
 
-    home, away, total = F.col("home_score"), F.col("away_score"), F.col("home_score") + F.col("away_score")
-    hc, ac, ho, ao = (F.col(f"{s}_{w}_ml") for w in ("close", "open") for s in ("home", "away"))
-    over, under = total > F.col("close_ou_line"), total < F.col("close_ou_line")
-    home_win, away_win = home > away, home <= away
-    moved = F.col("close_ou_line") - F.col("open_ou_line")
-    ou = F.col("close_ou_odds")
-    yes = F.lit(True)
-    catalogue = [
-        ("ML: always home", yes, home_win, hc),
-        ("ML: always away", yes, away_win, ac),
-        ("ML: always favorite", yes, ((hc < ac) & home_win) | ((ac < hc) & away_win), F.when(hc < ac, hc).otherwise(ac)),
-        ("ML: always underdog", yes, ((hc > ac) & home_win) | ((ac > hc) & away_win), F.when(hc > ac, hc).otherwise(ac)),
-        ("RL: always home", yes, home + signed_number("home_run_line") > away, F.col("home_run_line_odds")),
-        ("RL: always away", yes, away + signed_number("away_run_line") > home, F.col("away_run_line_odds")),
-        ("Total: always over", yes, over, ou),
-        ("Total: always under", yes, under, ou),
-        ("ML: moved to home, bet home", hc < ho, home_win, hc),
-        ("ML: moved to away, bet away", ac < ao, away_win, ac),
-        ("Total: moved up, bet over", moved > 0, over, ou),
-        ("Total: moved down, bet under", moved < 0, under, ou),
-    ]
+    score = {s: F.col(f"{s}_score") for s in ("home", "away")}
+    closed, opened = ({s: F.col(f"{s}_{w}_ml") for s in score} for w in ("close", "open"))
+    total, line, ou = score["home"] + score["away"], F.col("close_ou_line"), F.col("close_ou_odds")
+    home_win = score["home"] > score["away"]
+    # (market, side) -> (won, price)
+    bets = {("ML", "home"): (home_win, closed["home"]), ("ML", "away"): (~home_win, closed["away"])}
+    for side, other in (("home", "away"), ("away", "home")):
+        covered = score[side] + signed_number(f"{side}_run_line") > score[other]
+        bets["RL", side] = (covered, F.col(f"{side}_run_line_odds"))
+    bets |= {("Total", "over"): (total > line, ou), ("Total", "under"): (total < line, ou)}
+    moved = {s: closed[s] < opened[s] for s in score}
+    moved |= {"over": line > F.col("open_ou_line"), "under": line < F.col("open_ou_line")}
+    catalogue = [(f"{m}: always {side}", F.lit(True), *bet) for (m, side), bet in bets.items()]
+    catalogue += [(label, moved[key[1]], *bets[key]) for key, label in _MOVE_LABELS.items()]
+    for label, is_home, is_away in (
+        ("favorite", closed["home"] < closed["away"], closed["away"] < closed["home"]),
+        ("underdog", closed["home"] > closed["away"], closed["away"] > closed["home"]),
+    ):
+        won = F.when(is_home, home_win).when(is_away, ~home_win)
+        catalogue.append((f"ML: always {label}", F.lit(True), won, F.when(is_home, closed["home"]).otherwise(closed["away"])))
     return explode_bets(g, catalogue, ["season"])
 
 

@@ -154,7 +154,7 @@ def _matched(spark, sf) -> DataFrame:
     own = p.where("source = 'production'").withColumn("name_norm", norm_name(F.expr(_OWN_NAME)))
     span = best.groupBy("market").agg(F.min("game_date").alias("d0"), F.max("game_date").alias("d1"))
     return (
-        own.join(span, "market", "left")
+        own.join(F.broadcast(span), "market", "left")  # one row for each market
         .join(best, ["market", "line", "game_date", "name_norm"], "left")
         .withColumn("in_window", F.col("game_date").between(F.col("d0"), F.col("d1")))
     )

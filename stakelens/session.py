@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temp folder only where none is named."""
+    """The shared checkpoint folder of the session; a temp folder only on a local master that names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -40,6 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current.isEmpty():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()

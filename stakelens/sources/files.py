@@ -48,8 +48,15 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
     return last.select(*key, *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
+def csv_cells(line: Column) -> Column:
+    """Fields of a CSV line, however many; quotes may hold commas and doubled quotes, an empty bare field is null."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    inner = lambda c: F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), inner(c)).otherwise(F.nullif(c, F.lit(""))))
+
+
 def read_sectioned(
-    spark: SparkSession, path: str, columns: Sequence[str], section: str = "picks", width: int = 64
+    spark: SparkSession, path: str, columns: Sequence[str], section: str = "picks"
 ) -> DataFrame:
     """Rows of one section of files that mix several row kinds.
 
@@ -65,10 +72,7 @@ def read_sectioned(
         F.monotonically_increasing_id().alias("pos"),
     )
     lines = lines.where(F.col("value").startswith("section,event_id") | F.col("value").startswith(f"{section},"))
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    fields = lines.withColumn("f", F.from_csv("value", F.lit(schema), {"escape": '"'}))
-    cells = F.array(*[F.col(f"f.c{i}") for i in range(width)])
-    parsed = fields.select("file", "split", "pos", cells.alias("cells"))
+    parsed = lines.select("file", "split", "pos", csv_cells(F.col("value")).alias("cells"))
     is_header = F.col("cells")[0] == "section"
     header = F.when(is_header, F.col("cells"))
     last = parsed.groupBy("file", "split").agg(F.max_by("cells", F.when(is_header, F.col("pos"))).alias("_h"))
@@ -104,15 +108,6 @@ def compact_copy(df: DataFrame, path: str, drop: Sequence[str]) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def read_jdbc(
-    spark: SparkSession, url: str, source: str, key: str, lower: int, upper: int, slices: int, **options: str
-) -> DataFrame:
-    """Parallel bulk read of a database table by key ranges."""
-    return spark.read.jdbc(
-        url, source, column=key, lowerBound=lower, upperBound=upper, numPartitions=slices, properties=options
-    )
-
-
 def write_report(df: DataFrame, path: str) -> None:
     """Result table as CSV with header; stays distributed."""
     df.write.mode("overwrite").option("header", True).csv(path)

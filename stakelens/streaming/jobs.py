@@ -26,20 +26,36 @@ def available_now(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def dedup_ingest(stream: DataFrame, key: str, event_time: str, delay: str, out: str, checkpoint: str) -> None:
-    """Append each key once; state older than the delay is dropped."""
-    timed = stream.withColumn("event_at", F.col(event_time).cast("timestamp")).withWatermark("event_at", delay)
-    unique = timed.dropDuplicatesWithinWatermark([key]).drop("event_at")
-    available_now(unique.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+def dedup_ingest(stream: DataFrame, key: str, out: str, checkpoint: str) -> None:
+    """Append each key once, however late it comes: a batch is held against the keys stored by the batches before it.
+
+    Each batch writes its own numbered folder, so a retried batch overwrites itself and never meets its own rows.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates([key])
+        if batch_id > 0:
+            stored = batch.sparkSession.read.parquet(*[f"{out}/batch={i}" for i in range(batch_id)])
+            new = new.join(stored.select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    available_now(stream.writeStream.outputMode("append").foreachBatch(load), checkpoint)
+
+
+def newest_batch(spark: SparkSession, out: str) -> DataFrame:
+    """The last complete result of a job that publishes a whole result with each batch."""
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == last).drop("batch")
 
 
 def running_gate(picks: DataFrame, by: list[str], out: str, checkpoint: str) -> None:
     """Keep the statistic and verdict of every group current as picks are graded."""
     running = moments(picks, by, clv=None)
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def publish(batch: DataFrame, batch_id: int) -> None:
         stats = batch.select(*by, *stats_from_moments(clv=False)).withColumn("passed", gate_pass())
-        stats.write.mode("overwrite").parquet(out)
+        stats.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     available_now(running.writeStream.outputMode("complete").foreachBatch(publish), checkpoint)
 
@@ -49,11 +65,20 @@ def ratings_stream(games: DataFrame, out: str, checkpoint: str) -> None:
 
     Batch n reads the standings written by batch n-1 and writes its own numbered
     folders, so a retried batch overwrites itself. Games must arrive in date order
-    across batches; a late game needs the batch operator to rebuild.
+    across batches: a game older than the last rated one of its league fails the batch
+    (the batch operator then rebuilds the league) instead of giving a wrong rating.
     """
 
     def play(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        span = batch.groupBy("league").agg(F.min("game_date").alias("first_day"), F.max("game_date").alias("last_day"))
+        if batch_id > 0:
+            days = spark.read.parquet(*[f"{out}/days/batch={i}" for i in range(batch_id)])
+            rated = days.groupBy("league").agg(F.max("last_day").alias("rated_to"))
+            late = span.join(rated, "league").where("first_day < rated_to").limit(5).collect()
+            if late:
+                raise ValueError(f"late games in leagues {[r.league for r in late]}: rebuild them with the batch operator")
+        span.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
         known = spark.read.parquet(f"{out}/standings/batch={batch_id - 1}") if batch_id > 0 else None
         target = f"{out}/walked/batch={batch_id}"
         advance(batch, known).write.mode("overwrite").parquet(target)
@@ -83,7 +108,7 @@ def last_beats(beats: DataFrame, out: str, checkpoint: str) -> None:
     """Latest beat per job, kept current; judge it with the batch staleness rule at any moment."""
     latest = beats.groupBy("job").agg(F.max("fired_at").alias("fired_at"), F.max("interval_s").alias("interval_s"))
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     available_now(latest.writeStream.outputMode("complete").foreachBatch(publish), checkpoint)

@@ -68,3 +68,16 @@ def test_push_loses_both_sides(spark):
 
 def test_rating_prob(spark):
     assert math.isclose(column(spark, [0.0], "double", odds.rating_prob)[0], 0.5)
+
+
+def test_names_fold_as_full_decomposition_does(spark):
+    import unicodedata
+
+    values = ["Nguyễn", "Йован", "Άρης", "ﬁeld", "Ĳsbrand", "Ｊosé", "Zoë", "ødegård", "Ꞩa", "plain", " ½ ﬃ ", None]
+
+    def plain(s):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        return kept.strip().lower()
+
+    got = column(spark, values, "string", names.norm_name)
+    assert got == [None if v is None else plain(v) for v in values]

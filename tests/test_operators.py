@@ -262,3 +262,28 @@ def test_resolve_latest_wins(spark):
     assert got == [(1, "A", "y", True), (2, "B", None, False)]
 
 
+
+
+def test_more_cuts_than_one_word_holds(spark):
+    from pyspark.sql import functions as F
+
+    from stakelens.operators.cuts import cut_cells
+
+    df = spark.range(200).selectExpr("id", "id % 2 = 0 AS win", "1.0D AS profit")
+    cuts = [(f"cut {i}", F.col("id") >= i) for i in range(100)]
+    got = {r["cut"]: r["n"] for r in cut_cells(df, [], cuts, clv=None).collect()}
+    assert got == {f"cut {i}": 200 - i for i in range(100)}
+
+
+def test_asof_left_keeps_probes_without_key_or_time(spark):
+    import datetime as dt
+
+    from stakelens.operators.asof import asof_strict
+
+    d = lambda n: dt.date(2024, 1, n)
+    probes = spark.createDataFrame([(1, "a", d(5)), (2, None, d(5)), (3, "a", None), (4, "z", d(2))], "id int, k string, t date")
+    snaps = spark.createDataFrame([("a", d(1), 10, 0), ("a", d(5), 11, 0), (None, d(1), 12, 0)], "k string, s date, v int, tie int")
+    got = asof_strict(probes, snaps, "k", "t", "s", ["v"], "tie").collect()
+    assert sorted((r.id, r.v) for r in got if r.v is not None) == [(1, 10)] and sorted(r.id for r in got) == [1, 2, 3, 4]
+    inner = asof_strict(probes, snaps, "k", "t", "s", ["v"], "tie", how="inner").collect()
+    assert [r.id for r in inner] == [1]

@@ -100,6 +100,41 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     df.repartition(3).write.parquet(str(tmp_path / "feed"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
     jobs.running_gate(stream, ["market"], str(tmp_path / "out"), str(tmp_path / "state"))
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("market").collect()
+    got = jobs.newest_batch(spark, str(tmp_path / "out")).orderBy("market").collect()
     want = roi_stats(df, ["market"], clv=None).withColumn("passed", gate_pass()).orderBy("market").collect()
     assert [r.asDict() for r in got] == [r.asDict() for r in want]
+
+
+def test_sectioned_csv_of_any_width(spark, tmp_path):
+    wide = [f"f{i}" for i in range(100)]
+    lines = ["section," + ",".join(wide), "picks," + ",".join(f"v{i}" for i in range(100)), 'picks,"a,""b""",,"",' + ",".join(["x"] * 96) + ",last"]
+    lines[0] = "section,event_id," + ",".join(wide[1:])
+    (tmp_path / "wide.csv").write_text("\n".join(lines))
+    got = fs.read_sectioned(spark, str(tmp_path / "wide.csv"), ["event_id", "f1", "f2", "f99"]).collect()
+    assert sorted((r.event_id, r.f1, r.f2, r.f99) for r in got) == [('a,"b"', None, "", "last"), ("v0", "v1", "v2", "v99")]
+
+
+def test_dedup_keeps_late_keys(spark, tmp_path):
+    import time
+
+    rows = [[(1, "2024-05-05")], [(2, "2020-01-01"), (1, "2020-01-01")], [(3, "2019-01-01")]]
+    for part in rows:
+        spark.createDataFrame(part, "id int, day string").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id int, day string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    jobs.dedup_ingest(stream, "id", str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_beats_stream_and_report(spark, tmp_path):
+    beats = spark.createDataFrame([("a", 1, 60), ("a", 5, 60), ("b", 2, 90)], "job string, fired_at int, interval_s int")
+    beats.write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(beats.schema).parquet(str(tmp_path / "feed"))
+    jobs.last_beats(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    last = jobs.newest_batch(spark, str(tmp_path / "out"))
+    assert sorted((r.job, r.fired_at) for r in last.collect()) == [("a", 5), ("b", 2)]
+    fs.write_report(last, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
+    fs.write_table(last, str(tmp_path / "table"))
+    fs.write_table(last, str(tmp_path / "table"), "append")
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 4
