@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakelens.llm.common import checkpointed, fresh
+from stakelens.session import work_path
 
 SPAN, LEAST_WORDS, LONG, CUT_EVERY = 3, 10, 16, 3
 _END = re.compile(r"(?:[.!?…]+[\"'»”)\]]*(?=\s|\Z)|\n)\s*")
@@ -103,7 +104,10 @@ def _without_column(text: Column, spans: Column) -> Column:
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, mark, at): first sentences of the spans that repeat an earlier one; mark is a hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), _spans_column(F.col(text)).alias("spans"))
+    spark = docs.sparkSession
+    path = work_path(spark, "spans")  # read twice, made once
+    docs.select("doc_id", F.xxhash64(text).alias("mark"), _spans_column(F.col(text)).alias("spans")).write.parquet(path)
+    rows = spark.read.parquet(path)
     spans = rows.select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.at", "s.h", "s.g")
     often = spans.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
     hits = checkpointed(spans.join(often, ["h", "g"]))
