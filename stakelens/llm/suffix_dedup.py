@@ -4,7 +4,8 @@
    Stretches of windows with one smallest hash are runs (about one for every 70 bytes). Runs whose hash occurs nowhere else are out.
 2. A run whose bytes occur as another run too is repeated as a whole. The other runs of a hash that occurs again go, each distinct one
    once, to shards by that hash.
-3. In a shard the suffix array of all its runs is built by induced sorting: suffixes are classified, the leftmost-smaller
+3. In a shard windows whose hash occurs once are set aside and equal stretches of the others taken once; of these the suffix array
+   is built by induced sorting: suffixes are classified, the leftmost-smaller
    substrings sorted (recursively, if their names aren't unique) and all others induced from them; permuted common prefixes then
    tell which windows equal a neighbour's for ``LENGTH`` bytes.
 4. A hash with more than ``most_pieces`` distinct runs (a passage in very many surroundings) would be one long task: its windows
@@ -159,8 +160,8 @@ def common_prefixes(s: list[int] | bytes, order: list[int], most: int) -> list[i
     return out
 
 
-def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
-    """For each piece, which of its windows occur elsewhere in the pieces."""
+def _sorted_windows(pieces: list[bytes]) -> list[np.ndarray]:
+    """For each piece, which of its windows occur elsewhere in the pieces, by their suffix array."""
     s: list[int] = []
     starts = []
     for p in pieces:
@@ -176,6 +177,29 @@ def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
     return [again[x : x + max(0, len(p) - LENGTH + 1)] for x, p in zip(starts, pieces)]
 
 
+def repeated_windows(pieces: list[bytes]) -> list[np.ndarray]:
+    """For each piece, which of its windows occur elsewhere in the pieces.
+
+    Windows whose hash occurs once cannot; the stretches of the others are sorted, equal stretches once for all.
+    """
+    hashes = [rolling(np.frombuffer(p, np.uint8), LENGTH) for p in pieces]
+    _, back, n = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True, return_counts=True)
+    often = n[back] > 1
+    out, at = [], 0
+    places: dict[bytes, list[tuple[int, int, int]]] = {}
+    for i, (p, h) in enumerate(zip(pieces, hashes)):
+        out.append(np.zeros(len(h), bool))
+        for stretch in _flagged(often[at : at + len(h)]):
+            x, y = stretch["x"], stretch["y"]
+            places.setdefault(p[x : y + LENGTH], []).append((i, x, y))
+        at += len(h)
+    found = _sorted_windows(list(places))
+    for where, again in zip(places.values(), found):
+        for i, x, y in where:
+            out[i][x : y + 1] = True if len(where) > 1 else again
+    return out
+
+
 def _runs_column(text: Column) -> Column:
     kind = pa.struct([("v", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("again", pa.bool_()), ("whole", pa.int64())])
 
