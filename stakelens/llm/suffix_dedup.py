@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakelens.llm.common import checkpointed, text_of
+from stakelens.session import work_path
 
 LENGTH, CONTEXT = 400, 256
 _SHARD_BYTES = 1 << 18
@@ -225,10 +226,13 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(8)).alias("k2")]
 
 
-def repeated_stretches(docs: DataFrame, text: str = "text", most_pieces: int = 4000) -> DataFrame:
+def repeated_stretches(docs: DataFrame, text: str = "text", most_pieces: int = 500) -> DataFrame:
     """(k1, k2, x, y): stretches of windows, first to last, that occur again; k1, k2 stand for the text."""
     value = text_of(text)
-    rows = docs.where(F.octet_length(text) >= LENGTH).select(*_key(value), _runs_column(value).alias("r"))
+    spark = docs.sparkSession
+    path = work_path(spark, "runs")  # read twice, made once
+    docs.where(F.octet_length(text) >= LENGTH).select(*_key(value), _runs_column(value).alias("r")).write.parquet(path)
+    rows = spark.read.parquet(path)
     rows = rows.select("k1", "k2", F.explode("r").alias("r")).select("k1", "k2", "r.*")
     marks = rows.groupBy("v").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).where("n > 1").select("v")
     found = checkpointed(rows.join(marks, "v"))
@@ -243,8 +247,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", most_pieces: int = 4
     wanted = wanted.groupBy("p.k1", "p.k2").agg(F.collect_list(F.struct("v", "whole", "kinds", "p.a", "p.b")).alias("want"))
     texts = docs.where(F.octet_length(text) >= LENGTH).select(*_key(value), F.encode(value, "utf-8").alias("data"))
     cut = texts.join(wanted, ["k1", "k2"]).select("data", F.explode("want").alias("w"))
-    size = F.col("w.b") - F.col("w.a") + LENGTH
-    cut = cut.select("w.v", "w.whole", "w.kinds", F.expr("substring(data, w.a + 1, w.b - w.a + 400)").alias("piece"))
+    cut = cut.select("w.v", "w.whole", "w.kinds", F.expr(f"substring(data, w.a + 1, w.b - w.a + {LENGTH})").alias("piece"))
     cut = checkpointed(cut.dropDuplicates(["v", "whole"]))
     total = cut.where(F.col("kinds") <= most_pieces).agg(F.sum(F.length("piece"))).first()[0] or 0
     shards = max(1, int(total // _SHARD_BYTES))
@@ -303,7 +306,7 @@ def _kept_column(data: Column, stretches: Column) -> Column:
     return keep(data, stretches)
 
 
-def drop_repeated_bytes(docs: DataFrame, text: str = "text", most_pieces: int = 4000) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, text: str = "text", most_pieces: int = 500) -> DataFrame:
     """``docs`` with kept (bytes that stay), n_bytes, n_removed and n_spans."""
     found = repeated_stretches(docs, text, most_pieces).groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "y")).alias("_found"))
     found = found.withColumnsRenamed({"k1": "_f1", "k2": "_f2"})
