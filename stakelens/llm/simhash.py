@@ -9,7 +9,8 @@ not all pairs, and the groups are joined into components.
 
 Defined cases: null and empty texts and texts without words get fingerprint zero and link like any other; texts with fewer words
 than a shingle have one shingle. Null ids never become a component's id unless there is nothing else. Repeated rows each get their
-result. An empty table gives an empty result.
+result. Which row of a group stays is decided for each component, whatever ids are null or repeat in others. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -208,24 +209,39 @@ def near_links(prints: DataFrame, bits: str = "bits", distance: int = 3, shard_r
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, mark, bits) of every document; mark is a hash of the text."""
+    bits = fingerprint_column(text_of(text)).alias("bits")
+    return checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), bits))
+
+
+def _rooted(firsts: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
+    """``firsts`` (a row for each fingerprint) with the root of its component."""
+    roots = components(near_links(prints, distance=distance), "a", "b")
+    return firsts.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def near_groups(docs: DataFrame, distance: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, bits, component_id) for every document."""
-    prints = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text_of(text)).alias("bits")))
-    roots = components(near_links(prints, distance=distance), "a", "b")
-    first = prints.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    prints = _prints(docs, doc_id, text)
+    rooted = _rooted(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), prints, distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = rooted.join(least, "root").select("bits", "component_id")
     return prints.join(ids, "bits").select("doc_id", "bits", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; of rows that repeat that id, one."""
-    grouped = near_groups(docs, distance)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    id_, n = fresh(docs.columns, "_kept_id"), fresh(docs.columns, "_kept_n")
-    kept = kept.select(F.col("doc_id").alias(id_), F.col("_n").alias(n))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept[id_]))
-    once = found.where(F.col(n) == 1).select(*[docs[c] for c in docs.columns])
-    again = found.where(F.col(n) > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id, null ids last; of texts under that id the one with the
+    smallest hash; of rows alike in both, one."""
+    prints = _prints(docs, "doc_id", "text")
+    rows = prints.groupBy("bits", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n")
+    rooted = _rooted(rows.groupBy("bits").agg(F.min(place).alias("first")), prints, distance)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark", "first.n")
+    id_, of, n, mark = (fresh(docs.columns, c) for c in ("_kept_id", "_kept_mark", "_kept_n", "_mark"))
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("mark").alias(of), F.col("n").alias(n))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept[id_]) & (marked[mark] == kept[of]))
+    once = found.where(F.col(n) == 1).select(*[marked[c] for c in docs.columns])
+    again = found.where(F.col(n) > 1).dropDuplicates(["doc_id", mark]).select(*docs.columns)
     return once.unionByName(again)

@@ -113,3 +113,15 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, ""), (7, "alone in here"), (8, long)]
     assert drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    apart = ["the cat sat here today", "a stone bridge over water", "seven green bottles fell down", "ships sail out at dawn"]
+    rows = [(None, t, "x") for t in apart] + [(None, apart[0], "y")]  # a copy without id goes
+    rows += [(1, "first text under this id", "x"), (1, "quite other words and numbers", "x")]  # unlike texts, both first of their group
+    rows += [(2, "twice the same words", "x"), (2, "Twice the same WORDS", "x"), (3, "twice the same words", "x")]  # near copies under one id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bits string")
+    kept = [(r.doc_id, r.text) for r in drop_near_copies(docs).collect()]
+    assert sorted(t for k, t in kept if k is None) == sorted(apart)
+    assert sorted(t for k, t in kept if k == 1) == ["first text under this id", "quite other words and numbers"]
+    assert [k for k, t in kept if t.lower() == "twice the same words"] == [2] and len(kept) == 7
