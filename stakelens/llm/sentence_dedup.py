@@ -1,16 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (ended by a stop mark before white space, or by a line end); a sentence of over ``LONG`` words, such as
-a passage without stops, is cut further after words whose hash says so, so that equal stretches are cut alike wherever they
-stand. Every run of ``SPAN`` consecutive sentences with at least ``LEAST_WORDS`` words is hashed (96 bits, over lower-cased words). Runs whose hash occurs
-more than once anywhere are repeats; the first by document id and place stays, and each sentence that another occurrence covers
+A text is cut into sentences (ended by a stop mark before white space, by a stop of a script without blanks, or by a line end); a
+sentence of over ``LONG`` words, such as a passage without stops, is cut further after words whose hash says so, so that equal
+stretches are cut alike wherever they stand. In scripts without blanks each character counts as a word. From every sentence on the
+shortest run of sentences that has both ``SPAN`` sentences and ``LEAST_WORDS`` words is hashed (96 bits, over lower-cased words), so
+short lines make longer runs and none is passed over. Runs whose hash occurs more than once anywhere are repeats; the first by document id and place stays, and each sentence that another occurrence covers
 is removed. Spans are judged on the texts as they came.
 
 Hashes are counted before the shuffle, only repeated ones go on, and a document's part of the result is bounded by
 its own sentences; a span that stands in a third of all documents is one row per task on its way.
 
-Defined cases: a null text stays null and an empty one empty, without sentences; a text of fewer than ``SPAN`` sentences has
-no span; of documents with one id those with different texts are different documents, ordered by a hash of the text, and
+Defined cases: a null text stays null and an empty one empty, without sentences; a text of fewer than ``SPAN`` sentences or
+``LEAST_WORDS`` words has no span; of documents with one id those with different texts are different documents, ordered by a hash of the text, and
 rows alike in both are one (each keeps what that one keeps); null ids come last. An empty table gives an empty result.
 """
 
@@ -28,8 +29,11 @@ from stakelens.llm.common import checkpointed, fresh
 from stakelens.session import work_path
 
 SPAN, LEAST_WORDS, LONG, CUT_EVERY = 3, 10, 16, 3
-_END = re.compile(r"(?:[.!?…]+[\"'»”)\]]*(?=\s|\Z)|\n)\s*")
-_WORD = re.compile(r"\S+\s*")
+#: Letters of scripts written without blanks: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_END = re.compile(r"(?:[.!?…]+[\"'»”)\]]*(?=\s|\Z)|[。！？｡]+[\"'»”)\]」』）】》]*|\n)\s*")
+_WORD = re.compile(rf"(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*")
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
 _ROWS = 512
 
 
@@ -38,10 +42,11 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     import xxhash
 
     out, at = [], 0
+    blanks = _ANY_UNSPACED.search(text) is None
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
         if end <= at:
             continue
-        words = text[at:end].lower().split()
+        words = text[at:end].lower().split() if blanks else [m[0].strip().lower() for m in _WORD.finditer(text, at, end)]
         if len(words) <= LONG:
             out.append((at, end, words))
         else:
@@ -58,29 +63,30 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, hash, rest of the hash) of each span."""
+def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences, hash, rest of the hash) of each span."""
     import xxhash
 
     parts = sentences(text)
     digests = [xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) for _, _, words in parts]
-    sizes = [len(words) for _, _, words in parts]
-    starts = [i for i in range(len(parts) - SPAN + 1) if sum(sizes[i : i + SPAN]) >= LEAST_WORDS]
-    raw = b"".join([xxhash.xxh3_128_digest(b"".join(digests[i : i + SPAN])) for i in starts])
+    before = np.concatenate([[0], np.cumsum([len(words) for _, _, words in parts], dtype=np.int64)])
+    starts = np.arange(len(parts))
+    ends = np.maximum(starts + SPAN, np.searchsorted(before, before[:-1] + LEAST_WORDS))
+    starts, ends = starts[ends <= len(parts)], ends[ends <= len(parts)]
+    raw = b"".join([xxhash.xxh3_128_digest(b"".join(digests[a:b])) for a, b in zip(starts.tolist(), ends.tolist())])
     words = np.frombuffer(raw, np.int64).reshape(-1, 2)
-    return np.array(starts, np.int32), words[:, 0], words[:, 1].astype(np.int32)
+    return starts.astype(np.int32), (ends - starts).astype(np.int32), words[:, 0], words[:, 1].astype(np.int32)
 
 
 def _spans_column(text: Column) -> Column:
-    @F.arrow_udf("array<struct<at:int,h:long,g:int>>")
+    @F.arrow_udf("array<struct<at:int,len:int,h:long,g:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for start in range(0, len(batch), _ROWS):
                 found = [span_hashes(t.as_py() or "") for t in batch.slice(start, _ROWS)]
                 offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-                at, h, g = (np.concatenate([f[i] for f in found]) for i in range(3))
-                values = pa.StructArray.from_arrays([pa.array(at), pa.array(h), pa.array(g)], ["at", "h", "g"])
-                yield pa.ListArray.from_arrays(pa.array(offsets), values)
+                columns = [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["at", "len", "h", "g"]))
 
     return spans(text)
 
@@ -91,9 +97,9 @@ def _without_column(text: Column, spans: Column) -> Column:
         for texts, removals in batches:
             for start in range(0, len(texts), _ROWS):
                 out = []
-                for text_, starts in zip(texts.slice(start, _ROWS).to_pylist(), removals.slice(start, _ROWS).to_pylist()):
+                for text_, runs in zip(texts.slice(start, _ROWS).to_pylist(), removals.slice(start, _ROWS).to_pylist()):
                     parts = sentences(text_ or "")
-                    gone = {i + k for i in starts or () for k in range(SPAN)}
+                    gone = {k for run in runs or () for k in range(run["at"], run["at"] + run["len"])}
                     kept = text_ if not gone else "".join([text_[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone])
                     out.append({"text": kept, "n": len(parts), "removed": len(gone)})
                 kind = pa.struct([("text", pa.string()), ("n", pa.int32()), ("removed", pa.int32())])
@@ -103,25 +109,25 @@ def _without_column(text: Column, spans: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, mark, at): first sentences of the spans that repeat an earlier one; mark is a hash of the text."""
+    """(doc_id, mark, at, len): first sentence and length of the spans that repeat an earlier one; mark is a hash of the text."""
     spark = docs.sparkSession
     path = work_path(spark, "spans")  # read twice, made once
     docs.select("doc_id", F.xxhash64(text).alias("mark"), _spans_column(F.col(text)).alias("spans")).write.parquet(path)
     rows = spark.read.parquet(path)
-    spans = rows.select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.at", "s.h", "s.g")
+    spans = rows.select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.at", "s.len", "s.h", "s.g")
     often = spans.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
     hits = checkpointed(spans.join(often, ["h", "g"]))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at")
     firsts = hits.groupBy("h", "g").agg(F.min(place).alias("first"))
     later = hits.join(firsts, ["h", "g"]).where(~F.col("first").eqNullSafe(place))
-    return later.select("doc_id", "mark", "at").distinct()
+    return later.select("doc_id", "mark", "at", "len").distinct()
 
 
 def drop_repeated_sentences(docs: DataFrame, text: str = "text", figures: bool = False) -> DataFrame:
     """``docs`` with repeated sentences taken out of the text; with ``figures`` also n_sentences and n_removed."""
     later = repeated_spans(docs, text)
     id_, mark, cut = (fresh(docs.columns, c) for c in ("_cut_id", "_mark", "_cut"))
-    cuts = later.groupBy(F.col("doc_id").alias(id_), "mark").agg(F.collect_list("at").alias(cut))
+    cuts = later.groupBy(F.col("doc_id").alias(id_), "mark").agg(F.collect_list(F.struct("at", "len")).alias(cut))
     cuts = cuts.withColumnRenamed("mark", f"{mark}_")
     marked = docs.withColumn(mark, F.xxhash64(text))
     joined = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts[id_]) & (marked[mark] == cuts[f"{mark}_"]), "left")

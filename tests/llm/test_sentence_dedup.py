@@ -57,3 +57,35 @@ def test_odd_rows(spark):
     assert [t for k, t, _ in got if k in (1, None)] == ["Intro. " + run, "End."]
     assert {k: t for k, t, _ in got if k in (3, 4, 5)} == {3: None, 4: "", 5: "Short. Short. Short. Short."}
     assert drop_repeated_sentences(docs.limit(0)).count() == 0
+
+
+def grown(docs):
+    """As plain(), each span grown until it has both SPAN sentences and LEAST_WORDS words."""
+    seen, parts_of = defaultdict(list), {k: sentences(text or "") for k, text in docs}
+    for k, parts in parts_of.items():
+        for i in range(len(parts)):
+            end = next((j for j in range(i + SPAN, len(parts) + 1) if sum(len(p[2]) for p in parts[i:j]) >= LEAST_WORDS), None)
+            if end:
+                seen[str([p[2] for p in parts[i:end]])].append((k, i, end))
+    gone = defaultdict(set)
+    for places in seen.values():
+        for k, i, end in sorted(places)[1:]:
+            gone[k].update(range(i, end))
+    for k, text in docs:
+        parts = parts_of[k]
+        yield k, text if not gone[k] else "".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone[k]), len(parts), len(gone[k])
+
+
+def test_query_with_grown_spans(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op5_sentence_spans"](spark, sf).collect()
+    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(grown(docs))
+
+
+def test_repeated_passage_of_short_lines(spark):
+    lines = "".join(f"line{i} of verse\n" for i in range(20))
+    han = "".join(f"{chr(0x4e00 + 7 * i)}{chr(0x5e00 + 5 * i)}{chr(0x6e00 + 3 * i)}。" for i in range(12))
+    docs = [(1, "own start here\n" + lines + "own end"), (2, "other beginning\n" + lines + "other tail"), (3, "甲乙。" + han + "丙丁。"), (4, "戊己。" + han + "庚辛。")]
+    got = {r.doc_id: r.text for r in drop_repeated_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "other beginning\nother tail", 3: docs[2][1], 4: "戊己。庚辛。"}
