@@ -6,8 +6,9 @@ count + 1 (one more share for all unseen words), so every token of any text has
 is thus bounded (symbols x states), while counts of all other words stay in a table and meet the texts in a join.
 
 Training: each pass of Baum-Welch sums the expected counts of states, moves and emissions over partitions, combined per task and added up by symbol.
-The first ``warm_passes`` passes read one sixteenth of the training texts each, every pass another one; the last pass reads all. In training
-texts are cut into stretches of ``_STRETCH`` tokens; scoring runs over whole texts.
+All passes, ``warm_passes`` and the last one, read all training texts; a pass without tokens leaves the model as it is. In training
+texts are cut into stretches of ``_STRETCH`` tokens, each read with ``_OVERLAP`` more on either side that are not counted, so that a
+stretch has the states around it, moves across cuts count once and only the text's own start is a start; scoring runs over whole texts.
 
 Defined cases: a null text is empty and consists of its end; rows that repeat are scored each; null ids count as training rows. Without
 training rows every token is unseen. An empty table gives an empty result.
@@ -29,7 +30,7 @@ from stakelens.llm.common import checkpointed, table, text_of  # noqa: F401
 from stakelens.session import work_path
 
 END = b""
-_STRETCH, _BATCH, _DOCS, _FLUSH = 256, 512, 2048, 400_000
+_STRETCH, _OVERLAP, _BATCH, _DOCS, _FLUSH = 1024, 64, 256, 2048, 400_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -116,8 +117,13 @@ class Hmm:
         out[order] = total
         return out
 
-    def expected(self, rows: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add the expected counts of starts, moves and emissions over sequences of like length to ``into``."""
+    def expected(
+        self, rows: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray], counted: list[tuple[int, int]] | None = None
+    ) -> None:
+        """Add the expected counts of starts, moves and emissions over sequences of like length to ``into``.
+
+        ``counted``: of each sequence the tokens (from, to) that count, with the moves into them; from 0 it is a start.
+        """
         sizes = np.array([len(r) for r in rows])
         steps, n, s = sizes.max(), len(rows), len(self.start)
         there = np.arange(steps)[:, None] < sizes[None, :]
@@ -140,8 +146,12 @@ class Hmm:
                 # a sequence that has not begun (from behind) keeps beta at 1
                 beta = np.where(there[t][:, None], ahead[t] @ self.move.T, 1.0)
         gamma /= gamma.sum(axis=2, keepdims=True)
-        gamma[~there] = 0.0
-        ahead[~there] = 0.0
+        counts = there
+        if counted is not None:
+            span, at = np.array(counted), np.arange(steps)[:, None]
+            counts = there & (at >= span[:, 0]) & (at < span[:, 1])
+        gamma[~counts] = 0.0
+        ahead[~counts] = 0.0
         starts, moves, emissions = into
         starts += gamma[0].sum(axis=0)
         if steps > 1:
@@ -170,6 +180,13 @@ def _symbol_rows(words: list[bytes], of: dict[bytes, int], classes: int) -> np.n
     return np.array([i if (i := of.get(w)) is not None else m + word_class(w, classes) for w in words], np.int64)
 
 
+def stretches(row: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """A text's stretches with their surroundings, and which of the tokens count."""
+    for at in range(0, len(row), _STRETCH):
+        begin = max(0, at - _OVERLAP)
+        yield row[begin : at + _STRETCH + _OVERLAP], (at - begin, min(at + _STRETCH, len(row)) - begin)
+
+
 def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over a one-column frame of texts."""
     spark, states = texts.sparkSession, len(model.start)
@@ -181,19 +198,18 @@ def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, n
         known, now = shared.value
         of = known.lookup()
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-        waiting: list[np.ndarray] = []
+        waiting: list[tuple[np.ndarray, tuple[int, int]]] = []
 
         def work(least: int) -> None:
             nonlocal waiting
-            waiting.sort(key=len, reverse=True)
+            waiting.sort(key=lambda w: len(w[0]), reverse=True)
             while len(waiting) > least:
-                now.expected(waiting[:_BATCH], counts)
+                now.expected([w[0] for w in waiting[:_BATCH]], counts, [w[1] for w in waiting[:_BATCH]])
                 waiting = waiting[_BATCH:]
 
         for batch in batches:
             for value in batch.column(0):
-                row = _symbol_rows(tokens(value.as_py() or ""), of, known.classes)
-                waiting.extend(row[i : i + _STRETCH] for i in range(0, len(row), _STRETCH))
+                waiting.extend(stretches(_symbol_rows(tokens(value.as_py() or ""), of, known.classes)))
                 if len(waiting) >= 4 * _BATCH:
                     work(_BATCH)
         work(0)
@@ -239,11 +255,11 @@ def train(
     unigram = np.concatenate([[c + 1 for _, c in symbols.frequent], totals])
     unigram = unigram / unigram.sum()
     model = Hmm.beginning(unigram, states)
-    fold = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(16)), F.lit(0))
-    for i in range(warm_passes):
-        some = texts.where(fold == i % 16).select("text")
-        model = Hmm.from_counts(*_pass(some, symbols, model), unigram)
-    model = Hmm.from_counts(*_pass(texts.select("text"), symbols, model), unigram)
+    for _ in range(warm_passes + 1):
+        counts = _pass(texts.select("text"), symbols, model)
+        if not counts[2].any():
+            break  # no training tokens: there is nothing to learn from
+        model = Hmm.from_counts(*counts, unigram)
     return Trained(symbols, model, words, totals)
 
 

@@ -81,3 +81,28 @@ def test_few_frequent_words_and_odd_rows(spark):
     none = train(docs.limit(0), frequent=4, classes=8, states=2, warm_passes=1)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in score_documents(docs, none).collect())
     assert score_documents(docs.limit(0), trained).count() == 0
+
+
+def test_stretches_count_as_the_whole_text():
+    from stakelens.llm.hmm import stretches
+
+    model = small_model()
+    model.move = 0.9 * np.eye(3) + 0.1 * model.move
+    rows = [np.random.default_rng(4).integers(0, 5, n) for n in (1, 1024, 1025, 5000)]
+    whole = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for row in rows:
+        model.expected([row], whole)
+    cut = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    pieces = [p for row in rows for p in stretches(row)]
+    model.expected([p[0] for p in pieces], cut, [p[1] for p in pieces])
+    for a, b in zip(cut, whole):
+        assert np.allclose(a, b, rtol=1e-4)
+
+
+def test_every_pass_reads_all_texts(spark):
+    # ids all null fell into one fold, and passes over the other folds wiped out the states
+    docs = spark.createDataFrame([(None, f"a b c{i % 9} d e f a b") for i in range(40)], "doc_id long, text string")
+    model = train(docs, frequent=20, classes=4, states=2, warm_passes=2).model
+    assert not np.allclose(model.emit[:, 0], model.emit[:, 1])
+    none = train(docs.limit(0), frequent=4, classes=8, states=2, warm_passes=1).model
+    assert not np.allclose(none.emit[:, 0], none.emit[:, 1])
