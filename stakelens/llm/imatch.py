@@ -1,9 +1,10 @@
 """I-Match fingerprints over several randomised lexicon subsets.
 
-Terms are the lower-cased words of a text. Document frequencies are counted over all documents by hashed term (``bucket_bits`` bits,
-so their table has a fixed size whatever the vocabulary; terms that share a bucket share its count). The lexicon is what lies in the chosen band of inverse document frequency.
+Terms are the lower-cased words of a text. Document frequencies are counted over all documents by 64-bit hash of the term. The
+lexicon is what lies in the chosen band of inverse document frequency, held as a filter of one bit for each value of the hash's lowest
+bits: ``bucket_bits`` of them at least, and as many as give ``ROOM`` bits to each term of the band.
 From it ``COPIES`` x ``LEVELS`` random subsets are drawn; those of a level keep each term with the same
-probability, from 1/2 down to 1/2048, so that for a text of any length some subsets keep about one of its terms. For each
+probability, from 1/2 down to 2^-22, so that for a text of any length some subsets keep about one of its terms. For each
 subset the distinct terms it keeps are sorted and hashed to three hex digits: ``000`` where it keeps none, ``fff`` where the
 level keeps too many to be telling (over ``DENSE`` expected).
 
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakelens.llm.common import conf_partitions, text_of
+from stakelens.llm.common import checkpointed, conf_partitions, text_of
 
-COPIES, LEVELS, DENSE, ENOUGH = 16, 11, 8, 24
+COPIES, LEVELS, DENSE, ENOUGH = 16, 22, 8, 24
+ROOM = 64
 _FLUSH = 2_000_000  # hashed terms held by a task before they are counted and passed on
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, COPIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RATE = np.uint64(64) - np.arange(1, LEVELS + 1, dtype=np.uint64)
@@ -45,41 +47,42 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", bucket_bits: int = 24) -> DataFrame:
-    """(bucket, n): the number of documents that hold a term of each bucket, collisions of one document counted by term."""
-    mask = np.uint64((1 << bucket_bits) - 1)
+    """(term, n): the number of documents that hold each term, by its 64-bit hash; ``bucket_bits`` is kept for callers and unused."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def counted() -> pa.RecordBatch:
-            bucket, n = np.unique(np.concatenate([np.empty(0, np.int32), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+            term, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                held.append((_hashes(value.as_py() or "") & mask).astype(np.int32))
+                held.append(_hashes(value.as_py() or "").view(np.int64))
                 size += len(held[-1])
                 if size >= _FLUSH:
                     yield counted()
                     held, size = [], 0
         yield counted()
 
-    return docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame, documents: int, bucket_bits: int, least_documents: int, most_share: float) -> bytes:
-    """A bit for each bucket: whether its frequency lies in the band. 2 ** bucket_bits bits."""
+    """A bit for each bucket: whether a term of it lies in the band. At least 2 ** bucket_bits bits."""
+    kept = checkpointed(counts.where((F.col("n") >= least_documents) & (F.col("n") <= most_share * documents)).select("term"))
+    bucket_bits = max(bucket_bits, (ROOM * kept.count() - 1).bit_length())
     slice_bits = min(15, bucket_bits)
 
     def pack(rows: pa.Table) -> pa.Table:
         bits = np.zeros(1 << slice_bits, np.uint8)
-        bits[rows["bucket"].to_numpy() & ((1 << slice_bits) - 1)] = 1
+        bits[rows["term"].to_numpy() & ((1 << slice_bits) - 1)] = 1
         return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    kept = counts.where((F.col("n") >= least_documents) & (F.col("n") <= most_share * documents))
-    parts = kept.select(F.shiftright("bucket", slice_bits).alias("part"), "bucket").groupBy("part").applyInArrow(
-        pack, "part int, bits binary"
+    bucket = F.col("term").bitwiseAND(F.lit((1 << bucket_bits) - 1))
+    parts = kept.select(F.shiftright(bucket, slice_bits).alias("part"), "term").groupBy("part").applyInArrow(
+        pack, "part long, bits binary"
     )
     size = (1 << slice_bits) // 8
     out = bytearray((1 << bucket_bits) // 8)
@@ -90,8 +93,8 @@ def lexicon(counts: DataFrame, documents: int, bucket_bits: int, least_documents
 
 class Fingerprinter:
     def __init__(self, bits: bytes):
-        self._in = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        self._mask = np.uint64(len(self._in) - 1)
+        self._in = np.frombuffer(bits, np.uint8)
+        self._mask = np.uint64(8 * len(self._in) - 1)
 
     def of(self, text: str) -> np.ndarray:
         """A number for each level and subset: 0 nothing kept, 0xFFF too dense, else a hash of what is kept."""
@@ -99,7 +102,8 @@ class Fingerprinter:
 
         out = np.zeros((LEVELS, COPIES), np.uint16)
         terms = _hashes(text)
-        kept = terms[self._in[terms & self._mask]]
+        bucket = terms & self._mask
+        kept = terms[(self._in[bucket >> np.uint64(3)] << (bucket & np.uint64(7)).astype(np.uint8)) & 128 > 0]
         kept = np.sort(kept if len(kept) else terms)
         if not len(kept):
             return out

@@ -62,3 +62,22 @@ def test_odd_rows(spark):
     one = fingerprint_documents(docs.where("doc_id = 9"), bucket_bits=16).collect()
     assert [(r.n_chars, r.near_next, r.edited_sha256) for r in one] == [(3, 1.0, hashlib.sha256(b"ono").hexdigest())]
     assert fingerprint_documents(docs.limit(0), bucket_bits=16).count() == 0
+
+
+def test_very_long_texts():
+    maker = Fingerprinter(b"\xff" * 128)
+    words = [f"w{i}" for i in range(200_000)]
+    a = maker.of(" ".join(words))
+    near = likeness(a, maker.of(" ".join(words[10_000:] + [f"v{i}" for i in range(10_000)])))
+    half = likeness(a, maker.of(" ".join(words[100_000:] + [f"v{i}" for i in range(100_000)])))
+    assert near > 0.7 and 0.05 < half < near
+    assert likeness(a, maker.of(" ".join(f"z{i}" for i in range(200_000)))) < 0.05
+
+
+def test_terms_of_one_bucket_keep_their_counts(spark):
+    docs = spark.createDataFrame([(" ".join(f"once{d}x{i}" for i in range(400)) + " shared",) for d in range(40)], "text string")
+    counts = document_frequencies(docs, bucket_bits=12)
+    assert counts.count() == 16_001 and counts.where("n > 1").count() == 1
+    assert np.unpackbits(np.frombuffer(lexicon(counts, 40, 12, 2, 1.0), np.uint8)).sum() == 1
+    wide = lexicon(counts, 40, 12, 1, 1.0)  # 16,001 terms get a filter of their size
+    assert 8 * len(wide) >= 64 * 16_001
