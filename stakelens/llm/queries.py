@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stakelens.llm.common import table
+from stakelens.llm.reference_sql import OP12_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +159,27 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op11_learned_partitions")
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of largest cosine found for every fiftieth vector."""
+    from stakelens.llm.learned_partitions import nearest_by_cosine
+
+    return nearest_by_cosine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_filter_diagrams", OP12_SQL)
+def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all orders of five filters for every source."""
+    from stakelens.llm.filter_audit import audit_documents
+
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and which fail after their text was changed."""
+    from stakelens.llm.merkle import tampered, verified_manifest
+
+    return verified_manifest(table(spark, sf_dir, "documents"), tampered(F.crc32(F.col("doc_id").cast("string")) % 5 == 0))
