@@ -1,19 +1,41 @@
-"""Name normalisation used as a join key."""
+"""Name normalisation used as a join key.
+
+Two forms with one meaning (compatibility decomposition without combining characters, trimmed, lower case):
+
+* ``norm_name``: a Column expression for letters of the basic plane, built from the character tables;
+* ``name_keys``: a dictionary of the distinct names that are not plain ASCII, folded by ``unicodedata`` in Arrow batches and looked up.
+  It knows every script, and no row is folded twice.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
 
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Characters that decompose to one base letter plus marks, and those that decompose to several letters.
+def _ranges(codes: Sequence[int]) -> str:
+    """A regular expression class of the given code points."""
+    out, last = [], None
+    for code in codes:
+        if last is not None and code == last[1] + 1:
+            last[1] = code
+        else:
+            last = [code, code]
+            out.append(last)
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
-    Hangul is left whole, as are characters outside the basic plane.
+
+def _fold_tables() -> tuple[str, str, dict[str, str], str]:
+    """Letters that decompose to one base letter plus marks, those that decompose to several, and the class of marks.
+
+    Hangul is left whole here, as are letters outside the basic plane.
     """
     source, target, several = [], [], {}
     for code in (*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)):
@@ -24,32 +46,53 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
             target.append(base)
         elif len(base) > 1:
             several[chr(code)] = base
-    return "".join(source), "".join(target), several
+    marks = [code for code in range(0x300, 0x110000) if unicodedata.combining(chr(code))]
+    return "".join(source), "".join(target), several, _ranges(marks)
 
 
-_SOURCE, _TARGET, _SEVERAL = _fold_tables()
-_LONG = "[" + "".join(_SEVERAL) + "]"
-WHITESPACE = " \t\n\r\x0b\x0c"
+_SOURCE, _TARGET, _SEVERAL, _MARKS = _fold_tables()
+_LONG = _ranges(sorted(map(ord, _SEVERAL)))
+
+
+def _plain(c: Column) -> Column:
+    """ASCII only: one byte for each character."""
+    return F.octet_length(c) == F.length(c)
 
 
 def norm_name(c: Column | str) -> Column:
-    """Strip accents, trim, lower: letters by translate, ligatures by lookup, loose marks by regex."""
+    """Strip accents, trim, lower: letters by translate, loose marks by class, ligatures by lookup where any is left."""
     c = F.col(c) if isinstance(c, str) else c
-    whole = c
     table = F.map_from_arrays(F.lit(list(_SEVERAL)), F.lit(list(_SEVERAL.values())))
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    c = F.when(c.rlike(_LONG), spelled).otherwise(c)
-    folded = F.regexp_replace(F.translate(c, _SOURCE, _TARGET), r"\p{Mn}+", "")
-    # plain ASCII (one byte per character) has nothing to fold
-    plain = F.when(F.octet_length(whole) == F.length(whole), whole).otherwise(folded)
-    return F.lower(F.btrim(plain, F.lit(WHITESPACE)))
+    single = F.translate(c, _SOURCE, _TARGET)
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    long = F.when(single.rlike(_LONG), spelled).otherwise(single)
+    # most names are done after the letters; the classes are looked at only where something is left
+    folded = F.when(_plain(single), single).otherwise(F.regexp_replace(long, _MARKS + "+", ""))
+    return F.lower(F.btrim(F.when(_plain(c), c).otherwise(folded), F.lit(WHITESPACE)))
+
+
+def fold_name(name: str | None) -> str | None:
+    """The key of one name."""
+    if name is None:
+        return None
+    return "".join(p for p in unicodedata.normalize("NFKD", name) if not unicodedata.combining(p)).strip(WHITESPACE).lower()
 
 
 @F.pandas_udf(T.StringType())
 def norm_name_full(names: pd.Series) -> pd.Series:
-    """Full compatibility decomposition for scripts outside Latin; Arrow batches."""
-    folded = names.str.normalize("NFKD").str.replace(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]", "", regex=True)
-    return folded.str.strip().str.lower()
+    """Keys of names in any script; Arrow batches."""
+    return names.map(fold_name)
+
+
+def name_keys(df: DataFrame, name: str, key: str = "name_norm") -> DataFrame:
+    """Add the key of ``name``: plain names by expression, each other distinct name folded once and looked up."""
+    from stakelens.operators.ordered import lookup_join
+
+    c = F.col(name)
+    odd = df.where(~_plain(c)).select(c.alias("_name")).distinct()
+    folded = odd.select("_name", norm_name_full("_name").alias("_folded"))
+    looked = lookup_join(df.withColumn("_name", F.when(~_plain(c), c)), folded, ["_name"], "left")
+    return looked.withColumn(key, F.coalesce("_folded", F.lower(F.btrim(c, F.lit(WHITESPACE))))).drop("_name", "_folded")
 
 
 def flip_last_first(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakelens.functions import typing as t
-from stakelens.functions.names import norm_name
+from stakelens.functions.names import name_keys
 from stakelens.functions.odds import unit_profit
 
 
@@ -40,7 +40,7 @@ def result_wins(stat: Column, line: Column, side: Column, push: str = "loss") ->
 
 
 def typed_quotes(quotes: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Quotes joined to their game, with typed prices and the normalised player name."""
+    """Quotes joined to their game, with typed prices."""
     joined = quotes.join(bridge, "event_id")
     return joined.withColumns(
         {
@@ -49,11 +49,15 @@ def typed_quotes(quotes: DataFrame, bridge: DataFrame) -> DataFrame:
             "line": t.signed_number("line"),
             "best_over_odds": t.try_int("best_over_odds"),
             "best_under_odds": t.try_int("best_under_odds"),
-            "name_norm": norm_name("player_name"),
         }
     )
 
 
+def keyed_quotes(quotes: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Typed quotes with the normalised player name."""
+    return name_keys(typed_quotes(quotes, bridge), "player_name")
+
+
 def both_sides(df: DataFrame, stat: str, over: str = "best_over_odds", under: str = "best_under_odds") -> DataFrame:
     """One quote -> an under row and an over row with own price and result; unpriced sides drop."""
     sides = F.array(

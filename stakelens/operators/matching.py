@@ -43,3 +43,31 @@ def only_new(candidates: DataFrame, done: DataFrame, keys: Sequence[str]) -> Dat
 
 def only_known(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     return candidates.join(known.select(*keys), list(keys), "left_semi")
+
+
+def islands(df: DataFrame, by: Sequence[str], day: str, first: str = "d0", last: str = "d1") -> DataFrame:
+    """Runs of consecutive days per group: one row for each run.
+
+    Days are made distinct before they are numbered, so a group's window holds its calendar, not its rows.
+    """
+    days = df.where(F.col(day).isNotNull()).select(*by, day).distinct()
+    number = F.row_number().over(W.partitionBy(*by).orderBy(day))
+    runs = days.withColumn("_run", F.date_sub(F.col(day), number))
+    return runs.groupBy(*by, "_run").agg(F.min(day).alias(first), F.max(day).alias(last)).drop("_run")
+
+
+def in_islands(df: DataFrame, runs: DataFrame, by: Sequence[str], day: str, flag: str = "in_window") -> DataFrame:
+    """Flag the rows whose day lies within a run of their group.
+
+    A range join by calendar month: each run is listed under the months that it touches, so a row meets only the runs of its own
+    month, of which there are at most sixteen and at most one holds the day.
+    """
+    month = F.trunc(F.col(day), "month")
+    steps = F.sequence(F.trunc("d0", "month"), F.trunc("d1", "month"), F.expr("interval 1 month"))
+    listed = runs.select(*[F.col(c).alias(f"_r_{c}") for c in by], "d0", "d1", F.explode(steps).alias("_month"))
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
+    hit = (month == F.col("_month")) & F.col(day).between(F.col("d0"), F.col("d1"))
+    for condition in same:
+        hit = hit & condition
+    out = df.join(listed, hit, "left").withColumn(flag, F.col("d0").isNotNull())
+    return out.drop("d0", "d1", "_month", *[f"_r_{c}" for c in by])

@@ -31,17 +31,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+
+
+def text_bytes(df: DataFrame) -> int:
+    """Size of all rows, spelled out."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).head()[0]
 
 
 def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join many rows to a table expected to be small, without moving the rows.
 
-    The table is computed and counted first: up to ``BROADCAST_ROWS`` it is broadcast,
+    The table is computed and measured first: up to ``BROADCAST_BYTES`` it is broadcast,
     beyond that the join shuffles and Spark's skew handling applies.
     """
     small = checkpointed(small)
-    if small.count() <= BROADCAST_ROWS:
+    if text_bytes(small) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return null_safe_join(rows, small, on, how)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakelens.functions.names import norm_name
+from stakelens.functions.names import name_keys
 from stakelens.functions.odds import unit_profit
 from stakelens.operators import cuts as c
 from stakelens.operators import gamelog as g
@@ -79,6 +79,10 @@ def typed_quotes(spark, sf) -> DataFrame:
     return gr.typed_quotes(a.quotes(spark, sf), a.event_games(spark, sf))
 
 
+def keyed_quotes(spark, sf) -> DataFrame:
+    return gr.keyed_quotes(a.quotes(spark, sf), a.event_games(spark, sf))
+
+
 @query(
     "join_odds_games",
     with_tables("quotes", "event_games", extra=_TYPED)
@@ -99,13 +103,13 @@ def graded_props(spark, sf) -> DataFrame:
     role = F.when(F.col("market_key") == "pitcher_strikeouts", F.lit("pitcher")).when(
         F.col("market_key").startswith("batter"), F.lit("batter")
     )
-    quotes = typed_quotes(spark, sf).withColumn("role", role).where(F.col("role").isNotNull())
+    quotes = keyed_quotes(spark, sf).withColumn("role", role).where(F.col("role").isNotNull())
     box = a.boxscore(spark, sf)
     lines = (
-        box.where((F.col("position_type") != "Pitcher") | F.col("is_starter"))
+        name_keys(box, "player_name").where((F.col("position_type") != "Pitcher") | F.col("is_starter"))
         .withColumn("role", F.when(F.col("position_type") == "Pitcher", F.lit("pitcher")).otherwise(F.lit("batter")))
         .select(
-            "game_pk", norm_name("player_name").alias("name_norm"), "role",
+            "game_pk", "name_norm", "role",
             "hits", "total_bases", "rbi", "home_runs", "strikeouts",
         )
     )
@@ -429,13 +433,14 @@ _PROVIDER = [
 def q_entity_resolution(spark, sf):
     games = a.games(spark, sf)
     keys = {
-        "_home": (norm_name("home_name"), norm_name("home_name")),
-        "_away": (norm_name("away_name"), norm_name("away_name")),
+        "_home": (F.col("_h"), F.col("_h")),
+        "_away": (F.col("_a"), F.col("_a")),
         "_day": (F.col("game_date"), F.col("event_day")),
     }
-    provider = games.where("status <> 'P'").selectExpr(*_PROVIDER)
+    schedule, provider = games.selectExpr(*_SCHEDULE), games.where("status <> 'P'").selectExpr(*_PROVIDER)
+    keyed = [name_keys(name_keys(t, "home_name", "_h"), "away_name", "_a") for t in (schedule, provider)]
     latest = F.struct("listed", "provider_id")
-    return m.resolve(games.selectExpr(*_SCHEDULE), provider, keys, latest, ["provider_id"])
+    return m.resolve(*keyed, keys, latest, ["provider_id"]).drop("_h", "_a")
 
 
 @query("distinct_rows", with_tables("boxscore") + "SELECT DISTINCT game_pk, game_date FROM boxscore")
@@ -453,7 +458,7 @@ def q_distinct_rows(spark, sf):
     "quote_ref, slot) = 1",
 )
 def q_main_line(spark, sf):
-    rows = typed_quotes(spark, sf).where("game_pk IS NOT NULL").select(
+    rows = keyed_quotes(spark, sf).where("game_pk IS NOT NULL").select(
         "game_pk", "name_norm", "market_key", "line", "best_over_odds", "best_under_odds", "book_id", "quote_ref", "slot",
     )
     return gr.main_line(rows, ["game_pk", "name_norm"], "best_over_odds", ["book_id", "quote_ref", "slot"]).drop("slot")

@@ -193,24 +193,19 @@ def q_line_band_side(spark, sf):
     return stats.withColumn("passed", gate_pass("strict"))
 
 
-_SEASONS = (1998, 1999, 2000)
-
-
-def _season_sql() -> str:
-    return ", ".join(roi_sql(clv=None, where=f"season = {y}", tag=f"_{t}") for t, y in zip("abc", _SEASONS))
-
-
 @query(
     "season_replication",
     with_tables("picks", extra=f"d AS (SELECT 'line' AS dim, CAST(line AS VARCHAR) AS value, * FROM picks "
     f"UNION ALL SELECT 'band', {_BAND}, * FROM picks), "
-    f"m AS (SELECT market, dim, value, {_season_sql()} FROM d WHERE value IS NOT NULL GROUP BY 1, 2, 3)")
-    + "SELECT market, dim, value, n_a, roi_a, n_b, roi_b, n_c, roi_c, "
-    "coalesce(n_a >= 500 AND roi_lo_a > 0 AND n_b >= 500 AND roi_lo_b > 0 AND roi_a > 0 AND roi_b > 0, false) AS replicated "
-    "FROM m WHERE dim = 'band' OR n_a >= 200 OR n_b >= 200",
+    f"m AS (SELECT market, dim, value, season, {roi_sql(clv=None)} FROM d WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4), "
+    "l AS (SELECT c.*, p.n AS n_before, p.roi AS roi_before, p.roi_lo AS roi_lo_before FROM m c LEFT JOIN m p ON c.market = p.market "
+    "AND c.dim = p.dim AND c.value = p.value AND c.season = p.season + 1)")
+    + "SELECT market, dim, value, season, n, roi, n_before, roi_before, "
+    "coalesce(n >= 500 AND roi_lo > 0 AND n_before >= 500 AND roi_lo_before > 0 AND roi > 0 AND roi_before > 0, false) AS replicated "
+    "FROM l WHERE dim = 'band' OR n >= 200 OR n_before >= 200",
 )
 def q_season_replication(spark, sf):
-    """Line and band matrices per season; replicated = both reference seasons pass on their own."""
+    """Line and band matrices of every season beside the season before; replicated = both pass on their own."""
     cells = moments(
         picks(spark, sf).withColumn("band", c.odds_band()), ["market", "line", "band", "season"], clv=None
     )
@@ -219,17 +214,16 @@ def q_season_replication(spark, sf):
         F.struct(F.lit("band").alias("dim"), F.col("band").alias("value")),
     )
     long = cells.select("market", "season", F.inline(dims), *[x for x in ("n", "wins", "s1", "s2", "clv_sum", "clv_n")])
-    sums = [s for tag, y in zip("abc", _SEASONS) for s in sums_where(F.col("season") == y, f"_{tag}")]
-    merged = long.where(F.col("value").isNotNull()).groupBy("market", "dim", "value").agg(*sums)
-    stats = merged.select(
-        "market", "dim", "value", *[x for t in "abc" for x in stats_from_moments(f"_{t}", clv=False, out_suffix=f"_{t}")]
+    by = ["market", "dim", "value", "season"]
+    stats = merge_moments(long.where(F.col("value").isNotNull()), by).select(*by, *stats_from_moments(clv=False))
+    # one row for each season, so a window of the seasons of one value is short
+    seasons = W.partitionBy("market", "dim", "value").orderBy("season").rangeBetween(-1, -1)
+    stats = stats.withColumns({f"{x}_before": F.first(x).over(seasons) for x in ("n", "roi", "roi_lo")})
+    both = gate_pass("strict") & gate_pass("strict", "n_before", "roi_before", "roi_lo_before")
+    positive = (F.col("roi") > 0) & (F.col("roi_before") > 0)
+    return stats.where("dim = 'band' OR n >= 200 OR n_before >= 200").select(
+        *by, "n", "roi", "n_before", "roi_before", F.coalesce(both & positive, F.lit(False)).alias("replicated")
     )
-    both = gate_pass("strict", "n_a", "roi_a", "roi_lo_a") & gate_pass("strict", "n_b", "roi_b", "roi_lo_b")
-    positive = (F.col("roi_a") > 0) & (F.col("roi_b") > 0)
-    return stats.where("dim = 'band' OR n_a >= 200 OR n_b >= 200").select(
-        "market", "dim", "value", "n_a", "roi_a", "n_b", "roi_b", "n_c", "roi_c",
-        F.coalesce(both & positive, F.lit(False)).alias("replicated"),
-    )
 
 
 @query(

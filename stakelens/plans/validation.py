@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakelens.functions.names import norm_name
+from stakelens.functions.names import name_keys
 from stakelens.functions.odds import implied_prob, unit_profit
 from stakelens.operators import cuts as c
 from stakelens.operators import validation as v
+from stakelens.operators.matching import in_islands, islands
 from stakelens.operators.splits import index_split, stable_flag, walk_forward_cells
 from stakelens.operators.stats import gate_pass, moments, roi_columns, stats_from_moments, steady_round, sums_where
-from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, roi_sql, round_sql, with_tables
+from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, quotes, roi_sql, round_sql, with_tables
 from stakelens.plans.registry import ORACLES, query
 from stakelens.plans.scalars import _implied
 from stakelens.plans.sweeps import strategy_bets
@@ -121,48 +122,60 @@ def q_cross_source_validate(spark, sf):
     return v.side_by_side(picks(spark, sf), ["market", "side", "line"], "source", "backtest", "production")
 
 
-# best market quotes: other books' prices for the same player, day, line and market
-_OWN_NAME = "'José Núñez ' || CAST(player_id AS STRING)"
+# best market quotes: the whole quote table, each side at its own price, against the picks placed for the same bet
+_OWN_NAME = (
+    "CASE WHEN player_id % 3 = 0 THEN 'José Núñez ' WHEN player_id % 3 = 1 THEN 'Zoë Müller ' ELSE 'Sam Hill ' END "
+    "|| CAST(player_id AS STRING)"
+)
+# fixed values: the quote table's name of each picked market
+_QUOTED_AS = {
+    "hits": "batter_hits", "total_bases": "batter_total_bases", "rbis": "batter_rbis", "home_runs": "batter_home_runs",
+    "pitcher_strikeouts": "pitcher_strikeouts", "totals": "totals", "spreads": "spreads__away", "h2h": "h2h__away",
+}
+_MARKET_SQL = "CASE market_key " + " ".join(f"WHEN '{q}' THEN '{m}'" for m, q in _QUOTED_AS.items()) + " END"
 _BOOK = [
-    "market", "line", "game_date", "'JOSE NUNEZ ' || CAST(player_id AS STRING) || ' ' AS book_name",
-    "CASE WHEN book_id % 6 = 0 THEN NULL WHEN odds < 0 THEN least(-101, odds + CAST(player_id % 40 AS INT) - 8) "
-    "ELSE greatest(100, odds + CAST(player_id % 60 AS INT) - 12) END AS book_odds",
+    f"{_MARKET_SQL} AS market", "quote_date AS game_date", "player_name",
+    "TRY_CAST(replace(line, '+', '') AS DOUBLE) AS line",
+    "TRY_CAST(best_over_odds AS INT) AS over_odds", "TRY_CAST(best_under_odds AS INT) AS under_odds",
 ]
-_BOOK_FILTER = "score_discount >= 0.02e0 AND game_date <= DATE '2000-12-31'"
 _EXEC_CTES = (
-    f"book AS (SELECT {', '.join(_BOOK)} FROM picks WHERE {_BOOK_FILTER}), "
-    "best AS (SELECT market, line, game_date, lower(strip_accents(trim(book_name))) AS name_norm, "
-    "max(book_odds) AS best_odds, count(*) AS quotes FROM book GROUP BY 1, 2, 3, 4), "
+    f"book AS (SELECT {', '.join(_BOOK)} FROM quotes), "
+    "offers AS (SELECT market, 'over' AS side, game_date, player_name, line, over_odds AS book_odds FROM book "
+    "UNION ALL SELECT market, 'under', game_date, player_name, line, under_odds FROM book), "
+    "best AS (SELECT market, side, line, game_date, lower(strip_accents(trim(player_name))) AS name_norm, "
+    "max(book_odds) AS best_odds, count(*) AS quotes FROM offers WHERE line IS NOT NULL GROUP BY 1, 2, 3, 4, 5), "
     f"own AS (SELECT *, lower(strip_accents(trim({_OWN_NAME}))) AS name_norm FROM picks "
     "WHERE source = 'production'), "
-    "span AS (SELECT market, min(game_date) AS d0, max(game_date) AS d1 FROM best GROUP BY 1), "
-    "m AS (SELECT o.*, best_odds, quotes, o.game_date BETWEEN d0 AND d1 AS in_window FROM own o "
-    "LEFT JOIN span s ON o.market = s.market LEFT JOIN best b ON o.market = b.market AND o.line = b.line "
+    "days AS (SELECT DISTINCT market, side, game_date FROM offers WHERE line IS NOT NULL AND book_odds IS NOT NULL), "
+    "runs AS (SELECT market, side, game_date - CAST(row_number() OVER (PARTITION BY market, side ORDER BY game_date) AS INT) AS run, "
+    "game_date FROM days), "
+    "spans AS (SELECT market, side, min(game_date) AS d0, max(game_date) AS d1 FROM runs GROUP BY market, side, run), "
+    "m AS (SELECT o.*, best_odds, quotes, d0 IS NOT NULL AS in_window FROM own o "
+    "LEFT JOIN spans s ON o.market = s.market AND o.side = s.side AND o.game_date BETWEEN d0 AND d1 "
+    "LEFT JOIN best b ON o.market = b.market AND o.side = b.side AND o.line = b.line "
     "AND o.game_date = b.game_date AND o.name_norm = b.name_norm)"
 )
 
 
 def _matched(spark, sf) -> DataFrame:
-    """Production picks with the best quote for the identical bet (left join keeps the misses)."""
-    p = picks(spark, sf)
-    best = (
-        p.where(_BOOK_FILTER)
-        .selectExpr(*_BOOK)
-        .groupBy("market", "line", "game_date", norm_name("book_name").alias("name_norm"))
-        .agg(F.max("book_odds").alias("best_odds"), F.count(F.lit(1)).alias("quotes"))
-    )
-    own = p.where("source = 'production'").withColumn("name_norm", norm_name(F.expr(_OWN_NAME)))
-    span = best.groupBy("market").agg(F.min("game_date").alias("d0"), F.max("game_date").alias("d1"))
-    return (
-        own.join(F.broadcast(span), "market", "left")  # one row for each market
-        .join(best, ["market", "line", "game_date", "name_norm"], "left")
-        .withColumn("in_window", F.col("game_date").between(F.col("d0"), F.col("d1")))
+    """Production picks with the best quote for the identical bet (left join keeps the misses) and whether quotes cover their day."""
+    own = picks(spark, sf).where("source = 'production'").withColumn("_own", F.expr(_OWN_NAME))
+    book = quotes(spark, sf).selectExpr(*_BOOK)
+    sides = F.array(
+        F.struct(F.lit("over").alias("side"), F.col("over_odds").alias("book_odds")),
+        F.struct(F.lit("under").alias("side"), F.col("under_odds").alias("book_odds")),
     )
+    bet = ["market", "side", "line", "game_date", "name_norm"]
+    named = name_keys(book.where("line IS NOT NULL"), "player_name").select("market", "line", "game_date", "name_norm", F.inline(sides))
+    best = named.groupBy(*bet).agg(F.max("book_odds").alias("best_odds"), F.count(F.lit(1)).alias("quotes"))
+    offered = book.where("line IS NOT NULL").select("market", "game_date", F.inline(sides)).where("book_odds IS NOT NULL")
+    covered = in_islands(name_keys(own, "_own"), islands(offered, ["market", "side"], "game_date"), ["market", "side"], "game_date")
+    return covered.join(best, bet, "left")
 
 
 @query(
     "match_rate",
-    with_tables("picks", extra=_EXEC_CTES)
+    with_tables("picks", "quotes", extra=_EXEC_CTES)
     + "SELECT market, count(*) AS candidates, count(*) FILTER (WHERE in_window) AS in_window, "
     "count(quotes) AS matched, count(*) FILTER (WHERE quotes = 1) AS matched_once, count(best_odds) AS priced, "
     "count(*) FILTER (WHERE in_window AND quotes IS NULL) AS no_quote, "
@@ -193,7 +206,7 @@ def _profit_sql(o: str) -> str:
 
 @query(
     "execution_gap",
-    with_tables("picks", extra=_EXEC_CTES
+    with_tables("picks", "quotes", extra=_EXEC_CTES
     + f", x AS (SELECT *, {_profit_sql('best_odds')} AS best_profit, {_implied('odds')} AS own_prob, "
     f"{_implied('best_odds')} AS best_prob FROM m WHERE best_odds IS NOT NULL)")
     + "SELECT market, count(*) AS n, round(avg(odds), 1) AS avg_odds, round(avg(best_odds), 1) AS avg_best, "
@@ -241,7 +254,7 @@ _TIER_SQL = "CASE WHEN confidence <= 50 THEN '<=50' WHEN confidence <= 60 THEN '
 
 @query(
     "selection_gap",
-    with_tables("picks", extra=_EXEC_CTES
+    with_tables("picks", "quotes", extra=_EXEC_CTES
     + f", x AS (SELECT *, {_TIER_SQL} AS tier, {_profit_sql('best_odds')} AS best_profit, "
     f"{_implied('odds')} - {_implied('best_odds')} AS gap FROM m WHERE best_odds IS NOT NULL), "
     f"t AS (SELECT market, tier, count(*) AS n, {round_sql('(avg(best_profit) * 100)')} AS roi_best, "

@@ -81,3 +81,19 @@ def test_names_fold_as_full_decomposition_does(spark):
 
     got = column(spark, values, "string", names.norm_name)
     assert got == [None if v is None else plain(v) for v in values]
+
+
+def test_name_keys_know_every_script(spark):
+    import unicodedata
+
+    values = ["각하 김", "ｱ 𝐁𝐨𝐛", "कुमार", "é", "José ", "JOSE", " plain\t", "Ðorđe", "ﷺ", "", None, "José "]
+    frame = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "who string, _name int")
+
+    def plain(s):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        return kept.strip(" \t\n\r\x0b\x0c").lower()
+
+    got = names.name_keys(frame.withColumnRenamed("_name", "i"), "who").orderBy("i").collect()
+    assert [r.name_norm for r in got] == [None if v is None else plain(v) for v in values]
+    # marks of class 0 stay in both forms
+    assert column(spark, ["कुमार", "é"], "string", names.norm_name) == [plain("कुमार"), "e"]

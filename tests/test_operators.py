@@ -287,3 +287,20 @@ def test_asof_left_keeps_probes_without_key_or_time(spark):
     assert sorted((r.id, r.v) for r in got if r.v is not None) == [(1, 10)] and sorted(r.id for r in got) == [1, 2, 3, 4]
     inner = asof_strict(probes, snaps, "k", "t", "s", ["v"], "tie", how="inner").collect()
     assert [r.id for r in inner] == [1]
+
+
+def test_islands_and_the_days_within(spark):
+    from datetime import date, timedelta
+
+    from stakelens.operators.matching import in_islands, islands
+
+    start = date(2024, 1, 30)
+    days = {"a": [0, 1, 1, 2, 5, 6, 40], "b": [3], None: [1, 2]}
+    rows = [(k, start + timedelta(d)) for k, ds in days.items() for d in ds] + [("c", None)]
+    runs = islands(spark.createDataFrame(rows, "k string, day date"), ["k"], "day")
+    got = {(r.k, (r.d0 - start).days, (r.d1 - start).days) for r in runs.collect()}
+    assert got == {("a", 0, 2), ("a", 5, 6), ("a", 40, 40), ("b", 3, 3), (None, 1, 2)}
+    asked = [(k, start + timedelta(d), d) for k in ("a", "b", "x", None) for d in range(-2, 45)] + [("a", None, -9)]
+    flagged = in_islands(spark.createDataFrame(asked, "k string, day date, d int"), runs, ["k"], "day").collect()
+    assert len(flagged) == len(asked)
+    assert {(r.k, r.d) for r in flagged if r.in_window} == {(k, d) for k, ds in days.items() for d in ds}
