@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,10 @@ _CHUNK_BITS = 33
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join treating NULL keys as equal; keeps the left copy of the keys."""
+    """Equi join treating NULL keys as equal; keeps the left copy of the keys. Without keys every row of the right side, which
+    then holds a few rows for the whole table, meets every row of the left."""
+    if not on:
+        return left.join(F.broadcast(right), how=how, on=F.lit(True))
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     cond = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
@@ -95,6 +99,75 @@ def running_totals(
     return out.drop("__pos", "__chunk", *[f"_l_{n}" for n in totals], *[f"_o_{n}" for n in totals])
 
 
+#: Buckets of one narrowing pass, and up to how many rows a bucket is put in order.
+_BUCKETS = 1024
+_IN_ORDER = 50_000
+
+
+def _narrowed(rows: DataFrame, targets: DataFrame, by: Sequence[str], log: bool) -> DataFrame:
+    """Targets (by, rank, lo, hi, below, inside) after one pass: the bucket that holds the rank, by its own least and greatest value.
+
+    Buckets are of equal width between lo and hi, or of equal width on a signed logarithmic scale.
+    """
+
+    def scale(c: Column) -> Column:
+        return F.signum(c) * F.log1p(F.abs(c)) if log else c
+
+    wanted = F.col("_lo") < F.col("_hi")
+    spans = targets.where(wanted).select(*by, "_lo", "_hi").distinct()
+    at = (scale(F.col("_v")) - scale(F.col("_lo"))) / (scale(F.col("_hi")) - scale(F.col("_lo")))
+    bucket = F.greatest(F.least(F.floor(F.coalesce(at, F.lit(0.0)) * _BUCKETS), F.lit(_BUCKETS - 1)), F.lit(0))
+    counted = (
+        lookup_join(rows, spans, by)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*by, "_lo", "_hi", bucket.alias("_b"))
+        .agg(F.sum("_w").alias("_n"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+    )
+    upto = F.sum("_n").over(W.partitionBy(*by, "_lo", "_hi").orderBy("_b"))
+    counted = counted.withColumn("_before", upto - F.col("_n"))
+    keys = [*by, "_lo", "_hi"]
+    met = null_safe_join(targets.where(wanted), counted, keys).withColumn("_skip", F.col("_rank") - F.col("_below"))
+    hit = met.where((F.col("_skip") >= F.col("_before")) & (F.col("_skip") < F.col("_before") + F.col("_n")))
+    fresh = hit.select(
+        *by, "_rank", F.col("_first").alias("_lo"), F.col("_last").alias("_hi"),
+        (F.col("_below") + F.col("_before")).alias("_below"), F.col("_n").alias("_inside"),
+    )
+    return fresh.unionByName(targets.where(~wanted))
+
+
+def values_at_ranks(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, rank, value) for targets (by, _rank, _lo, _hi, _below, _inside) over rows (by, _v, _w).
+
+    Selection without sorting the rows: each pass counts 1,024 buckets between the bounds of every target, with map-side combine, and keeps
+    the one bucket that holds the rank. After the first pass only the rows of those buckets are kept, so later passes read a
+    small part. A bucket of up to ``_IN_ORDER`` rows is put in order; so is one that cannot be split because all its values are equal.
+    """
+    targets, first = checkpointed(targets), True
+    for turn in count():
+        size = F.when(F.col("_lo") < F.col("_hi"), F.col("_inside"))
+        if (targets.agg(F.max(size)).first()[0] or 0) <= _IN_ORDER:
+            break
+        targets = checkpointed(_narrowed(rows, targets, by, log=turn % 2 == 1))
+        if first:
+            spans = targets.where("_lo < _hi").select(*by, "_lo", "_hi").distinct()
+            kept = lookup_join(rows, spans, by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            rows, first = checkpointed(kept.groupBy(*by, "_v").agg(F.sum("_w").alias("_w"))), False
+    open_ = targets.where("_lo < _hi")
+    spans = open_.select(*by, "_lo", "_hi").distinct()
+    folded = (
+        lookup_join(rows, spans, by)
+        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*by, "_lo", "_hi", "_v")
+        .agg(F.sum("_w").alias("_n"))
+    )
+    upto = F.sum("_n").over(W.partitionBy(*by, "_lo", "_hi").orderBy("_v"))
+    met = null_safe_join(open_, folded.withColumn("_upto", upto), [*by, "_lo", "_hi"])
+    skip = F.col("_rank") - F.col("_below")
+    hit = met.where((skip < F.col("_upto")) & (skip >= F.col("_upto") - F.col("_n")))
+    settled = targets.where("NOT (_lo < _hi)").select(*by, "_rank", F.col("_lo").alias("_value"))
+    return hit.select(*by, "_rank", F.col("_v").alias("_value")).unionByName(settled)
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -105,45 +178,41 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles ``{column: probability}`` per group.
 
-    The rows are first folded to (group, value, count). ``bounded`` says that the
-    value domain is small by nature (calendar days, whole prices), so a plain
-    window over the folded table is enough; otherwise the running count is taken
-    over range chunks. ``weight`` names a column of row counts for folded input.
+    ``bounded`` says that the value domain is small by nature (calendar days, whole prices): a plain window over the
+    folded (group, value, count) table is enough then. Otherwise the two rows beside each quantile are found by selection
+    (``values_at_ranks``). ``weight`` names a column of row counts for folded input. Values that are not a number are left out.
     """
-    count = F.sum(weight) if weight else F.count(F.lit(1))
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(count.alias("_n"))
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(
+        *by, v.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")
+    )
+    targets = {name: F.lit(float(p)) * (F.col("_size") - 1) for name, p in probs.items()}
+    ranks = F.array_distinct(F.array(*[edge(t).cast("long") for t in targets.values() for edge in (F.floor, F.ceil)]))
     if bounded:
-        w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        cum = hist.withColumn("_cum", F.sum("_n").over(w))
+        hist = rows.groupBy(*by, "_v").agg(F.sum("_w").alias("_n"))
+        whole = W.partitionBy(*by)
+        placed = hist.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_v")), "_size": F.sum("_n").over(whole)})
+        wanted = placed.withColumn("_ranks", F.filter(ranks, lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n"))))
+        found = wanted.select(*by, "_size", F.explode("_ranks").alias("_rank"), F.col("_v").alias("_value"))
     else:
-        cum = running_totals(hist, by, [value], {"_cum": "_n"})
-    sizes = cum.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    placed = null_safe_join(cum, sizes, by) if by else cum.crossJoin(sizes)
-    first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
-    v = F.col(value).cast("double")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= first) & (rank <= last), v))
-
-    aggs = []
-    for name, p in probs.items():
-        target = F.lit(float(p)) * (F.col("_size") - 1)
-        aggs += [
-            at(F.floor(target)).alias(f"_lo_{name}"),
-            at(F.ceil(target)).alias(f"_hi_{name}"),
-            F.max(target - F.floor(target)).alias(f"_fr_{name}"),
-        ]
-    edges = placed.groupBy(*by).agg(*aggs)
-    return edges.select(
-        *by,
-        *[
-            (
-                F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_fr_{name}")
-            ).alias(name)
-            for name in probs
-        ],
+        sizes = rows.groupBy(*by).agg(F.sum("_w").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        sizes = checkpointed(sizes.where(F.col("_size") > 0))
+        start = sizes.select(
+            *by, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_size").alias("_inside")
+        )
+        found = values_at_ranks(rows, start, by)
+        size = sizes.select(*by, "_size")
+        found = null_safe_join(found, size, by)
+    values = found.groupBy(*by).agg(
+        F.max("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
     )
 
+    def between(target: Column) -> Column:
+        lo, hi = (F.element_at("_at", edge(target).cast("long")) for edge in (F.floor, F.ceil))
+        return lo + (hi - lo) * (target - F.floor(target))
+
+    return values.select(*by, *[between(t).alias(name) for name, t in targets.items()])
+
 
 def carry_in(
     df: DataFrame, key: Sequence[str], block: str, order: Sequence[str], rows: int, flag: str = "_carried"

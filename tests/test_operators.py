@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import statistics
 
@@ -304,3 +305,28 @@ def test_islands_and_the_days_within(spark):
     flagged = in_islands(spark.createDataFrame(asked, "k string, day date, d int"), runs, ["k"], "day").collect()
     assert len(flagged) == len(asked)
     assert {(r.k, r.d) for r in flagged if r.in_window} == {(k, d) for k, ds in days.items() for d in ds}
+
+
+def test_quantiles_by_selection_equal_sorted_ones(spark, monkeypatch):
+    import numpy as np
+
+    from stakelens.operators import ordered
+
+    monkeypatch.setattr(ordered, "_IN_ORDER", 8)
+    monkeypatch.setattr(ordered, "_BUCKETS", 16)
+    rng = np.random.default_rng(5)
+    groups = {
+        "normal": rng.normal(size=400), "tail": np.exp(rng.normal(size=300) * 20), "both": rng.normal(size=301) * 10.0 ** rng.integers(-9, 9, 301),
+        "same": np.full(50, 2.5), "two": np.array([1.0, 3.0]), "one": np.array([-7.0]), "ties": rng.integers(0, 3, 500).astype(float), None: rng.normal(size=99),
+    }
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None), ("empty", None), ("one", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    probs = {"p0": 0.0, "p25": 0.25, "p5": 0.5, "p77": 0.77, "p1": 1.0}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "x", probs).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        for name, p in probs.items():
+            assert math.isclose(got[g][name], float(np.quantile(xs, p)), rel_tol=1e-12, abs_tol=1e-300), (g, name)
+    whole = exact_quantiles(df, [], "x", {"m": 0.5}).first().m
+    assert math.isclose(whole, float(np.median(np.concatenate(list(groups.values())))), rel_tol=1e-12)
+    assert exact_quantiles(df.where("false"), ["g"], "x", probs).count() == 0
