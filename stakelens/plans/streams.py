@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stakelens.plans import adapters as a
 from stakelens.plans.adapters import gate_sql, roi_sql, with_tables
 from stakelens.plans.form import _elo_sql, _recursive
+from stakelens.plans.ingest import _INTERVAL
 from stakelens.plans.registry import query
 from stakelens.session import work_path
 from stakelens.streaming import jobs
@@ -44,7 +45,7 @@ def q_stream_ratings(spark, sf):
     root = work_path(spark, "ratings")
     games = a._apply(jobs.file_stream(spark, f"{sf}/orders.parquet"), a._GAME_STEPS)
     jobs.ratings_stream(games, f"{root}/out", f"{root}/state")
-    rated = spark.read.parquet(f"{root}/out/games")
+    rated = jobs.rated_games(spark, f"{root}/out")
     return rated.select("game_pk", F.round("elo_home_pre", 6).alias("elo_home_pre"), F.round("elo_away_pre", 6).alias("elo_away_pre"))
 
 
@@ -58,3 +59,22 @@ def q_stream_ledger(spark, sf):
     ledger = spark.read.parquet(f"{root}/out/ledger")
     mark = F.max("watermark")
     return ledger.agg(F.sum("loaded").alias("loaded"), mark["ts"].alias("last_created"), mark["event_id"].alias("last_id"))
+
+
+@query(
+    "stream_silence",
+    f"WITH b AS (SELECT event_type || '-' || CAST(user_id AS VARCHAR) AS job, ts, {_INTERVAL} AS interval_s, event_id FROM events), "
+    "n AS (SELECT *, lead(ts) OVER (PARTITION BY job ORDER BY ts, interval_s, event_id) AS next_ts, max(ts) OVER () AS as_of FROM b) "
+    "SELECT job, ts AS fired_at, ts + to_seconds(2 * interval_s) AS due_at FROM n WHERE interval_s IS NOT NULL AND "
+    "CASE WHEN next_ts IS NULL THEN epoch_ms(as_of) > epoch_ms(ts + to_seconds(2 * interval_s)) "
+    "ELSE next_ts > ts + to_seconds(2 * interval_s) END",
+)
+def q_stream_silence(spark, sf):
+    """Silences of every job, told by timers of a stateful stream."""
+    root = work_path(spark, "silence")
+    beats = jobs.file_stream(spark, f"{sf}/events.parquet").selectExpr(
+        "event_type || '-' || CAST(user_id AS STRING) AS job", "CAST(ts AS TIMESTAMP) AS fired_at", f"{_INTERVAL} AS interval_s"
+    )
+    jobs.silence_alerts(beats, f"{root}/out", f"{root}/state")
+    told = spark.read.parquet(f"{root}/out")
+    return told.select("job", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), F.col("due_at").cast("timestamp_ntz").alias("due_at"))

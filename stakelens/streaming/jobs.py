@@ -7,8 +7,14 @@ batch operator.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stakelens.operators.ratings import advance
 from stakelens.operators.stats import gate_pass, moments, stats_from_moments
@@ -26,20 +32,35 @@ def available_now(writer, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Keyed state on disk, saved as the changes of each batch, for the streams started within."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def dedup_ingest(stream: DataFrame, key: str, out: str, checkpoint: str) -> None:
-    """Append each key once, however late it comes: a batch is held against the keys stored by the batches before it.
+    """Append each key once, however late it comes.
 
-    Each batch writes its own numbered folder, so a retried batch overwrites itself and never meets its own rows.
+    The keys seen are the stream's own keyed state, without a watermark, so none is forgotten; a batch looks up its own keys and
+    reads no earlier batch. Each batch writes its own numbered folder, so a retried batch overwrites itself.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([key])
-        if batch_id > 0:
-            stored = batch.sparkSession.read.parquet(*[f"{out}/batch={i}" for i in range(batch_id)])
-            new = new.join(stored.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    available_now(stream.writeStream.outputMode("append").foreachBatch(load), checkpoint)
+    with _rocksdb(stream.sparkSession):
+        available_now(stream.dropDuplicates([key]).writeStream.outputMode("append").foreachBatch(load), checkpoint)
 
 
 def newest_batch(spark: SparkSession, out: str) -> DataFrame:
@@ -61,36 +82,68 @@ def running_gate(picks: DataFrame, by: list[str], out: str, checkpoint: str) ->
 
 
 def ratings_stream(games: DataFrame, out: str, checkpoint: str) -> None:
-    """Ratings carried from batch to batch.
+    """Ratings carried from batch to batch, whatever the order in which games arrive.
 
-    Batch n reads the standings written by batch n-1 and writes its own numbered
-    folders, so a retried batch overwrites itself. Games must arrive in date order
-    across batches: a game older than the last rated one of its league fails the batch
-    (the batch operator then rebuilds the league) instead of giving a wrong rating.
+    Every batch leaves a version of the standings of all leagues and notes, for each league, up to which day each version that still
+    holds has rated it. A batch continues each of its leagues from the last version that ends before the league's first
+    game in the batch; the league's stored games of later versions are played again with it, and those versions no longer hold for
+    that league. In order, that is the version of the batch before and nothing is repeated. Batch n writes only its own
+    numbered folders, so a retried batch overwrites itself. ``rated_games`` reads the latest rating of each game.
     """
 
     def play(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        span = batch.groupBy("league").agg(F.min("game_date").alias("first_day"), F.max("game_date").alias("last_day"))
+
+        def versions(kind: str, which: Iterable[int]) -> DataFrame:
+            return spark.read.option("basePath", f"{out}/{kind}").parquet(*[f"{out}/{kind}/batch={i}" for i in which])
+
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        rows = versions("rows", [batch_id]).drop("batch")
+        first = rows.groupBy("league").agg(F.min("game_date").alias("first_day"))
+        replay, known, held = rows, None, None
         if batch_id > 0:
-            days = spark.read.parquet(*[f"{out}/days/batch={i}" for i in range(batch_id)])
-            rated = days.groupBy("league").agg(F.max("last_day").alias("rated_to"))
-            late = span.join(rated, "league").where("first_day < rated_to").limit(5).collect()
-            if late:
-                raise ValueError(f"late games in leagues {[r.league for r in late]}: rebuild them with the batch operator")
-        span.write.mode("overwrite").parquet(f"{out}/days/batch={batch_id}")
-        known = spark.read.parquet(f"{out}/standings/batch={batch_id - 1}") if batch_id > 0 else None
-        target = f"{out}/walked/batch={batch_id}"
-        advance(batch, known).write.mode("overwrite").parquet(target)
-        walked = spark.read.parquet(target)
+            held = versions("held", [batch_id - 1]).drop("batch")
+            start = first.join(held.where("version >= 0"), "league", "left").groupBy("league").agg(
+                F.max(F.when(F.col("rated_to") < F.col("first_day"), F.col("version"))).alias("start"),
+                F.max("version").alias("newest"),
+            )
+            start = start.withColumn("start", F.coalesce("start", F.lit(-1)))
+            path = f"{out}/start/batch={batch_id}"
+            start.write.mode("overwrite").parquet(path)
+            start = spark.read.parquet(path)
+            rewound = start.where("newest > start")
+            oldest = rewound.agg(F.min("start")).first()[0]
+            if oldest is not None:
+                again = versions("rows", range(oldest + 1, batch_id)).join(rewound, "league").where("batch > start")
+                replay = rows.unionByName(again.select(*rows.columns))
+            # a league starts from its own version; leagues without games in this batch keep theirs
+            current = versions("standings", [batch_id - 1]).join(start, "league", "left").where("start IS NULL OR start = batch")
+            known = current.select("league", "season", "team", "rating")
+            for at in [r.start for r in start.where(f"start >= 0 AND start < {batch_id - 1}").select("start").distinct().collect()]:
+                older = versions("standings", [at]).join(start.where(F.col("start") == at), "league", "left_semi")
+                known = known.unionByName(older.select(*known.columns))
+            held = held.join(start.select("league", "start"), "league", "left").where("start IS NULL OR version <= start").drop("start")
+        walked_path = f"{out}/walked/batch={batch_id}"
+        advance(replay, known).write.mode("overwrite").parquet(walked_path)
+        walked = spark.read.parquet(walked_path)
         standings = walked.where(F.col("team").isNotNull()).select("league", "season", "team", "rating")
         standings.write.mode("overwrite").parquet(f"{out}/standings/batch={batch_id}")
         played = walked.where(F.col("team").isNull()).select("league", "game_pk", "elo_home_pre", "elo_away_pre")
         played.write.mode("overwrite").parquet(f"{out}/games/batch={batch_id}")
+        now = replay.groupBy("league").agg(F.lit(batch_id).alias("version"), F.max("game_date").alias("rated_to"))
+        held = now if held is None else held.unionByName(now)
+        held.write.mode("overwrite").parquet(f"{out}/held/batch={batch_id}")
 
     available_now(games.writeStream.outputMode("append").foreachBatch(play), checkpoint)
 
 
+def rated_games(spark: SparkSession, out: str) -> DataFrame:
+    """The latest rating of each game; a game that was played again counts once."""
+    rated = spark.read.parquet(f"{out}/games")
+    last = rated.groupBy("league", "game_pk").agg(F.max_by(F.struct("elo_home_pre", "elo_away_pre"), "batch").alias("_r"))
+    return last.select("league", "game_pk", "_r.*")
+
+
 def ledger_stream(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
     """Append rows and a ledger line (rows, high watermark) per batch; retries overwrite their own folder."""
 
@@ -112,3 +165,60 @@ def last_beats(beats: DataFrame, out: str, checkpoint: str) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     available_now(latest.writeStream.outputMode("complete").foreachBatch(publish), checkpoint)
+
+
+ALERT = "job string, fired_at timestamp, due_at timestamp"
+
+
+def _watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Alerts of one job: each beat after which twice the expected interval passed without another.
+
+    State: time of the last beat, its limit and whether its silence was told, in microseconds. A job without an interval stays silent.
+    """
+    last, limit, told = state.get if state.exists else (None, None, False)
+    silent: list[tuple[int, int]] = []
+    if not state.hasTimedOut:
+        parts = [np.stack([f["at"].to_numpy(np.int64), f["limit"].fillna(-1).to_numpy(np.int64)], 1) for f in frames]
+        beats = np.concatenate(parts)
+        beats = beats[np.lexsort((beats[:, 1], beats[:, 0]))]
+        for at, most in beats.tolist():
+            if last is not None and at < last:
+                continue  # older than a beat that is known
+            if last is not None and limit is not None and not told and at - last > limit:
+                silent.append((last, limit))
+            last, limit, told = at, most if most >= 0 else None, False
+    elif limit is not None and not told:
+        silent.append((last, limit))
+        told = True
+    if limit is not None and not told:
+        due_ms = (last + limit) // 1000
+        if due_ms < state.getCurrentWatermarkMs():
+            silent.append((last, limit))
+            told = True
+        else:
+            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+    state.update((last, limit, told))
+    if silent:
+        at = np.array([s[0] for s in silent], np.int64)
+        due = at + np.array([s[1] for s in silent], np.int64)
+        yield pd.DataFrame({"job": key[0], "fired_at": at.astype("datetime64[us]"), "due_at": due.astype("datetime64[us]")})
+
+
+def silence_alerts(beats: DataFrame, out: str, checkpoint: str) -> None:
+    """Tell each silence once: a beat (job, fired_at, interval_s) that no other follows within twice its interval.
+
+    Timers run on event time: an alert comes when the beats of any job show that the time is past, also when the silent job never
+    beats again. Batches are taken in time order; a beat older than what was seen of its job changes nothing.
+    """
+    at = F.unix_micros("fired_at")
+    timed = beats.withWatermark("fired_at", "0 seconds").select(
+        "job", "fired_at", at.alias("at"), (F.col("interval_s").cast("long") * 2_000_000).alias("limit")
+    )
+    alerts = timed.groupBy("job").applyInPandasWithState(
+        _watch, ALERT, "last long, limit long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    available_now(alerts.writeStream.outputMode("append").foreachBatch(load), checkpoint)

@@ -90,7 +90,7 @@ def test_ratings_stream_over_batches_equals_batch(spark, tmp_path):
         time.sleep(1.1)
     stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(str(feed))
     jobs.ratings_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r["game_pk"]: r["elo_home_pre"] for r in spark.read.parquet(str(tmp_path / "out/games")).collect()}
+    got = {r["game_pk"]: r["elo_home_pre"] for r in jobs.rated_games(spark, str(tmp_path / "out")).collect()}
     want = {r["game_pk"]: r["elo_home_pre"] for r in ratings.fold(g).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -138,3 +138,43 @@ def test_beats_stream_and_report(spark, tmp_path):
     fs.write_table(last, str(tmp_path / "table"))
     fs.write_table(last, str(tmp_path / "table"), "append")
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+
+
+def fed(spark, tmp_path, parts, schema):
+    """A stream that takes one part per batch, in the given order."""
+    import time
+
+    for part in parts:
+        frame = part if hasattr(part, "columns") else spark.createDataFrame(part, schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+
+
+def test_ratings_stream_rewinds_for_late_games(spark, tmp_path):
+    g = games(spark, 120)
+    cuts = [g.where("game_pk % 3 = 0"), g.where("game_pk % 3 = 1 AND game_pk > 40"), g.where("game_pk % 3 = 2 OR (game_pk % 3 = 1 AND game_pk <= 40)")]
+    stream = fed(spark, tmp_path, cuts, g.schema)
+    jobs.ratings_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    rated = jobs.rated_games(spark, str(tmp_path / "out"))
+    got = {r["game_pk"]: (r["elo_home_pre"], r["elo_away_pre"]) for r in rated.collect()}
+    want = {r["game_pk"]: (r["elo_home_pre"], r["elo_away_pre"]) for r in ratings.fold(g).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_silences_are_told_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+
+    def beat(job, minutes, interval):
+        return job, start + dt.timedelta(minutes=minutes), interval
+
+    parts = [
+        [beat("ok", m, 1800) for m in range(0, 300, 40)] + [beat("late", 0, 1800), beat("free", 0, None), beat("gap", 0, 600), beat("gap", 21, 600), beat("gap", 41, 600)],
+        [beat("ok", m, 1800) for m in range(320, 601, 40)] + [beat("gap", 310, 600), beat("free", 330, None)],
+        [beat("ok", 640, 1800), beat("late", 641, 1800)],
+    ]
+    stream = fed(spark, tmp_path, parts, "job string, fired_at timestamp, interval_s int")
+    jobs.silence_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [(r.job, (r.fired_at - start).seconds // 60, (r.due_at - r.fired_at).seconds // 60) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("gap", 0, 20), ("gap", 41, 20), ("gap", 310, 20), ("late", 0, 60)]
