@@ -7,8 +7,9 @@ shortest run of sentences that has both ``SPAN`` sentences and ``LEAST_WORDS`` w
 short lines make longer runs and none is passed over. Runs whose hash occurs more than once anywhere are repeats; the first by document id and place stays, and each sentence that another occurrence covers
 is removed. Spans are judged on the texts as they came.
 
-Hashes are counted before the shuffle, only repeated ones go on, and a document's part of the result is bounded by
-its own sentences; a span that stands in a third of all documents is one row per task on its way.
+Spans move once: they are ranked by document and place within their hash, and all but the first are repeats. A hash that fills over a
+ten-thousandth of a 64th of the documents is dealt out further, by document, and its first places are compared afterwards, so that a span
+which stands in a third of all documents is no task of its own; which hashes those are changes no result.
 
 Defined cases: a null text stays null and an empty one empty, without sentences; a text of fewer than ``SPAN`` sentences or
 ``LEAST_WORDS`` words has no span; of documents with one id those with different texts are different documents, ordered by a hash of the text, and
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stakelens.llm.common import checkpointed, fresh
@@ -63,30 +65,34 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, number of sentences, hash, rest of the hash) of each span."""
+def span_ends(n_words: list[int]) -> np.ndarray:
+    """The end of the span that starts at each sentence, as far as there are spans."""
+    before = np.concatenate([[0], np.cumsum(n_words, dtype=np.int64)])
+    ends = np.maximum(np.arange(len(n_words)) + SPAN, np.searchsorted(before, before[:-1] + LEAST_WORDS))
+    return ends[ends <= len(n_words)]  # they never fall, so those that fit come first
+
+
+def span_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, hash, rest of the hash) of each span."""
     import xxhash
 
     parts = sentences(text)
     digests = [xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")) for _, _, words in parts]
-    before = np.concatenate([[0], np.cumsum([len(words) for _, _, words in parts], dtype=np.int64)])
-    starts = np.arange(len(parts))
-    ends = np.maximum(starts + SPAN, np.searchsorted(before, before[:-1] + LEAST_WORDS))
-    starts, ends = starts[ends <= len(parts)], ends[ends <= len(parts)]
-    raw = b"".join([xxhash.xxh3_128_digest(b"".join(digests[a:b])) for a, b in zip(starts.tolist(), ends.tolist())])
+    ends = span_ends([len(words) for _, _, words in parts])
+    raw = b"".join([xxhash.xxh3_128_digest(b"".join(digests[a:b])) for a, b in enumerate(ends.tolist())])
     words = np.frombuffer(raw, np.int64).reshape(-1, 2)
-    return starts.astype(np.int32), (ends - starts).astype(np.int32), words[:, 0], words[:, 1].astype(np.int32)
+    return np.arange(len(ends), dtype=np.int32), words[:, 0], words[:, 1].astype(np.int32)
 
 
 def _spans_column(text: Column) -> Column:
-    @F.arrow_udf("array<struct<at:int,len:int,h:long,g:int>>")
+    @F.arrow_udf("array<struct<at:int,h:long,g:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for start in range(0, len(batch), _ROWS):
                 found = [span_hashes(t.as_py() or "") for t in batch.slice(start, _ROWS)]
                 offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-                columns = [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]
-                yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["at", "len", "h", "g"]))
+                columns = [pa.array(np.concatenate([f[i] for f in found])) for i in range(3)]
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["at", "h", "g"]))
 
     return spans(text)
 
@@ -97,9 +103,10 @@ def _without_column(text: Column, spans: Column) -> Column:
         for texts, removals in batches:
             for start in range(0, len(texts), _ROWS):
                 out = []
-                for text_, runs in zip(texts.slice(start, _ROWS).to_pylist(), removals.slice(start, _ROWS).to_pylist()):
+                for text_, firsts in zip(texts.slice(start, _ROWS).to_pylist(), removals.slice(start, _ROWS).to_pylist()):
                     parts = sentences(text_ or "")
-                    gone = {k for run in runs or () for k in range(run["at"], run["at"] + run["len"])}
+                    ends = span_ends([len(words) for _, _, words in parts]) if firsts else ()
+                    gone = {k for at in firsts or () for k in range(at, ends[at])}
                     kept = text_ if not gone else "".join([text_[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone])
                     out.append({"text": kept, "n": len(parts), "removed": len(gone)})
                 kind = pa.struct([("text", pa.string()), ("n", pa.int32()), ("removed", pa.int32())])
@@ -108,26 +115,42 @@ def _without_column(text: Column, spans: Column) -> Column:
     return without(text, spans)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, mark, at, len): first sentence and length of the spans that repeat an earlier one; mark is a hash of the text."""
-    spark = docs.sparkSession
-    path = work_path(spark, "spans")  # read twice, made once
-    docs.select("doc_id", F.xxhash64(text).alias("mark"), _spans_column(F.col(text)).alias("spans")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    spans = rows.select("doc_id", "mark", F.explode("spans").alias("s")).select("doc_id", "mark", "s.at", "s.len", "s.h", "s.g")
-    often = spans.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
-    hits = checkpointed(spans.join(often, ["h", "g"]))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at")
-    firsts = hits.groupBy("h", "g").agg(F.min(place).alias("first"))
-    later = hits.join(firsts, ["h", "g"]).where(~F.col("first").eqNullSafe(place))
-    return later.select("doc_id", "mark", "at", "len").distinct()
+def repeated_spans(docs: DataFrame, text: str = "text", deal: int = 64, most_hot: int = 10_000) -> DataFrame:
+    """(doc_id, mark, at): first sentence of the spans that repeat an earlier one; mark is a hash of the text.
+
+    Spans of one hash meet in one task, unless they are many: at most ``most_hot`` hashes, those that stand out in one of ``deal``
+    parts of the documents, are dealt out to ``deal`` tasks.
+    """
+    texts = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+
+    def spans(frame: DataFrame) -> DataFrame:
+        exploded = frame.select("doc_id", "mark", F.explode(_spans_column(F.col("text"))).alias("s"))
+        return exploded.select("doc_id", "mark", "s.at", "s.h", "s.g")
+
+    part = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(deal))
+    counted = checkpointed(spans(texts.where(part == 0)).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = counted.where(F.col("n") >= max(256, total / most_hot)).select("h", "g", F.lit(True).alias("hot"))
+    place = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("at")]
+    dealt = spans(texts).join(F.broadcast(hot), ["h", "g"], "left")  # at most most_hot rows
+    own = W.partitionBy("h", "g", F.when(F.col("hot"), part).otherwise(0)).orderBy(*place)
+    kept = dealt.withColumn("nth", F.rank().over(own)).where("nth > 1 OR hot")
+    path = work_path(docs.sparkSession, "spans")
+    kept.select("doc_id", "mark", "at", (F.col("nth") > 1).alias("later"), *[F.when(F.col("hot") & (F.col("nth") == 1), F.col(c)).alias(c) for c in ("h", "g")]).write.parquet(path)
+    kept = docs.sparkSession.read.parquet(path)
+    ends = kept.where("NOT later")  # the first places of the parts of a hot hash
+    first = ends.groupBy("h", "g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "at")).alias("first"))
+    again = ends.join(F.broadcast(first), ["h", "g"]).where(
+        ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark")) & (F.col("first.at") == F.col("at")))
+    )
+    return kept.where("later").select("doc_id", "mark", "at").unionByName(again.select("doc_id", "mark", "at"))
 
 
 def drop_repeated_sentences(docs: DataFrame, text: str = "text", figures: bool = False) -> DataFrame:
     """``docs`` with repeated sentences taken out of the text; with ``figures`` also n_sentences and n_removed."""
     later = repeated_spans(docs, text)
     id_, mark, cut = (fresh(docs.columns, c) for c in ("_cut_id", "_mark", "_cut"))
-    cuts = later.groupBy(F.col("doc_id").alias(id_), "mark").agg(F.collect_list(F.struct("at", "len")).alias(cut))
+    cuts = later.groupBy(F.col("doc_id").alias(id_), "mark").agg(F.collect_set("at").alias(cut))
     cuts = cuts.withColumnRenamed("mark", f"{mark}_")
     marked = docs.withColumn(mark, F.xxhash64(text))
     joined = marked.join(cuts, marked["doc_id"].eqNullSafe(cuts[id_]) & (marked[mark] == cuts[f"{mark}_"]), "left")

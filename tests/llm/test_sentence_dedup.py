@@ -3,24 +3,7 @@
 from collections import defaultdict
 
 from stakelens.llm.queries import QUERIES
-from stakelens.llm.sentence_dedup import LEAST_WORDS, SPAN, drop_repeated_sentences, sentences
-
-
-def plain(docs):
-    seen = defaultdict(list)
-    for k, text in docs:
-        parts = sentences(text or "")
-        for i in range(len(parts) - SPAN + 1):
-            words = [w for p in parts[i : i + SPAN] for w in (p[2], None)]
-            if sum(len(w) for w in words if w) >= LEAST_WORDS:
-                seen[str(words)].append((k, i))
-    gone = defaultdict(set)
-    for places in seen.values():
-        for k, i in sorted(places)[1:]:
-            gone[k].update(range(i, i + SPAN))
-    for k, text in docs:
-        parts = sentences(text or "")
-        yield k, text if not gone[k] else "".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone[k]), len(parts), len(gone[k])
+from stakelens.llm.sentence_dedup import LEAST_WORDS, SPAN, drop_repeated_sentences, repeated_spans, sentences
 
 
 def test_sentences_cover_the_text():
@@ -30,13 +13,6 @@ def test_sentences_cover_the_text():
         assert [w for p in parts for w in p[2]] == text.lower().split()
 
 
-def test_query(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = QUERIES["op5_sentence_spans"](spark, sf).collect()
-    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(plain(docs))
-
-
 def test_passage_without_stops_in_other_surroundings(spark):
     words = [f"passage{i}" for i in range(60)]
     docs = [(1, "own beginning here " + " ".join(words) + " own end of the first"), (2, "another start. Then " + " ".join(words) + " quite different tail words")]
@@ -59,8 +35,8 @@ def test_odd_rows(spark):
     assert drop_repeated_sentences(docs.limit(0)).count() == 0
 
 
-def grown(docs):
-    """As plain(), each span grown until it has both SPAN sentences and LEAST_WORDS words."""
+def plain(docs):
+    """Each span is grown until it has both SPAN sentences and LEAST_WORDS words."""
     seen, parts_of = defaultdict(list), {k: sentences(text or "") for k, text in docs}
     for k, parts in parts_of.items():
         for i in range(len(parts)):
@@ -76,11 +52,11 @@ def grown(docs):
         yield k, text if not gone[k] else "".join(text[a:b] for j, (a, b, _) in enumerate(parts) if j not in gone[k]), len(parts), len(gone[k])
 
 
-def test_query_with_grown_spans(spark):
+def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op5_sentence_spans"](spark, sf).collect()
-    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(grown(docs))
+    assert sorted((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got) == sorted(plain(docs))
 
 
 def test_repeated_passage_of_short_lines(spark):
@@ -89,3 +65,12 @@ def test_repeated_passage_of_short_lines(spark):
     docs = [(1, "own start here\n" + lines + "own end"), (2, "other beginning\n" + lines + "other tail"), (3, "甲乙。" + han + "丙丁。"), (4, "戊己。" + han + "庚辛。")]
     got = {r.doc_id: r.text for r in drop_repeated_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: "other beginning\nother tail", 3: docs[2][1], 4: "戊己。庚辛。"}
+
+
+def test_hot_spans_are_dealt_out_without_change(spark):
+    passage = "The very same words. Stand in most documents. They are ten or more. "
+    docs = [(i if i % 7 else None, f"Own start {i} here. " * 3 + passage + f"Own end {i} there. Nothing else. ") for i in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    some = {(r.doc_id, r.mark, r.at) for r in repeated_spans(frame, deal=2).collect()}
+    whole = {(r.doc_id, r.mark, r.at) for r in repeated_spans(frame, deal=2, most_hot=1).collect()}
+    assert some == whole and len({r[:2] for r in some}) == 1499
