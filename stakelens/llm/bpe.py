@@ -20,7 +20,8 @@ from __future__ import annotations
 import base64
 import codecs
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,10 @@ _RUNS = re.compile(f" ?[{_LATIN}]++(?=[\\x00-\\x7f]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?!
 _WORD = re.compile(f" ?[{_LATIN}]+")
 
 _START = -1
-_MAX_RUNS = 200_000  # entries of the run table and of the pair table: a bound on memory, not on results
+_MAX_RUNS = 300_000  # entries of each of two run tables and of the pair table: a bound on memory, not on results
 _MAX_PAIRS = 300_000
 _ROWS = 256
+_CHUNK = 1 << 14  # ids decoded at a time
 _LONG = 256  # bytes after which settled tokens are emitted
 
 
@@ -184,6 +186,29 @@ class MergeTransducer:
         return node
 
 
+class _Runs(dict):
+    """Ids of runs as the bytes of an int32 array; what is missing is made.
+
+    Two tables: when the newer one is full it becomes the older one, whose entries move over again as they are met. So common runs
+    stay known, whatever passes by.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self._make, self._older = make, {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self._older.get(run)
+        if ids is None:
+            ids = self._make(run)
+        if len(self) >= _MAX_RUNS:
+            self._older = dict(self)
+            self.clear()
+        if len(run) <= 64:
+            self[run] = ids
+        return ids
+
+
 class Encoder:
     """Cuts texts by the pattern and encodes the runs, keeping what it has seen."""
 
@@ -192,40 +217,67 @@ class Encoder:
 
         self._split = regex.compile(pattern)
         self._machine = MergeTransducer(ranks)
-        self._runs: dict[str, tuple[int, ...]] = {}
-
-    def _run(self, run: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for piece in [run] if _WORD.fullmatch(run) else self._split.findall(run):
-            ids.extend(self._machine.encode(piece.encode("utf-8")))
-        if len(self._runs) >= _MAX_RUNS:
-            self._runs.clear()
-        if len(run) <= 64:
-            self._runs[run] = tuple(ids)
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, make = self._runs, self._run
-        for run in _RUNS.findall(text):
-            ids.extend(known.get(run) or make(run))
-        return ids
+        self._pieces = _Runs(self._piece)
+        self._runs = _Runs(self._run)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self._machine.encode(piece.encode("utf-8"))
+        return struct.pack(f"{len(ids)}i", *ids)
+
+    def _run(self, run: str) -> bytes:
+        if _WORD.fullmatch(run):
+            return self._piece(run)
+        return b"".join([self._pieces[p] for p in self._split.findall(run)])
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._runs.__getitem__, _RUNS.findall(text))), np.int32)
+
+
+class TokenBytes:
+    """Bytes by id; one entry past the vocabulary stands for every id outside it and decodes to nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=-1) + 1
+        entries = [b""] * (self.size + 1)
+        for token, i in ranks.items():
+            entries[i] = token
+        self._blob = np.frombuffer(b"".join(entries), np.uint8)
+        self._length = np.array([len(e) for e in entries], np.int64)
+        self._start = np.cumsum(self._length) - self._length
+
+    def known(self, ids: Iterable[int | None]) -> np.ndarray:
+        return np.array([i if i is not None and 0 <= i < self.size else self.size for i in ids], np.int32)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        length = self._length[ids]
+        at = np.cumsum(length)
+        return self._blob[np.arange(at[-1] if len(at) else 0) + np.repeat(self._start[ids] - at + length, length)].tobytes()
 
 
 class StreamDecoder:
-    """Text from ids that arrive in pieces; a character appears when its last byte has come."""
+    """Text from ids that arrive in pieces, by an incremental UTF-8 state machine: a character appears when its last byte has come.
+
+    ``errors`` says what becomes of bytes that are no UTF-8: "replace" for reading, "surrogateescape" keeps them, so that
+    encoding the text the same way gives the bytes back.
+    """
 
-    def __init__(self, bytes_of: dict[int, bytes]):
-        self._bytes_of = bytes_of
-        self._utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, table: TokenBytes, errors: str = "replace"):
+        self._table = table
+        self._utf8 = codecs.getincrementaldecoder("utf-8")(errors)
 
-    def feed(self, ids: Iterable[int]) -> str:
-        return self._utf8.decode(b"".join([self._bytes_of.get(i, b"") for i in ids]))
+    def feed(self, ids: np.ndarray) -> str:
+        return self._utf8.decode(self._table.join(ids))
 
     def close(self) -> str:
         return self._utf8.decode(b"", True)
 
 
+def stream_text(table: TokenBytes, ids: np.ndarray, errors: str = "replace") -> str:
+    """The whole text of a row of ids, decoded piece by piece."""
+    stream = StreamDecoder(table, errors)
+    return "".join([stream.feed(ids[i : i + _CHUNK]) for i in range(0, len(ids), _CHUNK)]) + stream.close()
+
+
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
@@ -258,66 +310,30 @@ def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield batch.slice(start, _ROWS)
 
 
-class _Table:
-    """Bytes by id; one entry past the vocabulary stands for every id outside it and decodes to nothing."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.size = max(ranks.values(), default=-1) + 1
-        self.entries = [b""] * (self.size + 1)
-        for token, i in ranks.items():
-            self.entries[i] = token
-
-    def join(self, ids: Iterable[int]) -> bytes:
-        entries = self.entries
-        return b"".join([entries[i] for i in ids])
-
-    def safe(self, ids: Iterable[int | None]) -> list[int]:
-        return [i if i is not None and 0 <= i < self.size else self.size for i in ids]
-
-
 def encode_column(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """Token ids (array<int>) of a text column and the bytes they decode to: struct<ids, decoded>."""
+    """Token ids (array<int>) of a text column and the bytes that the ids decode to as a stream: struct<ids, decoded>."""
     shared, key = spark.sparkContext.broadcast(ranks), _digest(ranks)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, table = _shared_encoder(key, shared.value, pattern), _Table(shared.value)
+        encoder, table = _shared_encoder(key, shared.value, pattern), TokenBytes(shared.value)
         for rows in _slices(batches):
-            ids, out = [], []
-            for text in rows:
-                ids.append(np.array(encoder.encode(text.as_py() or ""), np.int32))
-                out.append(table.join(ids[-1].tolist()))
+            ids = [encoder.encode(text.as_py() or "") for text in rows]
+            out = [stream_text(table, row, "surrogateescape").encode("utf-8", "surrogateescape") for row in ids]
             yield pa.StructArray.from_arrays([_lists(ids), pa.array(out, pa.binary())], ["ids", "decoded"])
 
     return encode(text)
 
 
-def decode_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Bytes (binary) that a column of token ids stands for."""
-    shared = spark.sparkContext.broadcast(ranks)
-
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = _Table(shared.value)
-        for rows in _slices(batches):
-            yield pa.array([table.join(table.safe(row.as_py() or [])) for row in rows], pa.binary())
-
-    return decode(ids)
-
-
 def decode_text_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
     """Text of a column of token ids, broken characters replaced, decoded as a stream."""
     shared = spark.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bytes_of = {i: t for t, i in shared.value.items()}
+        table = TokenBytes(shared.value)
         for rows in _slices(batches):
-            out = []
-            for row in rows:
-                stream, ids_ = StreamDecoder(bytes_of), row.as_py() or []
-                out.append("".join([stream.feed(ids_[i : i + 4096]) for i in range(0, len(ids_), 4096)]) + stream.close())
-            yield pa.array(out, pa.string())
+            yield pa.array([stream_text(table, table.known(row.as_py() or [])) for row in rows], pa.string())
 
     return decode(ids)
 
@@ -325,8 +341,13 @@ def decode_text_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """``docs`` with the ids of each text and the bytes they decode to."""
+    """``docs`` with the ids of each text and the bytes they decode to, in columns ``ids`` and ``decoded``.
+
+    Columns of ``docs`` of those names would be lost, so they are refused: give other names then.
+    """
     spark = docs.sparkSession
+    if taken := {c.lower() for c in docs.columns} & {ids.lower(), decoded.lower()}:
+        raise ValueError(f"columns {sorted(taken)} are there already: name the new ones otherwise")
     coded = fresh(docs.columns, "_coded")
     out = docs.withColumn(coded, encode_column(spark, F.col(text), read_ranks(spark, ranks_path), pattern))
     return out.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)

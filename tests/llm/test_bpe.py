@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import Row
 
-from stakelens.llm.bpe import Encoder, StreamDecoder, decode_column, decode_text_column, encode_documents, read_ranks
+from stakelens.llm.bpe import Encoder, StreamDecoder, TokenBytes, decode_text_column, encode_documents, read_ranks, stream_text
 from stakelens.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,7 +34,7 @@ def test_hard_and_random_texts(both):
     texts = [t or "" for t in HARD] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += ["".join(rng.choice("abtheing") for _ in range(rng.randint(200, 1500))) for _ in range(60)]
     for text in texts:
-        assert own.encode(text) == lib.encode_ordinary(text), repr(text)
+        assert own.encode(text).tolist() == lib.encode_ordinary(text), repr(text)
 
 
 def test_pairs_fit_as_plain_merging_says(both):
@@ -50,8 +51,8 @@ def test_stream_decoder_waits_for_whole_characters(both):
     text = "naïve 中文🙂 end"
     bytes_of = own._machine.bytes_of
     single = {bytes_of[i]: i for i in bytes_of if len(bytes_of[i]) == 1}
-    stream = StreamDecoder(bytes_of)
-    out = [stream.feed([single[bytes((b,))]]) for b in text.encode()]
+    stream = StreamDecoder(TokenBytes(own._machine.ranks))
+    out = [stream.feed(np.array([single[bytes((b,))]])) for b in text.encode()]
     assert "".join(out) + stream.close() == text and "�" not in "".join(out)
 
 
@@ -78,6 +79,24 @@ def test_columns_and_query(spark, both, tmp_path):
 def test_ids_outside_the_vocabulary(spark):
     ranks = read_ranks(spark, PATH)
     frame = spark.createDataFrame([([-1, 70000, 40],), ([None, 40],), (None,), ([],)], "ids array<int>")
-    got = [bytes(r.d) for r in frame.select(decode_column(spark, frame.ids, ranks).alias("d")).collect()]
-    one = {v: k for k, v in ranks.items()}[40]
-    assert got == [one, one, b"", b""]
+    got = [r.d for r in frame.select(decode_text_column(spark, frame.ids, ranks).alias("d")).collect()]
+    one = {v: k for k, v in ranks.items()}[40].decode()
+    assert got == [one, one, "", ""]
+
+
+def test_any_ids_decode_to_their_bytes(both):
+    own, rng = both[0], random.Random(7)
+    table, bytes_of = TokenBytes(own._machine.ranks), own._machine.bytes_of
+    for n in (0, 1, 50, 40_000):  # random ids are seldom UTF-8, and the long row is decoded in pieces
+        ids = np.array([rng.randrange(len(bytes_of)) for _ in range(n)], np.int32)
+        want = b"".join(bytes_of[i] for i in ids.tolist())
+        assert stream_text(table, ids, "surrogateescape").encode("utf-8", "surrogateescape") == want
+        assert stream_text(table, ids) == want.decode("utf-8", "replace")
+
+
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, IDS string")
+    with pytest.raises(ValueError):
+        encode_documents(docs, PATH, public_tokenizers.PATTERN)
+    out = encode_documents(docs, PATH, public_tokenizers.PATTERN, ids="token_ids").first()
+    assert out.IDS == "x" and len(out.token_ids) == 1
