@@ -6,7 +6,7 @@ count + 1 (one more share for all unseen words), so every token of any text has
 is thus bounded (symbols x states), while counts of all other words stay in a table and meet the texts in a join.
 
 Training: each pass of Baum-Welch sums the expected counts of states, moves and emissions over partitions, combined per task and added up by symbol.
-All passes, ``warm_passes`` and the last one, read all training texts; a pass without tokens leaves the model as it is. In training
+Texts are turned into symbols once and written; each of the ``passes`` reads all of them, and one without tokens leaves the model as it is. In training
 texts are cut into stretches of ``_STRETCH`` tokens, each read with ``_OVERLAP`` more on either side that are not counted, so that a
 stretch has the states around it, moves across cuts count once and only the text's own start is a start; scoring runs over whole texts.
 
@@ -30,7 +30,7 @@ from stakelens.llm.common import checkpointed, table, text_of  # noqa: F401
 from stakelens.session import work_path
 
 END = b""
-_STRETCH, _OVERLAP, _BATCH, _DOCS, _FLUSH = 1024, 64, 256, 2048, 400_000
+_STRETCH, _OVERLAP, _BATCH, _DOCS, _FLUSH = 1024, 64, 384, 2048, 400_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -156,9 +156,9 @@ class Hmm:
         starts += gamma[0].sum(axis=0)
         if steps > 1:
             moves += self.move * (alpha[:-1].reshape(-1, s).T @ ahead[1:].reshape(-1, s))
-        flat, weight = symbols.ravel(), gamma.reshape(-1, s)
-        for z in range(s):
-            emissions[:, z] += np.bincount(flat, weight[:, z], len(emissions))
+        used, place = np.unique(symbols[counts], return_inverse=True)
+        each = (place.ravel()[:, None] * s + np.arange(s)).ravel()
+        emissions[used] += np.bincount(each, gamma[counts].ravel(), len(used) * s).reshape(-1, s)
 
     @staticmethod
     def from_counts(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Hmm:
@@ -187,16 +187,34 @@ def stretches(row: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
         yield row[begin : at + _STRETCH + _OVERLAP], (at - begin, min(at + _STRETCH, len(row)) - begin)
 
 
+def _symbols_written(texts: DataFrame, symbols: Symbols) -> DataFrame:
+    """The symbols of each text of a one-column frame, written once for all passes."""
+    shared = texts.sparkSession.sparkContext.broadcast(symbols)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        of = known.lookup()
+        for batch in batches:
+            for at in range(0, len(batch), _DOCS):
+                rows = [_symbol_rows(tokens(t.as_py() or ""), of, known.classes).astype(np.int32) for t in batch.column(0).slice(at, _DOCS)]
+                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                flat = pa.array(np.concatenate([np.empty(0, np.int32), *rows]))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat)], ["symbols"])
+
+    path = work_path(texts.sparkSession, "symbols")
+    texts.mapInArrow(look_up, "symbols array<int>").write.parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
 def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over a one-column frame of texts."""
+    """Expected counts over a one-column frame of symbol lists."""
     spark, states = texts.sparkSession, len(model.start)
-    shared = spark.sparkContext.broadcast((symbols, model))
+    shared = spark.sparkContext.broadcast(model)
     names = [f"s{z}" for z in range(states)]
     size = len(symbols.frequent) + symbols.classes
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now = shared.value
-        of = known.lookup()
+        now = shared.value
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         waiting: list[tuple[np.ndarray, tuple[int, int]]] = []
 
@@ -208,8 +226,10 @@ def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, n
                 waiting = waiting[_BATCH:]
 
         for batch in batches:
-            for value in batch.column(0):
-                waiting.extend(stretches(_symbol_rows(tokens(value.as_py() or ""), of, known.classes)))
+            lists = batch.column(0)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                waiting.extend(stretches(flat[a:b]))
                 if len(waiting) >= 4 * _BATCH:
                     work(_BATCH)
         work(0)
@@ -238,7 +258,7 @@ class Trained:
 
 
 def train(
-    docs: DataFrame, frequent: int = 65_536, classes: int = 4096, states: int = 8, warm_passes: int = 6
+    docs: DataFrame, frequent: int = 65_536, classes: int = 4096, states: int = 8, passes: int = 4
 ) -> Trained:
     """Learn from the texts of ``docs`` (doc_id, text)."""
     texts = docs.select("doc_id", text_of().alias("text"))
@@ -255,8 +275,9 @@ def train(
     unigram = np.concatenate([[c + 1 for _, c in symbols.frequent], totals])
     unigram = unigram / unigram.sum()
     model = Hmm.beginning(unigram, states)
-    for _ in range(warm_passes + 1):
-        counts = _pass(texts.select("text"), symbols, model)
+    rows = _symbols_written(texts.select("text"), symbols)
+    for _ in range(passes):
+        counts = _pass(rows, symbols, model)
         if not counts[2].any():
             break  # no training tokens: there is nothing to learn from
         model = Hmm.from_counts(*counts, unigram)

@@ -66,7 +66,7 @@ def test_query_against_plain_counts(spark):
 def test_few_frequent_words_and_odd_rows(spark):
     rows = [(i, f"a b c{i % 9} d{i}", "x") for i in range(60)] + [(70, None, "x"), (None, "", None), (71, "zz " * 30_000, "x"), (72, "a b", "x"), (72, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    trained = train(docs.where("doc_id < 60"), frequent=4, classes=8, states=2, warm_passes=1)
+    trained = train(docs.where("doc_id < 60"), frequent=4, classes=8, states=2, passes=1 + 1)
     got = score_documents(docs, trained).collect()
     assert len(got) == len(rows)
     count = Counter(w for _, t, _ in rows[:60] for w in tokens(t))
@@ -78,7 +78,7 @@ def test_few_frequent_words_and_odd_rows(spark):
         assert by_id[k].n_known == sum(count[w] > 0 for w in words)
         assert by_id[k].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
     assert len({r.score for r in got if r.doc_id == 72}) == 1
-    none = train(docs.limit(0), frequent=4, classes=8, states=2, warm_passes=1)
+    none = train(docs.limit(0), frequent=4, classes=8, states=2, passes=1 + 1)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in score_documents(docs, none).collect())
     assert score_documents(docs.limit(0), trained).count() == 0
 
@@ -102,7 +102,7 @@ def test_stretches_count_as_the_whole_text():
 def test_every_pass_reads_all_texts(spark):
     # ids all null fell into one fold, and passes over the other folds wiped out the states
     docs = spark.createDataFrame([(None, f"a b c{i % 9} d e f a b") for i in range(40)], "doc_id long, text string")
-    model = train(docs, frequent=20, classes=4, states=2, warm_passes=2).model
+    model = train(docs, frequent=20, classes=4, states=2, passes=2 + 1).model
     assert not np.allclose(model.emit[:, 0], model.emit[:, 1])
-    none = train(docs.limit(0), frequent=4, classes=8, states=2, warm_passes=1).model
+    none = train(docs.limit(0), frequent=4, classes=8, states=2, passes=1 + 1).model
     assert not np.allclose(none.emit[:, 0], none.emit[:, 1])
