@@ -341,13 +341,9 @@ def decode_text_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """``docs`` with the ids of each text and the bytes they decode to, in columns ``ids`` and ``decoded``.
-
-    Columns of ``docs`` of those names would be lost, so they are refused: give other names then.
-    """
+    """``docs`` with the ids of each text and the bytes they decode to, in two more columns at the end: ``ids`` and ``decoded``,
+    with leading underscores where ``docs`` has columns of those names."""
     spark = docs.sparkSession
-    if taken := {c.lower() for c in docs.columns} & {ids.lower(), decoded.lower()}:
-        raise ValueError(f"columns {sorted(taken)} are there already: name the new ones otherwise")
-    coded = fresh(docs.columns, "_coded")
+    coded, ids, decoded = (fresh(docs.columns, c) for c in ("_coded", ids, decoded))
     out = docs.withColumn(coded, encode_column(spark, F.col(text), read_ranks(spark, ranks_path), pattern))
     return out.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)

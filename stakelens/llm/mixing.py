@@ -10,7 +10,8 @@ lexical one: three bits, each telling whether over half of the distinct longer w
 
 Defined cases: null source, language and topic are values of their own; a null or empty text counts one token, so that no
 document weighs nothing; rows that repeat get equal results; targets for values that don't occur are left out and the others
-scaled up. An empty table gives an empty result.
+scaled up; a value that has no target among given ones has share 0: its rows stay in the result with weight 0 and are not kept. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,47 +60,50 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 
 
 def _scaled(targets: DataFrame, cells: DataFrame, margin: str) -> DataFrame:
-    """Targets of the values that occur, scaled to sum 1."""
-    there = targets.join(cells.select(margin).distinct(), margin)
+    """Targets of the values that occur, scaled to sum 1; a value without a target has target 0."""
+    there = cells.select(margin).distinct().join(targets, margin, "left").na.fill(0.0, ["target"])
     whole = there.agg(F.sum("target")).first()[0] or 1.0
     return there.select(margin, (F.col("target") / F.lit(float(whole))).alias("target"))
 
 
-def rake(
-    cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 20, tolerance: float = 1e-5
-) -> DataFrame:
-    """``cells`` (margins, tokens) with the weight that brings every margin to its target shares.
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-5, patience: int = 8) -> tuple[DataFrame, float]:
+    """``cells`` (margins, tokens) with the weight that brings every margin to its target shares, and the deviation that is left.
 
-    Ends when no margin is off by more than ``tolerance`` of its target, or after ``rounds`` rounds (margins that contradict each other
-    have no solution; the last round is then returned). The sum of weighted tokens is the sum of tokens.
+    The deviation is the largest relative change that the last round made to any value. Rounds end when it is at most ``tolerance``, or
+    when ``patience`` rounds have not halved it (margins that contradict each other have no solution). Every round is one
+    checkpoint and a look at its deviation. Values with target 0 get weight 0.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
-    fitted = checkpointed(cells.withColumn("weight", F.lit(1.0)))
+    fitted = cells.withColumn("weight", F.lit(1.0))
     if not total:
-        return fitted
-    targets = {m: checkpointed(t) for m, t in targets.items()}
-    for _ in range(rounds):
-        worst = 0.0
-        for margin, target in targets.items():
-            now = fitted.groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_now"))
-            factor = now.join(target, margin).select(margin, (F.col("target") * float(total) / F.col("_now")).alias("_factor"))
-            scaled = checkpointed(fitted.join(factor, margin).withColumn("weight", F.col("weight") * F.col("_factor")))
-            worst = max(worst, scaled.agg(F.max(F.abs(F.col("_factor") - 1))).first()[0] or 0.0)
-            fitted = scaled.select(*cells.columns, "weight")
-        if worst <= tolerance:
-            break
-    return fitted
+        return fitted, 0.0
+    for margin, target in targets.items():
+        fitted = fitted.join(target.select(margin, F.col("target").alias(f"_to_{margin}")), margin)
+    fitted, seen = checkpointed(fitted), []
+    while True:
+        now = fitted.drop("_moved").withColumn("_moved", F.lit(0.0))
+        for margin in targets:
+            sums = now.groupBy(margin).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_now"))
+            factor = F.when(F.col("_now") > 0, F.col(f"_to_{margin}") * float(total) / F.col("_now")).otherwise(1.0)
+            now = now.join(sums, margin).withColumn("_by", factor).withColumns(
+                {"weight": F.col("weight") * F.col("_by"), "_moved": F.greatest("_moved", F.abs(F.col("_by") - 1))}
+            ).drop("_now", "_by")
+        fitted = checkpointed(now)
+        seen.append(fitted.agg(F.max(F.when(F.col("weight") > 0, F.col("_moved")))).first()[0] or 0.0)
+        stuck = len(seen) > patience and seen[-1] > seen[-1 - patience] / 2
+        if seen[-1] <= tolerance or stuck:
+            return fitted.select(*cells.columns, "weight"), seen[-1]
 
 
 def mixed(
     docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, temper: float = 0.9, rate: float | None = None,
-    topic: Column | None = None, seed: int = 4, prefix: str = "", rounds: int = 20,
+    topic: Column | None = None, seed: int = 4, prefix: str = "",
 ) -> DataFrame:
-    """``docs`` with topic, n_tokens, weight, probability and kept (each named with ``prefix``).
+    """``docs`` with topic, n_tokens, weight, probability, deviation (of the fit) and kept (each named with ``prefix``).
 
     ``targets`` maps margins (source, lang, topic) to tables (margin, target).
     """
-    name = {c: fresh([x for x in docs.columns], f"{prefix}{c}") for c in ("topic", "n_tokens", "weight", "probability", "kept")}
+    name = {c: fresh([x for x in docs.columns], f"{prefix}{c}") for c in ("topic", "n_tokens", "weight", "probability", "deviation", "kept")}
     keys = {m: fresh(docs.columns, f"_key_{m}") for m in MARGINS}
     text = text_of()
     made = docs.withColumn(name["n_tokens"], n_tokens(text))
@@ -120,7 +124,7 @@ def mixed(
         if m in given else tempered(cells, m, temper)
         for m in MARGINS
     }
-    fitted = rake(cells, wanted, rounds)
+    fitted, deviation = rake(cells, wanted)
     most = fitted.agg(F.max("weight")).first()[0] or 1.0
     step = min(rate, 1 / most) if rate is not None else 1 / most
     lookup = fitted.select(*[F.col(m).alias(f"{keys[m]}_") for m in MARGINS], F.col("weight").alias(name["weight"]))
@@ -130,6 +134,7 @@ def mixed(
         lookup = F.broadcast(lookup)
     joined = keyed.join(lookup, [keyed[keys[m]] == lookup[f"{keys[m]}_"] for m in MARGINS])
     out = joined.withColumn(name["probability"], F.least(F.col(name["weight"]) * F.lit(step), F.lit(1.0)))
+    out = out.withColumn(name["deviation"], F.lit(float(deviation)))
     out = out.withColumn(name["kept"], hash_unit(F.col("doc_id"), text, F.lit(seed)) < F.col(name["probability"]))
     return out.select(*docs.columns, *name.values())
 

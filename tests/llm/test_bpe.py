@@ -94,9 +94,9 @@ def test_any_ids_decode_to_their_bytes(both):
         assert stream_text(table, ids) == want.decode("utf-8", "replace")
 
 
-def test_clashing_names_are_refused(spark):
-    docs = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, IDS string")
-    with pytest.raises(ValueError):
-        encode_documents(docs, PATH, public_tokenizers.PATTERN)
-    out = encode_documents(docs, PATH, public_tokenizers.PATTERN, ids="token_ids").first()
-    assert out.IDS == "x" and len(out.token_ids) == 1
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y")], "doc_id long, text string, IDS string, decoded string")
+    out = encode_documents(docs, PATH, public_tokenizers.PATTERN)
+    assert out.columns == ["doc_id", "text", "IDS", "decoded", "_ids", "_decoded"]
+    row = out.first()
+    assert (row.IDS, row.decoded, bytes(row._decoded)) == ("x", "y", b"a") and len(row._ids) == 1

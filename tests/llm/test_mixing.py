@@ -54,18 +54,44 @@ def test_query(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
-def test_given_targets_and_odd_rows(spark):
-    rows = [(i, "word " * (i % 7 + 1), "a" if i % 3 else "b", "en" if i % 2 else None, "x") for i in range(200)]
-    rows += [(None, None, None, None, None), (200, "", "a", "en", "x"), (200, "", "a", "en", "x"), (201, "w " * 100_000, "b", "en", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string")
-    share = spark.createDataFrame([("a", 0.8), ("b", 0.1), (None, 0.1), ("gone", 5.0)], "source string, target double")
-    out = mixed(docs, {"source": share}, rounds=2, topic=F.lit("one"))
-    got = out.collect()
-    assert len(got) == len(rows) and out.columns[:5] == docs.columns and "_kept" in out.columns
+def odd_frame(spark):
+    rows = [(i, "word " * (i % 7 + 1), "a" if i % 3 else "b", "en" if i % 2 else "fr", "x") for i in range(200)]
+    rows += [(300 + i, "some words", None, ["en", "fr", None][i % 3], "x") for i in range(60)]
+    rows += [(None, None, None, None, None), (200, "", "a", "en", "x"), (200, "", "a", "en", "x"), (201, "w " * 3000, "b", "en", "x"), (202, "w " * 3000, "a", "fr", "x")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, kept string")
+
+
+def shares(got):
     tokens = Counter()
     for r in got:
         tokens[r.source] += r.n_tokens * r.weight
-    assert tokens["a"] / sum(tokens.values()) == pytest.approx(0.8, rel=0.05)
+    return {k: v / sum(tokens.values()) for k, v in tokens.items()}
+
+
+def test_given_targets_and_odd_rows(spark):
+    rows, docs = odd_frame(spark)
+    share = spark.createDataFrame([("a", 0.6), ("b", 0.2), (None, 0.2), ("gone", 5.0)], "source string, target double")
+    out = mixed(docs, {"source": share}, topic=F.lit("one"))
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns[:5] == docs.columns and "_kept" in out.columns
+    assert got[0].deviation <= 1e-5
+    assert shares(got) == pytest.approx({"a": 0.6, "b": 0.2, None: 0.2}, rel=1e-3)
     assert all(0 < r.probability <= 1 for r in got)
     assert len({(r.weight, r["_kept"]) for r in got if r.doc_id == 200}) == 1
     assert mixed(docs.limit(0)).count() == 0
+
+
+def test_values_without_a_target_stay_as_rows(spark):
+    rows, docs = odd_frame(spark)
+    share = spark.createDataFrame([("a", 0.5), (None, 0.5)], "source string, target double")
+    got = mixed(docs, {"source": share}, topic=F.lit("one")).collect()
+    assert len(got) == len(rows)
+    assert all((r.weight, r.probability, r["_kept"]) == (0, 0, False) for r in got if r.source == "b")
+    assert all(r.weight > 0 for r in got if r.source != "b")
+
+
+def test_margins_that_contradict_each_other(spark):
+    docs = spark.createDataFrame([(1, "one two", "a", "en"), (2, "three four", "b", "fr")], "doc_id long, text string, source string, lang string")
+    by = lambda m, x, y, p: spark.createDataFrame([(x, p), (y, 1 - p)], f"{m} string, target double")
+    got = mixed(docs, {"source": by("source", "a", "b", 0.9), "lang": by("lang", "en", "fr", 0.2)}, topic=F.lit("one")).collect()
+    assert len(got) == 2 and all(r.deviation > 0.5 for r in got)
