@@ -48,7 +48,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, after a round trip that must give the text back."""
     import public_tokenizers
 
-    coded = encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = docs.select("doc_id", "lang", "source", "text")
+    coded = encode_documents(texts, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     same = F.coalesce(F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.lit(False))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
