@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form", "correlation", "ingest", "streams", "models")
+FAMILIES = ("gate", "scalars", "sweeps", "validation", "grading", "form", "correlation", "ingest", "streams", "models", "market_models", "reports")
 
 
 def load_all() -> None:

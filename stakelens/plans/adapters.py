@@ -91,6 +91,10 @@ _RAW = [
     "CASE WHEN slot % 2 = 0 THEN '+' || CAST(line AS STRING) ELSE '-' || CAST(line AS STRING) END AS handicap",
 ]
 
+#: the pick history as landed: the raw picks with their factors as text
+FACTORS = ("score_discount", "score_tax", "score_volume", "score_price", "score_sparse", "score_form")
+PICK_HISTORY = [*_RAW, *[f"CAST({c} AS STRING) AS {c}" for c in FACTORS]]
+
 _LEAGUE_SQL = "CAST(floor(o_custkey / 30e0) AS BIGINT)"
 
 _GAME_STEPS = (
@@ -223,6 +227,11 @@ def picks_raw(spark: SparkSession, sf: str) -> DataFrame:
     return picks(spark, sf).selectExpr(f"inline(array(struct({', '.join(_RAW)})))")
 
 
+def pick_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed picks with their factors, all text."""
+    return picks(spark, sf).selectExpr(f"inline(array(struct({', '.join(PICK_HISTORY)})))")
+
+
 def games(spark: SparkSession, sf: str) -> DataFrame:
     """One game per order; six teams per league, leagues grow with the customers."""
     return _apply(table(spark, sf, "orders"), _GAME_STEPS)
@@ -283,6 +292,7 @@ def _graded_sql() -> str:
 CTES = {
     "picks": _sql("lineitem", _PICK_STEPS),
     "picks_raw": f"SELECT {', '.join(_RAW)} FROM picks",
+    "pick_history": f"SELECT {', '.join(PICK_HISTORY)} FROM picks",
     "graded": _graded_sql(),
     "games": _sql("orders", _GAME_STEPS),
     "boxscore": _sql("(SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", _BOX_STEPS),
@@ -294,7 +304,7 @@ CTES = {
         f" WHERE position_type IN {_BATTERS} GROUP BY 1, 2 HAVING sum(runs_scored) IS NOT NULL"
     ),
 }
-_NEEDS = {"picks_raw": ("picks",), "graded": ("picks", "picks_raw"), "team_runs": ("boxscore",)}
+_NEEDS = {"picks_raw": ("picks",), "pick_history": ("picks",), "graded": ("picks", "picks_raw"), "team_runs": ("boxscore",)}
 
 
 def with_tables(*names: str, extra: str = "") -> str:

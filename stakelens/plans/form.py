@@ -392,6 +392,9 @@ def q_elo_ratings(spark, sf):
     return rated.select("game_pk", *[F.round(x, 6).alias(x) for x in ("elo_home_pre", "elo_away_pre", "elo_diff")])
 
 
+PARK_FACTORS = ("runs_factor", "hr_factor", "k_factor", "hits_factor")
+
+
 def feature_table(spark, sf) -> DataFrame:
     """Per game: ratings, form, workload and park, all known before the game."""
     games = a.games(spark, sf)
@@ -401,7 +404,7 @@ def feature_table(spark, sf) -> DataFrame:
         f.relief_workload(a.boxscore(spark, sf)), "home_team", "away_team",
     ).select("game_pk", "home_fatigue", "away_fatigue")
     v, p = venues(spark, sf).select("game_pk", "venue_name"), parks(spark, sf)
-    park = v.join(p, v.venue_name == p.park_name, "left").select("game_pk", "runs_factor", "hr_factor")
+    park = v.join(p, v.venue_name == p.park_name, "left").select("game_pk", *PARK_FACTORS)
     return (
         games.select("game_pk", "game_date", "season")
         .join(elo_ratings(games).drop("league"), "game_pk")
@@ -412,7 +415,7 @@ def feature_table(spark, sf) -> DataFrame:
             "game_pk", "game_date", "season", "elo_diff",
             (F.col("l10_home_wins") - F.col("l10_away_wins")).alias("l10_diff"),
             (F.col("home_fatigue") - F.col("away_fatigue")).alias("fatigue_diff"),
-            "runs_factor", "hr_factor",
+            *PARK_FACTORS,
         )
     )
 
@@ -422,7 +425,7 @@ def feature_table(spark, sf) -> DataFrame:
     _recursive(with_tables("games", "boxscore", extra=f"{_elo_sql()}, {_FORM}, {_FATIGUE}, {_PARKS}"))
     + "SELECT g.game_pk, g.game_date, g.season, round(elo_home_pre + 24e0 - elo_away_pre, 6) AS elo_diff, "
     "coalesce(l10_home_wins, 5) - coalesce(l10_away_wins, 5) AS l10_diff, "
-    "coalesce(h.fatigue, 0) - coalesce(w.fatigue, 0) AS fatigue_diff, runs_factor, hr_factor FROM games g "
+    "coalesce(h.fatigue, 0) - coalesce(w.fatigue, 0) AS fatigue_diff, runs_factor, hr_factor, k_factor, hits_factor FROM games g "
     "JOIN elo ON elo.game_pk = g.game_pk JOIN form ON form.game_pk = g.game_pk "
     "LEFT JOIN fat h ON h.team_id = home_team AND h.game_date = g.game_date "
     "LEFT JOIN fat w ON w.team_id = away_team AND w.game_date = g.game_date "

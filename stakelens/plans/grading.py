@@ -336,7 +336,8 @@ def q_dedup_first(spark, sf):
 
 _PARKS = (
     "parks AS (SELECT n_nationkey, n_name AS park_name, CAST(90 + n_nationkey AS DOUBLE) AS runs_factor, "
-    "CAST(110 - n_regionkey * 5 AS DOUBLE) AS hr_factor FROM nation WHERE n_regionkey <> 2), "
+    "CAST(110 - n_regionkey * 5 AS DOUBLE) AS hr_factor, CAST(95 + n_nationkey % 11 AS DOUBLE) AS k_factor, "
+    "CASE WHEN n_nationkey % 8 > 0 THEN CAST(97 + n_nationkey % 7 AS DOUBLE) END AS hits_factor FROM nation WHERE n_regionkey <> 2), "
     "venues AS (SELECT game_pk, 'NATION_' || CAST(venue_key AS VARCHAR) AS venue_name, season FROM games)"
 )
 
@@ -345,7 +346,8 @@ def parks(spark, sf) -> DataFrame:
     """Park factors: one row per venue, a few venues have none."""
     return table(spark, sf, "nation").where("n_regionkey <> 2").selectExpr(
         "n_name AS park_name", "CAST(90 + n_nationkey AS DOUBLE) AS runs_factor",
-        "CAST(110 - n_regionkey * 5 AS DOUBLE) AS hr_factor",
+        "CAST(110 - n_regionkey * 5 AS DOUBLE) AS hr_factor", "CAST(95 + n_nationkey % 11 AS DOUBLE) AS k_factor",
+        "CASE WHEN n_nationkey % 8 > 0 THEN CAST(97 + n_nationkey % 7 AS DOUBLE) END AS hits_factor",
     )
 
 

@@ -113,5 +113,43 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: Sequence[Column | str]) -> None:
+    """Result table as CSV with header in one global order: ranges of it by file number, sorted within each file."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+def _placed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows with file, block and position within the block."""
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+
+
+def read_ordered(spark: SparkSession, path: str, schema: T.StructType, place: str = "place") -> DataFrame:
+    """An ordered report with each row's place, from 1: blocks are numbered by file and offset, and only their sizes are summed up."""
+    rows = _placed(spark, path, schema)
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.withColumn("_before", F.coalesce(before, F.lit(0)))
+    at = (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias(place)
+    return rows.join(starts, ["_file", "_block"]).select(at, *schema.names)
+
+
+def ordered_manifest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[Column]) -> DataFrame:
+    """(file, n_rows, first, last, in_order) of an ordered report; in_order tells that the file before ends before this one begins.
+
+    ``keys`` are ascending; one row a file goes through the window.
+    """
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    sizes = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first"), F.max(key).alias("last")
+    )
+    earlier = F.lag("last").over(W.orderBy("file"))
+    return sizes.withColumn("in_order", F.coalesce(earlier < F.col("first"), F.lit(True)))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)

@@ -15,7 +15,8 @@ from stakelens.plans.registry import QUERIES  # noqa: E402
 SF = "/root/testdata/sf0.001"
 CORE = [
     "gate_cuts", "gate_verdict", "sweep_grid", "index_split", "policy_grading", "asof_strict_left", "last_n_form",
-    "elo_ratings", "factor_corr_topk", "consensus_line", "stream_gate",
+    "elo_ratings", "factor_corr_topk", "consensus_line", "stream_gate", "feature_table", "ml_pick_history_states",
+    "ml_quote_market_states", "ml_seed_weights", "ordered_report", "report_manifest", "overwrite_table",
 ]
 
 
