@@ -2,7 +2,7 @@
 
 import corpus_pipeline as p
 from test_sentence_dedup import plain as plain_spans
-from test_simhash import plain_components, plain_print
+from test_near_copies import plain_kept
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,8 +21,8 @@ def test_stages(spark, tmp_path):
     gone = {r.doc_id for r in before} - {r.doc_id for r in after}
     assert len(gone - toxic) <= 0.1 * len(before)
     before, after = seen["near_copies"]
-    want = plain_components({r.doc_id: plain_print(r.text or "") for r in before})
-    assert {r.doc_id for r in after} == set(want.values()) and len(after) == len(set(want.values()))
+    want, got = plain_kept({r.doc_id: r.text for r in before}), {r.doc_id for r in after}
+    assert want <= got and len(got) == len(after) and len(got - want) <= 0.05 * (len(before) - len(want))
     before, after = seen["repeated_passages"]
     assert {(r.doc_id, r.text, r.n_chars) for r in after} == {(k, t, len(t)) for k, t, _, _ in plain_spans([(r.doc_id, r.text) for r in before])}
     before, after = seen["mixing"]
