@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from stakelens.llm.bpe import encode_documents
 from stakelens.llm.mixing import sample_mixed
+from stakelens.llm.near_copies import drop_near_copies
 from stakelens.llm.sentence_dedup import drop_repeated_sentences
-from stakelens.llm.simhash import drop_near_copies
 from stakelens.llm.toxicity import drop_toxic, fit_toxicity, held_out
 from stakelens.session import table, work_path
 
@@ -29,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies: five words a shingle, a likeness of 0.8 or more."""
+    return drop_near_copies(docs, least=0.8, words_in_shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
