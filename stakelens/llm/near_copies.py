@@ -61,7 +61,7 @@ class Signer:
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             n += len(part)
             h = np.unique(part.astype(np.uint64))
-            lows = np.array([((h ^ x) * a).min() for x, a in zip(self._mask, self._odd)], np.uint64)
+            lows = ((h[:, None] ^ self._mask) * self._odd).min(axis=0)
             least = lows if least is None else np.minimum(least, lows)
         bits = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
         if least is None:
