@@ -1,7 +1,8 @@
 """Removal of bytes that a repeated string of ``LENGTH`` bytes covers, by suffix arrays.
 
 1. Every window of ``LENGTH`` bytes is known by the smallest hash of the ``CONTEXT``-byte strings in it; equal windows share it.
-   Stretches of windows with one smallest hash are runs (about one for every 70 bytes). Runs whose hash occurs nowhere else are out.
+   Stretches of windows with one smallest hash are runs (about one for every 70 bytes, at most ``_PIECE`` windows). Runs whose hash
+   occurs nowhere else are out.
 2. A run whose bytes occur as another run too is repeated as a whole. The other runs of a hash that occurs again go, each distinct one
    once, to shards by that hash.
 3. In a shard windows whose hash occurs once are set aside and equal stretches of the others taken once; of these the suffix array
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakelens.llm.common import checkpointed, text_of
+from stakelens.llm.common import checkpointed, fresh, text_of
 from stakelens.session import work_path
 
 LENGTH, CONTEXT = 400, 256
-_SHARD_BYTES = 1 << 18
+_SHARD_BYTES, _PIECE = 1 << 18, 4096
 _ROWS = 256
 _RNG = np.random.default_rng(8)
 _BYTES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,20 +72,32 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs(data: bytes) -> tuple[np.ndarray, ...]:
-    """(least hash, first window, last window, whether the hash occurs again within, hash of the run's bytes)."""
-    a = np.frombuffer(data, np.uint8)
-    if len(a) < LENGTH:
-        return (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int64))
-    h = rolling(a, CONTEXT)
+def runs(data: bytes, block: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """(least hash, first window, last window, whether the hash occurs again within, hash of the run's bytes).
+
+    A window's hash depends on its bytes alone, so a long text is taken by blocks of windows, and a run of a repetitive text
+    is cut after ``_PIECE`` windows: what a task sorts at once stays bounded.
+    """
+    parts = [_block_runs(data[at : at + block + LENGTH - 1], at) for at in range(0, len(data) - LENGTH + 1, block)]
+    nothing = [np.empty(0, kind) for kind in (np.int64, np.int32, np.int32, bool, np.int64)]
+    return tuple(np.concatenate([none, *[p[i] for p in parts]]) for i, none in enumerate(nothing))
+
+
+def _block_runs(data: bytes, begin: int) -> tuple[np.ndarray, ...]:
+    h = rolling(np.frombuffer(data, np.uint8), CONTEXT)
     width = LENGTH - CONTEXT + 1
     least = _least(h, width)
     first = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
+    long = np.diff(np.append(first, len(least))) > _PIECE
+    if long.any():
+        ends = np.append(first[1:], len(least))
+        cuts = [np.arange(x + _PIECE, y, _PIECE) for x, y in zip(first[long].tolist(), ends[long].tolist())]
+        first = np.sort(np.concatenate([first, *cuts]))
     last = np.concatenate([first[1:] - 1, [len(least) - 1]])
     # the hash stands at least once in a run; whether twice shows in windows one apart
     again = np.array([(h[x : y + width] == least[x]).sum() > 1 for x, y in zip(first.tolist(), last.tolist())])
     whole = [int.from_bytes(hashlib.blake2b(data[x : y + LENGTH], digest_size=8).digest(), "big", signed=True) for x, y in zip(first.tolist(), last.tolist())]
-    return least[first].view(np.int64), first.astype(np.int32), last.astype(np.int32), again, np.array(whole, np.int64)
+    return least[first].view(np.int64), (first + begin).astype(np.int32), (last + begin).astype(np.int32), again, np.array(whole, np.int64)
 
 
 def suffix_array(s: list[int], alphabet: int) -> list[int]:
@@ -263,12 +276,13 @@ def repeated_stretches(docs: DataFrame, text: str = "text", most_pieces: int = 5
     @F.arrow_udf("array<struct<o:int,h:long,g:long>>")
     def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for p in batch:
-                a = np.frombuffer(p.as_py(), np.uint8)
-                h, g = (rolling(a, LENGTH, i).view(np.int64).tolist() for i in (0, 1))
-                out.append([{"o": i, "h": x, "g": y} for i, (x, y) in enumerate(zip(h, g))])
-            yield pa.array(out, pa.list_(pa.struct([("o", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])))
+            for start in range(0, len(batch), _ROWS):
+                pieces = [np.frombuffer(p.as_py(), np.uint8) for p in batch.slice(start, _ROWS)]
+                h, g = ([rolling(a, LENGTH, i).view(np.int64) for a in pieces] for i in (0, 1))
+                sizes = [len(x) for x in h]
+                o = [np.arange(n, dtype=np.int32) for n in sizes]
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in (o, h, g)], ["o", "h", "g"])
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
 
     windows = cut.where(F.col("kinds") > most_pieces).select("v", "whole", F.explode(hashes("piece")).alias("w")).select("v", "whole", "w.*")
     often = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
@@ -307,15 +321,17 @@ def _kept_column(data: Column, stretches: Column) -> Column:
 
 
 def drop_repeated_bytes(docs: DataFrame, text: str = "text", most_pieces: int = 500) -> DataFrame:
-    """``docs`` with kept (bytes that stay), n_bytes, n_removed and n_spans."""
-    found = repeated_stretches(docs, text, most_pieces).groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "y")).alias("_found"))
-    found = found.withColumnsRenamed({"k1": "_f1", "k2": "_f2"})
+    """``docs`` with kept (bytes that stay), n_bytes, n_removed and n_spans, which replace columns of those names; others pass through."""
+    found = repeated_stretches(docs, text, most_pieces).groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "y")).alias("found"))
+    a1, a2, b1, b2, at, done = (fresh(docs.columns, c) for c in ("_k1", "_k2", "_f1", "_f2", "_found", "_done"))
+    found = found.withColumnsRenamed({"k1": b1, "k2": b2, "found": at})
     k1, k2 = _key(text_of(text))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    joined = keyed.join(found, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")), "left")
+    keyed = docs.withColumns({a1: k1, a2: k2})
+    joined = keyed.join(found, (F.col(a1) == F.col(b1)) & (F.col(a2) == F.col(b2)), "left")
     data = F.encode(text_of(text), "utf-8")
-    out = joined.withColumn("_done", _kept_column(data, F.col("_found")))
-    return out.select(
-        *docs.columns, F.col("_done.kept").alias("kept"), F.length(data).cast("long").alias("n_bytes"),
-        F.col("_done.n_removed").alias("n_removed"), F.col("_done.n_spans").alias("n_spans"),
-    )
+    out = joined.withColumn(done, _kept_column(data, F.col(at)))
+    made = {
+        "kept": F.col(f"{done}.kept"), "n_bytes": F.length(data).cast("long"),
+        "n_removed": F.col(f"{done}.n_removed"), "n_spans": F.col(f"{done}.n_spans"),
+    }
+    return out.select(*[c for c in docs.columns if c.lower() not in made], *[c.alias(name) for name, c in made.items()])

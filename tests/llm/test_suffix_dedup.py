@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 from stakelens.llm.queries import QUERIES
-from stakelens.llm.suffix_dedup import LENGTH, common_prefixes, drop_repeated_bytes, suffix_array
+from stakelens.llm.suffix_dedup import LENGTH, common_prefixes, drop_repeated_bytes, runs, suffix_array
 
 
 def plain(rows):
@@ -62,6 +62,24 @@ def test_planted_and_odd_rows(spark):
     assert drop_repeated_bytes(docs.limit(0)).count() == 0
 
 
+def test_long_repetitive_texts_by_pieces(spark):
+    data = ("Nd, " * 5000 + "x" * 9000 + "end").encode()
+    whole, cut = runs(data), runs(data, block=1000)
+    for first, last in ((whole[1], whole[2]), (cut[1], cut[2])):
+        assert first[0] == 0 and last[-1] == len(data) - LENGTH and (first[1:] == last[:-1] + 1).all() and (last - first).max() < 4096
+    assert set(cut[0]) == set(whole[0])
+    rows = [(1, "Nd, " * 3000 + "x" * 6000, "x"), (2, "u" * 50 + "x" * 4700 + "v", "x"), (3, "d, N" * 150, "x"), (4, "q" * 4600, None)]
+    want = plain([r[:2] for r in rows])
+    assert made(spark, rows) == want
+    assert made(spark, rows, most_pieces=1) == want
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a" * 500, "p", "q", "r", "s")], "doc_id long, text string, _k1 string, _done string, kept string, Found string")
+    row = drop_repeated_bytes(docs).collect()[0]
+    assert (row._k1, row._done, row.Found) == ("p", "q", "s") and bytes(row.kept) == b"" and row.n_removed == 500
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
