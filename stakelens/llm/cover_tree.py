@@ -12,7 +12,8 @@ leaves are scored as exact integers. Ties go to the smaller id.
 
 Defined cases: vectors that are null, hold null or non-finite numbers, or whose length differs from the most common one's take no part; null
 ids neither; rows that repeat an id are separate candidates, and a row is no candidate of a query with its own id. Fewer than k candidates: all.
-Empty tables give an empty result. Inputs beyond 2 ** 20 in size would need wider integers and are refused.
+Empty tables give an empty result. Large components are scored in whole-number arithmetic; only a vector whose length (of the whole numbers) reaches
+2 ** 31 is refused, as its scores need not fit the result's long.
 """
 
 from __future__ import annotations
@@ -97,16 +98,26 @@ class Best:
         self.id[rows] = np.take_along_axis(all_id, order, 1)
 
 
+def _most(dot: float, radius_a: float, norm_a: float, radius_b: float, norm_b: float) -> float:
+    """No product of members of the two balls is above this; ``dot`` is that of the centres. Rounding is allowed for."""
+    more = radius_a * norm_b + radius_b * norm_a + radius_a * radius_b
+    return dot + more + 1e-9 * (norm_a * norm_b + more) + 1e-6
+
+
+def _scores(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
+    """Exact products of rows; ``small``: all sums are exact as doubles."""
+    return np.rint(a @ b.T).astype(np.int64) if small else a.astype(np.int64) @ b.astype(np.int64).T
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Walk both trees in pairs; ``best`` holds what is known and takes what is found."""
     if not len(queries) or not len(points):
         return
     left, right = CoverTree(queries), CoverTree(points)
+    small = float(np.abs(queries).max()) * float(np.abs(points).max()) * queries.shape[1] < 2.0**53
 
     def bound(q: int, p: int) -> float:
-        dot = float(left.centre[q] @ right.centre[p])
-        rough = dot + left.radius[q] * right.norm[p] + right.radius[p] * left.norm[q] + left.radius[q] * right.radius[p]
-        return rough + 1e-6 * (abs(rough) + 1)
+        return _most(float(left.centre[q] @ right.centre[p]), left.radius[q], left.norm[q], right.radius[p], right.norm[p])
 
     stack = [(bound(0, 0), 0, 0)]
     while stack:
@@ -117,7 +128,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         kids_q, kids_p = left.children[q], right.children[p]
         if not kids_q and not kids_p:
             there = right.order[slice(*right.span[p])]
-            score = np.rint(queries[rows] @ points[there].T).astype(np.int64)
+            score = _scores(queries[rows], points[there], small)
             score[query_ids[rows][:, None] == ids[there][None, :]] = _LOWEST
             best.take(rows, score, ids[there])
         elif kids_p and (not kids_q or right.radius[p] >= left.radius[q]):
@@ -134,16 +145,17 @@ def whole_numbers(vectors: DataFrame, is_query: Column, vec_id: str, embedding:
         & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     )
     made = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
+    square = F.aggregate(x, F.lit(0.0), lambda s, e: s + F.pow(F.floor(e.cast("double") * scale).cast("double"), 2.0))
     rows = vectors.where(F.coalesce(good, F.lit(False))).select(
-        F.col(vec_id).cast("long").alias("vec_id"), made.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        F.col(vec_id).cast("long").alias("vec_id"), made.alias("v"), square.alias("square"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
-    fits = F.forall("v", lambda e: F.abs(e) <= 1 << 20)
-    v = F.when(fits, F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit("a vector component is too large")))
+    # checked on the doubles: what passes fits the integers
+    v = F.when(F.col("square") < 2.0**62, F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit("a vector is too long for long scores")))
     return rows.select("vec_id", v.alias("v"), "asks")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column; products of such numbers are exact as doubles."""
+    """Rows of a list column of integers, exact as doubles."""
     if not len(column):
         return np.empty((0, 0))
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -237,8 +249,7 @@ def top_inner_products(
     rest = []
     for (s, g), r_q in sorted(radius_q.items()):
         for (t, part), r_p in sorted(radius_p.items()):
-            limit = float(centres[s] @ centres[t]) + r_q * norms[t] + r_p * norms[s] + r_q * r_p
-            if t != s and limit + 1e-6 * (abs(limit) + 1) >= worst[s, g]:
+            if t != s and _most(float(centres[s] @ centres[t]), r_q, norms[s], r_p, norms[t]) >= worst[s, g]:
                 rest.append((s, g, t, part))
     found = first.unionByName(searched(rest, known))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pytest
 
 from stakelens.llm.cover_tree import Best, CoverTree, dual_search, top_inner_products
 from stakelens.llm.queries import ORACLES, QUERIES
@@ -43,6 +44,21 @@ def test_shards_ties_and_odd_rows(spark):
     assert top_inner_products(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_large_components(spark):
+    # beyond 2 ** 53 a sum is no longer exact as a double
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(F32(x)) for x in rng.normal(0, 300_000 if i % 3 else 1, 3)]) for i in range(600)] + [(601, [2000.0, -1.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    got = top_inner_products(vectors, F.col("vec_id") % 100 == 0, shard_rows=60, group_rows=2, part_rows=40).collect()
+    want = plain(rows)
+    assert max(abs(s) for *_, s in want) > 1 << 53
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    with pytest.raises(Exception, match="too long"):
+        top_inner_products(spark.createDataFrame([*rows, (602, [1e9, 0.0, 0.0])], vectors.schema), F.col("vec_id") % 100 == 0).collect()
+
+
 def test_tree_covers_and_prunes():
     rng = np.random.default_rng(4)
     points = np.rint(np.concatenate([rng.normal(c, 1, (400, 8)) * 50 for c in (-40, 0, 40)]))
