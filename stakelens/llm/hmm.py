@@ -6,7 +6,8 @@ count + 1 (one more share for all unseen words), so every token of any text has
 is thus bounded (symbols x states), while counts of all other words stay in a table and meet the texts in a join.
 
 Training: each pass of Baum-Welch sums the expected counts of states, moves and emissions over partitions, combined per task and added up by symbol.
-Texts are turned into symbols once and written; each of the ``passes`` reads all of them, and one without tokens leaves the model as it is. In training
+Texts are turned into symbols once and written, for training and for scoring; each of the ``passes`` reads all training texts, and one without tokens
+leaves the model as it is. In training
 texts are cut into stretches of ``_STRETCH`` tokens, each read with ``_OVERLAP`` more on either side that are not counted, so that a
 stretch has the states around it, moves across cuts count once and only the text's own start is a start; scoring runs over whole texts.
 
@@ -23,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakelens.llm.common import checkpointed, table, text_of  # noqa: F401
 from stakelens.session import work_path
 
 END = b""
-_STRETCH, _OVERLAP, _BATCH, _DOCS, _FLUSH = 1024, 64, 384, 2048, 400_000
+_STRETCH, _OVERLAP, _CELLS, _DOCS, _FLUSH = 1024, 64, 200_000, 2048, 400_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -106,13 +107,13 @@ class Hmm:
         flat = np.concatenate([rows[i] for i in order])
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        total, alpha = np.zeros(len(rows)), None
+        total, alpha, ones = np.zeros(len(rows)), None, np.ones((len(self.start), 1))
         for t, a in enumerate(live.tolist()):
             alpha = self.start if alpha is None else alpha[:a] @ self.move
             alpha = alpha * self.emit[flat[offsets[:a] + t]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            total[:a] += np.log(scale)
+            scale = alpha @ ones
+            alpha /= scale
+            total[:a] += np.log(scale[:, 0])
         out = np.empty(len(rows))
         out[order] = total
         return out
@@ -131,21 +132,21 @@ class Hmm:
         symbols.T[there.T] = np.concatenate(rows)
         emit = self.emit[symbols]
         emit[~there] = 1.0
-        alpha, scale = np.empty((steps, n, s)), np.empty((steps, n))
+        alpha, scale, ones = np.empty((steps, n, s)), np.empty((steps, n, 1)), np.ones((s, 1))
         for t in range(steps):
             now = (self.start if t == 0 else alpha[t - 1] @ self.move) * emit[t]
-            scale[t] = now.sum(axis=1)
-            alpha[t] = now / scale[t][:, None]
-        ahead = np.empty((steps, n, s))  # emission x backward / scale, as seen from the step before
-        beta = np.ones((n, s))
-        gamma = np.empty((steps, n, s))
-        for t in range(steps - 1, -1, -1):
-            gamma[t] = alpha[t] * beta
-            ahead[t] = emit[t] * beta / scale[t][:, None]
-            if t:
-                # a sequence that has not begun (from behind) keeps beta at 1
-                beta = np.where(there[t][:, None], ahead[t] @ self.move.T, 1.0)
-        gamma /= gamma.sum(axis=2, keepdims=True)
+            np.matmul(now, ones, out=scale[t])
+            np.divide(now, scale[t], out=alpha[t])
+        ahead = emit  # becomes emission x backward / scale, as seen from the step before
+        ahead /= scale
+        beta, back = np.empty((steps, n, s)), np.ascontiguousarray(self.move.T)
+        beta[-1] = 1.0
+        for t in range(steps - 1, 0, -1):
+            ahead[t] *= beta[t]
+            np.matmul(ahead[t], back, out=beta[t - 1])
+            beta[t - 1][~there[t]] = 1.0  # a sequence that has not begun (from behind)
+        gamma = np.multiply(alpha, beta, out=beta)
+        gamma /= gamma @ ones
         counts = there
         if counted is not None:
             span, at = np.array(counted), np.arange(steps)[:, None]
@@ -156,9 +157,8 @@ class Hmm:
         starts += gamma[0].sum(axis=0)
         if steps > 1:
             moves += self.move * (alpha[:-1].reshape(-1, s).T @ ahead[1:].reshape(-1, s))
-        used, place = np.unique(symbols[counts], return_inverse=True)
-        each = (place.ravel()[:, None] * s + np.arange(s)).ravel()
-        emissions[used] += np.bincount(each, gamma[counts].ravel(), len(used) * s).reshape(-1, s)
+        for z in range(s):
+            emissions[:, z] += np.bincount(symbols.ravel(), gamma[:, :, z].ravel(), len(emissions))
 
     @staticmethod
     def from_counts(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Hmm:
@@ -187,23 +187,46 @@ def stretches(row: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
         yield row[begin : at + _STRETCH + _OVERLAP], (at - begin, min(at + _STRETCH, len(row)) - begin)
 
 
-def _symbols_written(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """The symbols of each text of a one-column frame, written once for all passes."""
-    shared = texts.sparkSession.sparkContext.broadcast(symbols)
+_RARE = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
+_WRITTEN = "doc_id long, learns boolean, symbols array<int>, n_known long, base double, rare array<struct<word:binary,tf:int>>"
+
+
+def _written(docs: DataFrame, symbols: Symbols, learns: Column) -> DataFrame:
+    """(row, doc_id, learns, symbols, n_known, base, rare) of each text, written once for all passes and for scoring.
+
+    n_known and base are those of its frequent tokens; rare holds the others. Row numbers given here are the same for whoever reads them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+    each = float(np.log10(symbols.n + symbols.v + 1))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        of = known.lookup()
+        of, m = known.lookup(), len(known.frequent)
+        log_count = np.log10(np.array([c for _, c in known.frequent] + [0.0]) + 1)
         for batch in batches:
             for at in range(0, len(batch), _DOCS):
-                rows = [_symbol_rows(tokens(t.as_py() or ""), of, known.classes).astype(np.int32) for t in batch.column(0).slice(at, _DOCS)]
+                some = batch.slice(at, _DOCS)
+                rows, rare, known_, base = [], [], [], []
+                for text in some.column(2):
+                    words = tokens(text.as_py() or "")
+                    row = _symbol_rows(words, of, known.classes)
+                    others = Counter([words[i] for i in np.nonzero(row >= m)[0].tolist()])
+                    frequent = row[row < m]
+                    rows.append(row.astype(np.int32))
+                    rare.append([{"word": w, "tf": tf} for w, tf in others.items()])
+                    known_.append(len(frequent))
+                    base.append(log_count[frequent].sum() - each * len(row))
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                flat = pa.array(np.concatenate([np.empty(0, np.int32), *rows]))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat)], ["symbols"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), lists, pa.array(known_, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, _RARE)],
+                    ["doc_id", "learns", "symbols", "n_known", "base", "rare"],
+                )
 
-    path = work_path(texts.sparkSession, "symbols")
-    texts.mapInArrow(look_up, "symbols array<int>").write.parquet(path)
-    return texts.sparkSession.read.parquet(path)
+    path = work_path(docs.sparkSession, "symbols")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), text_of().alias("text"))
+    texts.mapInArrow(look_up, _WRITTEN).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,21 +240,27 @@ def _pass(texts: DataFrame, symbols: Symbols, model: Hmm) -> tuple[np.ndarray, n
         now = shared.value
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         waiting: list[tuple[np.ndarray, tuple[int, int]]] = []
+        held = 0
 
         def work(least: int) -> None:
-            nonlocal waiting
-            waiting.sort(key=lambda w: len(w[0]), reverse=True)
-            while len(waiting) > least:
-                now.expected([w[0] for w in waiting[:_BATCH]], counts, [w[1] for w in waiting[:_BATCH]])
-                waiting = waiting[_BATCH:]
+            """Longest first, sequences of like length together, up to a number of cells."""
+            nonlocal waiting, held
+            waiting.sort(key=lambda w: len(w[0]))
+            while held > least:
+                n = max(1, _CELLS // len(waiting[-1][0]))
+                some, waiting = waiting[-n:], waiting[:-n]
+                held -= sum(len(w[0]) for w in some)
+                now.expected([w[0] for w in some], counts, [w[1] for w in some])
 
         for batch in batches:
             lists = batch.column(0)
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                waiting.extend(stretches(flat[a:b]))
-                if len(waiting) >= 4 * _BATCH:
-                    work(_BATCH)
+                for piece in stretches(flat[a:b]):
+                    waiting.append(piece)
+                    held += len(piece[0])
+                if held >= 4 * _CELLS:
+                    work(_CELLS)
         work(0)
         # starts and moves travel as symbols below zero
         starts, moves, emissions = counts
@@ -257,10 +286,24 @@ class Trained:
     class_totals: np.ndarray  # denominators of the classes
 
 
-def train(
-    docs: DataFrame, frequent: int = 65_536, classes: int = 4096, states: int = 8, passes: int = 4
-) -> Trained:
+def train(docs: DataFrame, frequent: int = 65_536, classes: int = 4096, states: int = 8, passes: int = 4) -> Trained:
     """Learn from the texts of ``docs`` (doc_id, text)."""
+    symbols, words, totals, unigram = _vocabulary(docs, frequent, classes)
+    model = _learned(_written(docs, symbols, F.lit(True)), symbols, unigram, states, passes)
+    return Trained(symbols, model, words, totals)
+
+
+def train_and_score(
+    docs: DataFrame, learns: Column, frequent: int = 65_536, classes: int = 4096, states: int = 8, passes: int = 4
+) -> tuple[Trained, DataFrame]:
+    """A model of the rows where ``learns``, and the scores of all rows; texts become symbols once for both."""
+    symbols, words, totals, unigram = _vocabulary(docs.where(learns), frequent, classes)
+    rows = _written(docs, symbols, learns)
+    trained = Trained(symbols, _learned(rows.where("learns"), symbols, unigram, states, passes), words, totals)
+    return trained, _scored(rows, trained)
+
+
+def _vocabulary(docs: DataFrame, frequent: int, classes: int) -> tuple[Symbols, DataFrame, np.ndarray, np.ndarray]:
     texts = docs.select("doc_id", text_of().alias("text"))
     words = checkpointed(token_counts(texts.select("text")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -274,55 +317,43 @@ def train(
         totals[r.k] += r.t
     unigram = np.concatenate([[c + 1 for _, c in symbols.frequent], totals])
     unigram = unigram / unigram.sum()
+    return symbols, words, totals, unigram
+
+
+def _learned(rows: DataFrame, symbols: Symbols, unigram: np.ndarray, states: int, passes: int) -> Hmm:
     model = Hmm.beginning(unigram, states)
-    rows = _symbols_written(texts.select("text"), symbols)
     for _ in range(passes):
-        counts = _pass(rows, symbols, model)
+        counts = _pass(rows.select("symbols"), symbols, model)
         if not counts[2].any():
             break  # no training tokens: there is nothing to learn from
         model = Hmm.from_counts(*counts, unigram)
-    return Trained(symbols, model, words, totals)
+    return model
 
 
 def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for all rows of ``docs`` (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
-    symbols, classes = trained.symbols, trained.symbols.classes
-    shared = spark.sparkContext.broadcast((symbols, trained.model))
-    base = float(np.log10(symbols.n + symbols.v + 1))
-    kind = "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:int>>"
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
+    return _scored(_written(docs, trained.symbols, F.lit(False)), trained)
+
+
+def _scored(rows: DataFrame, trained: Trained) -> DataFrame:
+    classes, shared = trained.symbols.classes, rows.sparkSession.sparkContext.broadcast(trained.model)
+    kind = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
-        of, m = known.lookup(), len(known.frequent)
-        log_count = np.log10(np.array([c for _, c in known.frequent] + [0.0]) + 1)
         for batch in batches:
             for at in range(0, len(batch), _DOCS):
-                ids, texts = batch.column(0).slice(at, _DOCS), batch.column(1).slice(at, _DOCS)
-                rows, rare, sums = [], [], []
-                for text in texts:
-                    words = tokens(text.as_py() or "")
-                    row = _symbol_rows(words, of, known.classes)
-                    others = Counter([words[i] for i in np.nonzero(row >= m)[0].tolist()])
-                    frequent = row[row < m]
-                    rows.append(row)
-                    rare.append([{"word": w, "tf": tf} for w, tf in others.items()])
-                    sums.append((len(row), len(frequent), log_count[frequent].sum() - base * len(row)))
+                some = batch.slice(at, _DOCS)
+                lists = some.column(2)
+                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                texts = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids, pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()),
-                        pa.array([s[2] for s in sums], pa.float64()), pa.array(model.scores(rows) / np.log(10)), pa.array(rare, rare_kind),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    [some.column(0), some.column(1), pa.array(np.diff(ends).astype(np.int64)), some.column(3), some.column(4),
+                     pa.array(shared.value.scores(texts) / np.log(10))],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "score"],
                 )
 
-    # written once: row numbers given here are then the same for whoever reads them
-    path = work_path(spark, "hmm")
-    scored = docs.select("doc_id", text_of().alias("text")).mapInArrow(score, kind)
-    scored.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    scored = spark.read.parquet(path)
-    others = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
+    scored = rows.select("row", "doc_id", "symbols", "n_known", "base").mapInArrow(score, kind)
+    others = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     found = others.join(trained.words, "word", "left")
     totals = F.lit([float(t) for t in np.log10(trained.class_totals)])
     plus = F.log10(F.coalesce("c", F.lit(0)) + 1)
@@ -333,7 +364,7 @@ def score_documents(docs: DataFrame, trained: Trained) -> DataFrame:
         F.sum(F.col("tf") * within).alias("more_score"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("rare").join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"),
         (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
     )

@@ -135,11 +135,11 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_hidden_markov")
 def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log likelihood of every document under a model of those not held out."""
-    from stakelens.llm.hmm import is_held_out, score_documents, train
+    from stakelens.llm.hmm import is_held_out, train_and_score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trained = train(docs.where(~is_held_out(F.col("doc_id"))))
-    return score_documents(docs, trained).select(
+    trained, scored = train_and_score(docs, ~is_held_out(F.col("doc_id")))
+    return scored.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(trained.symbols.n).cast("long").alias("train_tokens"), "base_score", "score",
     )

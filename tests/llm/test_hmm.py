@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stakelens.llm.hmm import Hmm, held_out_id, score_documents, tokens, train
+from stakelens.llm.hmm import Hmm, held_out_id, score_documents, tokens, train, train_and_score
 from stakelens.llm.queries import QUERIES
 
 
@@ -78,6 +79,9 @@ def test_few_frequent_words_and_odd_rows(spark):
         assert by_id[k].n_known == sum(count[w] > 0 for w in words)
         assert by_id[k].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
     assert len({r.score for r in got if r.doc_id == 72}) == 1
+    _, both = train_and_score(docs, F.col("doc_id") < 60, frequent=4, classes=8, states=2, passes=1 + 1)
+    one, two = (sorted([(r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in rows_]) for rows_ in (got, both.collect()))
+    assert one == two
     none = train(docs.limit(0), frequent=4, classes=8, states=2, passes=1 + 1)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in score_documents(docs, none).collect())
     assert score_documents(docs.limit(0), trained).count() == 0
