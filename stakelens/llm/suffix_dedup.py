@@ -31,7 +31,7 @@ from stakelens.llm.common import checkpointed, fresh, text_of
 from stakelens.session import work_path
 
 LENGTH, CONTEXT = 400, 256
-_SHARD_BYTES, _PIECE = 1 << 18, 4096
+_SHARD_BYTES, _PIECE = 1 << 16, 4096
 _ROWS = 256
 _RNG = np.random.default_rng(8)
 _BYTES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,6 +235,14 @@ def _flagged(offsets: np.ndarray) -> list[dict]:
     return [{"x": int(x), "y": int(y)} for x, y in zip(at[::2], at[1::2] - 1)]
 
 
+def _as_stretches(o: Column) -> Column:
+    """First and last of each row of neighbours in a sorted list without repeats."""
+    alone = lambda x, other, gap: F.coalesce(x - other != gap, F.lit(True))
+    firsts = F.filter(o, lambda x, i: alone(x, F.get(o, i - 1), 1))
+    lasts = F.filter(o, lambda x, i: alone(x, F.get(o, i + 1), -1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+
+
 def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(8)).alias("k2")]
 
@@ -286,9 +294,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text", most_pieces: int = 5
 
     windows = cut.where(F.col("kinds") > most_pieces).select("v", "whole", F.explode(hashes("piece")).alias("w")).select("v", "whole", "w.*")
     often = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
-    hot = windows.join(often, ["h", "g"]).groupBy("v", "whole").agg(
-        F.collect_list(F.struct(F.col("o").alias("x"), F.col("o").alias("y"))).alias("at")
-    )
+    hot = windows.join(often, ["h", "g"]).groupBy("v", "whole").agg(_as_stretches(F.array_sort(F.collect_list("o"))).alias("at"))
     parts = sorted_.unionByName(hot).where(F.size("at") > 0)
     some = found.select("k1", "k2", "v", "whole", "a").join(parts, ["v", "whole"]).select("k1", "k2", "a", F.explode("at").alias("s"))
     some = some.select("k1", "k2", (F.col("a") + F.col("s.x")).alias("x"), (F.col("a") + F.col("s.y")).alias("y"))
@@ -301,11 +307,12 @@ def _kept_column(data: Column, stretches: Column) -> Column:
         kind = pa.struct([("kept", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
         for texts, lists in batches:
             for start in range(0, len(texts), _ROWS):
-                out = []
-                for text, found in zip(texts.slice(start, _ROWS), lists.slice(start, _ROWS).to_pylist()):
+                out, some = [], lists.slice(start, _ROWS)
+                first, last, ends = (some.values.field(0).to_numpy(), some.values.field(1).to_numpy() + LENGTH, some.offsets.to_pylist())
+                for text, a, b in zip(texts.slice(start, _ROWS), ends, ends[1:]):
                     raw, at, kept, removed, spans = text.as_py() or b"", 0, [], 0, 0
                     reach = -1
-                    for x, y in sorted((s["x"], s["y"] + LENGTH) for s in found or ()):
+                    for x, y in sorted(zip(first[a:b].tolist(), last[a:b].tolist())):
                         if x > reach:
                             spans += 1
                             kept.append(raw[at:x])
@@ -329,9 +336,10 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", most_pieces: int =
     keyed = docs.withColumns({a1: k1, a2: k2})
     joined = keyed.join(found, (F.col(a1) == F.col(b1)) & (F.col(a2) == F.col(b2)), "left")
     data = F.encode(text_of(text), "utf-8")
-    out = joined.withColumn(done, _kept_column(data, F.col(at)))
+    some = F.col(at).isNotNull()  # a text that keeps everything is not sent to Python
+    out = joined.withColumn(done, _kept_column(F.when(some, data), F.coalesce(at, F.array())))
     made = {
-        "kept": F.col(f"{done}.kept"), "n_bytes": F.length(data).cast("long"),
+        "kept": F.when(some, F.col(f"{done}.kept")).otherwise(data), "n_bytes": F.length(data).cast("long"),
         "n_removed": F.col(f"{done}.n_removed"), "n_spans": F.col(f"{done}.n_spans"),
     }
     return out.select(*[c for c in docs.columns if c.lower() not in made], *[c.alias(name) for name, c in made.items()])
