@@ -329,7 +329,8 @@ def _kept_column(data: Column, stretches: Column) -> Column:
 
 def drop_repeated_bytes(docs: DataFrame, text: str = "text", most_pieces: int = 500) -> DataFrame:
     """``docs`` with kept (bytes that stay), n_bytes, n_removed and n_spans, which replace columns of those names; others pass through."""
-    found = repeated_stretches(docs, text, most_pieces).groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "y")).alias("found"))
+    # a set: thousands of copies of a text tell the same stretches
+    found = repeated_stretches(docs, text, most_pieces).groupBy("k1", "k2").agg(F.collect_set(F.struct("x", "y")).alias("found"))
     a1, a2, b1, b2, at, done = (fresh(docs.columns, c) for c in ("_k1", "_k2", "_f1", "_f2", "_found", "_done"))
     found = found.withColumnsRenamed({"k1": b1, "k2": b2, "found": at})
     k1, k2 = _key(text_of(text))
