@@ -237,10 +237,14 @@ def _flagged(offsets: np.ndarray) -> list[dict]:
 
 def _as_stretches(o: Column) -> Column:
     """First and last of each row of neighbours in a sorted list without repeats."""
-    alone = lambda x, other, gap: F.coalesce(x - other != gap, F.lit(True))
-    firsts = F.filter(o, lambda x, i: alone(x, F.get(o, i - 1), 1))
-    lasts = F.filter(o, lambda x, i: alone(x, F.get(o, i + 1), -1))
-    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+
+    def of(s: Column) -> Column:
+        alone = lambda x, other, gap: F.coalesce(x - other != gap, F.lit(True))
+        firsts = F.filter(s, lambda x, i: alone(x, F.get(s, i - 1), 1))
+        lasts = F.filter(s, lambda x, i: alone(x, F.get(s, i + 1), -1))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+
+    return F.get(F.transform(F.array(o), of), F.lit(0))  # bound as a variable, so the list is sorted once, not for each member
 
 
 def _key(text: Column) -> list[Column]:
