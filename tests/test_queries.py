@@ -32,3 +32,10 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(columns)
     assert check.canon([tuple(r) for r in df.collect()], df.columns) == check.canon(cur.fetchall(), columns)
+
+
+@pytest.mark.parametrize("name", ["gap_quartile_strategy"])
+def test_long_joins_run_once(spark, name):
+    """The report reads the stored rows of the join, not the given tables again."""
+    read = entry.queries()[name](spark, SF).inputFiles()
+    assert read and not [f for f in read if f.startswith(f"file://{SF}")]
