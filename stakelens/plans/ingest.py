@@ -172,7 +172,7 @@ def q_json_schedule_flatten(spark, sf):
 def q_src_jsonl_docs(spark, sf):
     """Documents written as JSON lines and scanned back with a declared schema."""
     path = work_path(spark, "jsonl")
-    quote_docs(spark, sf).write.text(path)
+    quote_docs(spark, sf).write.option("compression", "gzip").text(path)
     usable = ns.usable_quotes(fs.read_jsonl(spark, path, ns.QUOTE_DOC))
     return usable.groupBy("game_date").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("event_id").alias("events"))
 

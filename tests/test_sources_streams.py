@@ -178,3 +178,14 @@ def test_silences_are_told_once(spark, tmp_path):
     jobs.silence_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     got = [(r.job, (r.fired_at - start).seconds // 60, (r.due_at - r.fired_at).seconds // 60) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == [("gap", 0, 20), ("gap", 41, 20), ("gap", 310, 20), ("late", 0, 60)]
+
+
+def test_json_lines_are_written_compressed(spark, tmp_path, monkeypatch):
+    from stakelens.plans import ingest
+
+    path = str(tmp_path / "jsonl")
+    monkeypatch.setattr(ingest, "work_path", lambda spark, label: path)
+    rows = ingest.q_src_jsonl_docs(spark, "/root/testdata/sf0.001").collect()
+    assert rows and sum(r.docs for r in rows) > 0
+    files = [f.name for f in (tmp_path / "jsonl").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
