@@ -16,6 +16,7 @@ from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks
 from stakelens.plans.registry import ORACLES, query
 from stakelens.plans.scalars import _implied
 from stakelens.plans.sweeps import strategy_bets
+from stakelens.session import stored
 
 _PICKS = with_tables("picks")
 _TIES = ", ".join(PICK_TIES)
@@ -160,17 +161,28 @@ _EXEC_CTES = (
 def _matched(spark, sf) -> DataFrame:
     """Production picks with the best quote for the identical bet (left join keeps the misses) and whether quotes cover their day."""
     own = picks(spark, sf).where("source = 'production'").withColumn("_own", F.expr(_OWN_NAME))
-    book = quotes(spark, sf).selectExpr(*_BOOK)
+    # built in a generator, as the raw picks are: the typed columns are computed once and then read
+    book = quotes(spark, sf).selectExpr(f"inline(array(struct({', '.join(_BOOK)})))")
     sides = F.array(
         F.struct(F.lit("over").alias("side"), F.col("over_odds").alias("book_odds")),
         F.struct(F.lit("under").alias("side"), F.col("under_odds").alias("book_odds")),
     )
-    bet = ["market", "side", "line", "game_date", "name_norm"]
-    named = name_keys(book.where("line IS NOT NULL"), "player_name").select("market", "line", "game_date", "name_norm", F.inline(sides))
-    best = named.groupBy(*bet).agg(F.max("book_odds").alias("best_odds"), F.count(F.lit(1)).alias("quotes"))
+    # both sides of a quote share its bet, so they fold in one row
+    bet = ["market", "line", "game_date", "name_norm"]
+    named = name_keys(book.where("line IS NOT NULL"), "player_name")
+    best = named.groupBy(*bet).agg(
+        F.max("over_odds").alias("_over"), F.max("under_odds").alias("_under"), F.count(F.lit(1)).alias("_quotes")
+    )
     offered = book.where("line IS NOT NULL").select("market", "game_date", F.inline(sides)).where("book_odds IS NOT NULL")
     covered = in_islands(name_keys(own, "_own"), islands(offered, ["market", "side"], "game_date"), ["market", "side"], "game_date")
-    return covered.join(best, bet, "left")
+    side = F.col("side")
+    met = covered.join(best, bet, "left").withColumns(
+        {
+            "best_odds": F.when(side == "over", F.col("_over")).when(side == "under", F.col("_under")),
+            "quotes": F.when(side.isin("over", "under"), F.col("_quotes")),
+        }
+    )
+    return met.drop("_over", "_under", "_quotes")
 
 
 @query(
@@ -272,6 +284,7 @@ def q_selection_gap(spark, sf):
             "gap": F.col("own_prob") - F.col("best_prob"),
         }
     )
+    rows = stored(rows.select("market", "tier", "confidence", "win", "best_profit", "gap"), "priced")
     tiers = rows.groupBy("market", "tier").agg(
         F.count(F.lit(1)).alias("n"),
         steady_round(F.avg("best_profit") * 100, 2).alias("roi_best"),

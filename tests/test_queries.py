@@ -34,8 +34,19 @@ def test_query_equals_sql(spark, name):
     assert check.canon([tuple(r) for r in df.collect()], df.columns) == check.canon(cur.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["gap_quartile_strategy"])
+@pytest.mark.parametrize("name", ["gap_quartile_strategy", "selection_gap"])
 def test_long_joins_run_once(spark, name):
     """The report reads the stored rows of the join, not the given tables again."""
     read = entry.queries()[name](spark, SF).inputFiles()
     assert read and not [f for f in read if f.startswith(f"file://{SF}")]
+
+
+def test_quotes_fold_once_for_both_sides(spark):
+    plan = entry.queries()["match_rate"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    folds = [line for line in plan.splitlines() if "Aggregate [market" in line and "name_norm" in line]
+    assert len(folds) == 1 and "side" not in folds[0].split("]")[0]
+
+
+@pytest.mark.parametrize("name", ["match_rate", "execution_gap", "selection_gap"])
+def test_best_quotes_equal_sql(spark, name):
+    test_query_equals_sql(spark, name)
