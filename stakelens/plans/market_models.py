@@ -7,9 +7,7 @@ are fitted is one small row a market on the driver; the rows stay distributed.
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ from stakelens.plans.form import PARK_FACTORS, feature_table
 from stakelens.plans.grading import game_log, graded_props, typed_quotes
 from stakelens.plans.ingest import _FLAT, _american, quote_docs
 from stakelens.plans.registry import query
-from stakelens.session import checkpointed, table
+from stakelens.session import checkpointed, stored, table
 from stakelens.sources import nested as ns
 
 PIT = ["side_code", "market_prob", "elo_diff", "l10_diff", "fatigue_diff", *PARK_FACTORS]
@@ -42,25 +40,25 @@ def catalogue(spark, names) -> DataFrame:
 def market_report(rows: DataFrame, states: DataFrame, features: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
     """States beside the figures of each fitted market: quality, the gate without a threshold, and the best threshold.
 
-    Each fit is a distributed job over one market's rows; a few run side by side.
+    Each fit is a distributed job over one market's rows; a few small ones run side by side.
     """
-    ready = sorted(r["market"] for r in states.where("state = 'fitted'").select("market").collect() if features.get(r["market"]))
+    sizes = {r["market"]: r["n_train"] for r in states.where("state = 'fitted'").select("market", "n_train").collect()}
+    ready = sorted(market for market in sizes if features.get(market))
 
     def fit_one(market: str):
         return m.fit(rows.where((F.col("market") == market) & (F.col("part_no") == 0)), features[market], rounds=rounds)
 
-    with ThreadPool(4) as pool:
-        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), ready)
+    fitted = m.fit_all(rows.sparkSession, fit_one, ready, max(sizes.values(), default=0))
     held = rows.where("part_no = 1")
     tests = [m.scored(model, held.where(F.col("market") == name)).select(*_SCORED) for name, model in zip(ready, fitted)]
     none = held.where(F.lit(False)).withColumn("model_prob", F.lit(0.0)).select(*_SCORED)
-    report = checkpointed(m.edge_report(checkpointed(reduce(DataFrame.unionByName, tests, none)), ["market"]))
+    report = checkpointed(m.edge_report(stored(reduce(DataFrame.unionByName, tests, none), "scored"), ["market"]))
     plain = report.where("threshold = 0").select("market", F.col("passed").alias("passed_no_filter"))
     best = best_passing(report, ["market"], "threshold").drop("n_test")
     return states.join(best.withColumnRenamed("n", "n_bets"), "market", "left").join(plain, "market", "left")
 
 
-_SCORED = ("market", "odds", "win", "profit", "model_prob")
+_SCORED = ("market", *m.SCORED)
 
 
 # ---- point-in-time features, eight markets ----
@@ -108,9 +106,9 @@ def with_features(sides: DataFrame, spark, sf) -> DataFrame:
 @query("ml_market_pit")
 def q_ml_market_pit(spark, sf):
     """All eight markets on nine point-in-time features; the last quarter of every year is held out."""
-    sides = with_features(prop_sides(spark, sf).unionByName(game_market_sides(spark, sf)), spark, sf)
+    sides = stored(with_features(prop_sides(spark, sf).unionByName(game_market_sides(spark, sf)), spark, sf), "sides")
     split = index_split(sides, ["market", "season"], "game_date", ["game_pk", "side", "tie"], [0.75])
-    rows = checkpointed(m.prepared(split, PIT))
+    rows = m.model_rows(split, PIT, ["market"])
     states = checkpointed(m.market_states(rows, "market", catalogue(spark, PIT_MARKETS)))
     return market_report(rows, states, dict.fromkeys(PIT_MARKETS, PIT))
 
@@ -134,7 +132,7 @@ def history_states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     history = typed_history(a.pick_history(spark, sf))
     factors = prefixed(history, "score_")
     split = index_split(history, ["market"], "game_date", _HISTORY_TIES, [0.75])
-    rows = checkpointed(m.prepared(split, factors))
+    rows = m.model_rows(split, factors, ["market"])
     kept = checkpointed(coverage(rows, ["market"], factors).where("keep").select("market", "factor"))
     return rows, checkpointed(m.market_states(rows, "market", catalogue(spark, a.MARKETS), least_part=0)), kept
 
@@ -203,7 +201,7 @@ _OUTS_BOX = (
 def quote_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(quoted markets, priced sides with a result) of all quote documents."""
     flat = ns.flatten_quotes(ns.parse(quote_docs(spark, sf), "doc", ns.QUOTE_DOC)).withColumnRenamed("market_key", "market")
-    best = checkpointed(ns.consensus(flat, ["market", "event_id", "game_pk", "player_name"]))
+    best = stored(ns.consensus(flat, ["market", "event_id", "game_pk", "player_name"]), "consensus")
     priced = best.withColumns({f"{s}_odds": decimal_to_american(f"best_{s}") for s in ("over", "under")})
     outs = spark.sql(_OUTS_BOX.format(source="{lines}"), lines=table(spark, sf, "lineitem"))
     sides = both_sides(priced.join(outs, ["market", "game_pk", "player_name"]), "stat", "over_odds", "under_odds")
@@ -212,8 +210,9 @@ def quote_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def quote_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     markets, sides = quote_sides(spark, sf)
-    split = index_split(with_features(sides, spark, sf), ["market"], "game_date", ["game_pk", "side", "tie"], [0.75])
-    rows = checkpointed(m.prepared(split, PIT))
+    priced = stored(with_features(sides, spark, sf), "sides")
+    split = index_split(priced, ["market"], "game_date", ["game_pk", "side", "tie"], [0.75])
+    rows = m.model_rows(split, PIT, ["market"])
     return rows, checkpointed(m.market_states(rows, "market", markets))
 
 
@@ -265,7 +264,7 @@ def seeded_rows(spark, sf) -> tuple[DataFrame, list[str]]:
     split = index_split(picks, ["market", "season"], "game_date", a.PICK_TIES, [0.75])
     weights = {f"weight_{s}": F.expr(seed_weight(s)) for s in SEEDS}
     rows = split.withColumn("market_prob", implied_prob("odds")).withColumns(weights)
-    return checkpointed(m.prepared(rows, features)), features
+    return m.model_rows(rows, features, ["market", *weights]), features
 
 
 @query(
@@ -303,12 +302,12 @@ def q_ml_seed_refits(spark, sf):
         weight = f"weight_{seed}"
         return m.fit(train.where(F.col(weight) > 0), features, seed=seed, rounds=ROUNDS, weight=weight)
 
-    with ThreadPool(len(SEEDS)) as pool:
-        fitted = pool.map(inheritable_thread_target(spark)(fit_one), SEEDS)
+    fitted = m.fit_all(spark, fit_one, SEEDS, train.count())
     for seed, model in zip(SEEDS, fitted):
         test = m.scored(model, test, f"prob_{seed}")
     runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"prob_{s}").alias("model_prob")) for s in SEEDS])
-    long = checkpointed(test.select("market", "odds", "win", "profit", F.inline(runs)))
+    probs = [f"prob_{s}" for s in SEEDS]
+    long = stored(test.select("market", "odds", "win", "profit", *probs), "scored").select("market", "odds", "win", "profit", F.inline(runs))
     report = m.edge_report(long, ["market", "seed"]).where("threshold = 0")
     spread = report.groupBy("market").agg(
         F.count(F.lit(1)).alias("runs"),

@@ -70,3 +70,34 @@ def test_ordered_files(spark, tmp_path):
     assert {r.t for r in got} == {r.t for r in rows.collect()}
     files.write_ordered(rows.limit(0), path, ["k"])
     assert files.read_ordered(spark, path, rows.schema).count() == 0
+
+
+def test_model_rows_are_stored_narrow_in_short_files(spark):
+    """Only what a fit and its report take is kept, and no file holds so many rows that one task reads them all."""
+    split = spark.range(0, 120_001, 1, 1).selectExpr(
+        "'a' AS market", "id % 3 = 0 AS win", "-110 AS odds", "0.5D AS profit", "0 AS part_no", "IF(id % 5 = 0, NULL, id) AS x", "'wide' AS unused"
+    )
+    rows = m.model_rows(split, ["x"], ["market"])
+    assert set(rows.columns) == {"market", "win", "odds", "profit", "part_no", "x", "x__gap", "label"}
+    assert rows.count() == 120_001 and rows.where("x__gap = 1 AND x IS NULL").count() == 24_001
+    assert len(rows.inputFiles()) == 3
+
+
+def test_large_fits_run_one_after_another(spark):
+    from threading import Lock
+    from time import sleep
+
+    lock, running, most = Lock(), [0], [0]
+
+    def fit_one(key):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        sleep(0.2)
+        with lock:
+            running[0] -= 1
+        return key * 2
+
+    assert m.fit_all(spark, fit_one, [1, 2, 3], rows=30_000_000) == [2, 4, 6] and most[0] == 1
+    assert m.fit_all(spark, fit_one, [1, 2, 3], rows=100) == [2, 4, 6] and most[0] > 1
+    assert m.fit_all(spark, fit_one, [], rows=0) == []
