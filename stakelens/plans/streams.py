@@ -70,7 +70,7 @@ def q_stream_ledger(spark, sf):
     "ELSE next_ts > ts + to_seconds(2 * interval_s) END",
 )
 def q_stream_silence(spark, sf):
-    """Silences of every job, told by timers of a stateful stream."""
+    """Silences of every job, told by a stream that keeps the last beat of each."""
     root = work_path(spark, "silence")
     beats = jobs.file_stream(spark, f"{sf}/events.parquet").selectExpr(
         "event_type || '-' || CAST(user_id AS STRING) AS job", "CAST(ts AS TIMESTAMP) AS fired_at", f"{_INTERVAL} AS interval_s"

@@ -10,11 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stakelens.operators.ratings import advance
 from stakelens.operators.stats import gate_pass, moments, stats_from_moments
@@ -167,58 +165,51 @@ def last_beats(beats: DataFrame, out: str, checkpoint: str) -> None:
     available_now(latest.writeStream.outputMode("complete").foreachBatch(publish), checkpoint)
 
 
-ALERT = "job string, fired_at timestamp, due_at timestamp"
+def _in_turn(beats: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Beats (job, at, limit, told), each with the time of the next beat of its job. ``known`` holds the last beat of each job so far.
 
-
-def _watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Alerts of one job: each beat after which twice the expected interval passed without another.
-
-    State: time of the last beat, its limit and whether its silence was told, in microseconds. A job without an interval stays silent.
+    Beats of a job older than its known one are left out; beats of one time count once, with the longest limit.
     """
-    last, limit, told = state.get if state.exists else (None, None, False)
-    silent: list[tuple[int, int]] = []
-    if not state.hasTimedOut:
-        parts = [np.stack([f["at"].to_numpy(np.int64), f["limit"].fillna(-1).to_numpy(np.int64)], 1) for f in frames]
-        beats = np.concatenate(parts)
-        beats = beats[np.lexsort((beats[:, 1], beats[:, 0]))]
-        for at, most in beats.tolist():
-            if last is not None and at < last:
-                continue  # older than a beat that is known
-            if last is not None and limit is not None and not told and at - last > limit:
-                silent.append((last, limit))
-            last, limit, told = at, most if most >= 0 else None, False
-    elif limit is not None and not told:
-        silent.append((last, limit))
-        told = True
-    if limit is not None and not told:
-        due_ms = (last + limit) // 1000
-        if due_ms < state.getCurrentWatermarkMs():
-            silent.append((last, limit))
-            told = True
-        else:
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
-    state.update((last, limit, told))
-    if silent:
-        at = np.array([s[0] for s in silent], np.int64)
-        due = at + np.array([s[1] for s in silent], np.int64)
-        yield pd.DataFrame({"job": key[0], "fired_at": at.astype("datetime64[us]"), "due_at": due.astype("datetime64[us]")})
+    # dealt out by job once: neither the folding of equal times nor the window moves the rows again
+    rows, job = beats.withColumn("told", F.lit(False)), W.partitionBy("job")
+    if known is None:
+        rows = rows.repartition("job")
+    else:
+        rows = rows.withColumn("was", F.lit(None).cast("long")).unionByName(known.withColumn("was", F.col("at"))).repartition("job")
+        rows = rows.withColumn("was", F.max("was").over(job)).where("was IS NULL OR at >= was")
+    once = rows.groupBy("job", "at").agg(F.max("limit").alias("limit"), F.max("told").alias("told"))
+    return once.withColumn("next_at", F.lead("at").over(job.orderBy("at")))
 
 
 def silence_alerts(beats: DataFrame, out: str, checkpoint: str) -> None:
     """Tell each silence once: a beat (job, fired_at, interval_s) that no other follows within twice its interval.
 
-    Timers run on event time: an alert comes when the beats of any job show that the time is past, also when the silent job never
-    beats again. Batches are taken in time order; a beat older than what was seen of its job changes nothing.
+    An alert comes with the batch that shows the gap, or whose beats, of any job, show that the time is past, also when the silent
+    job never beats again. Batches are taken in time order; a beat older than what was seen of its job changes nothing. A job without
+    an interval stays silent. All jobs of a batch are judged by one window. A batch leaves the last beat of every job beside the
+    checkpoint (microseconds; whether its silence was told) and the next goes on from there. It writes only its own numbered
+    folders, so a retried batch overwrites itself.
     """
-    at = F.unix_micros("fired_at")
-    timed = beats.withWatermark("fired_at", "0 seconds").select(
-        "job", "fired_at", at.alias("at"), (F.col("interval_s").cast("long") * 2_000_000).alias("limit")
+    timed = beats.where("fired_at IS NOT NULL").select(
+        "job", F.unix_micros("fired_at").alias("at"), (F.col("interval_s").cast("long") * 2_000_000).alias("limit")
     )
-    alerts = timed.groupBy("job").applyInPandasWithState(
-        _watch, ALERT, "last long, limit long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-    def load(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    due = F.col("at") + F.col("limit")
+    open_end = F.col("next_at").isNull()
 
-    available_now(alerts.writeStream.outputMode("append").foreachBatch(load), checkpoint)
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.parquet(f"{checkpoint}-last/batch={batch_id - 1}") if batch_id > 0 else None
+        gap = ~F.col("told") & (F.col("next_at") > due)
+        walked_path = f"{checkpoint}-walked/batch={batch_id}"
+        _in_turn(batch, known).where(open_end | gap).write.mode("overwrite").parquet(walked_path)
+        walked = spark.read.parquet(walked_path)
+        # the latest beat of all is the last one of its own job
+        now = walked.where(open_end).agg(F.max("at")).first()[0]
+        past = F.coalesce(F.floor(due / 1000) < F.floor(F.lit(now).cast("long") / 1000), F.lit(False))
+        silent = walked.where(~open_end | (past & ~F.col("told")))
+        alerts = silent.select("job", F.timestamp_micros("at").alias("fired_at"), F.timestamp_micros(due).alias("due_at"))
+        alerts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = walked.where(open_end).select("job", "at", "limit", (F.col("told") | past).alias("told"))
+        last.write.mode("overwrite").parquet(f"{checkpoint}-last/batch={batch_id}")
+
+    available_now(timed.writeStream.outputMode("append").foreachBatch(watch), checkpoint)

@@ -189,3 +189,22 @@ def test_json_lines_are_written_compressed(spark, tmp_path, monkeypatch):
     assert rows and sum(r.docs for r in rows) > 0
     files = [f.name for f in (tmp_path / "jsonl").iterdir() if f.name.startswith("part-")]
     assert files and all(f.endswith(".gz") for f in files)
+
+
+def test_silences_without_a_task_per_job(spark, tmp_path, monkeypatch):
+    """Late, repeated and unlimited beats; no grouping in Python, whose cost grows with the number of jobs."""
+    start = dt.datetime(2024, 1, 1)
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", None)
+
+    def beat(job, minutes, interval):
+        return job, None if minutes is None else start + dt.timedelta(minutes=minutes), interval
+
+    parts = [
+        [beat("a", 0, 600), beat("b", 100, 600), beat("c", 90, None), beat("d", 95, 600), beat("d", None, 600)],
+        [beat("a", 0, 600), beat("b", 50, 600), beat("b", 100, 600), beat("c", 400, 600), beat("d", 100, 600), beat("d", 120, None)],
+        [beat("a", 500, 600), beat("d", 510, 600), beat("c", 420, 600)],
+    ]
+    stream = fed(spark, tmp_path, parts, "job string, fired_at timestamp, interval_s int")
+    jobs.silence_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = [(r.batch, r.job, (r.fired_at - start).seconds // 60) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [(0, "a", 0), (1, "b", 100), (2, "c", 420)]
