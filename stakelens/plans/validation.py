@@ -12,7 +12,7 @@ from stakelens.operators import validation as v
 from stakelens.operators.matching import in_islands, islands
 from stakelens.operators.splits import index_split, stable_flag, walk_forward_cells
 from stakelens.operators.stats import gate_pass, moments, roi_columns, stats_from_moments, steady_round, sums_where
-from stakelens.plans.adapters import PICK_TIES, boxscore, gate_sql, games, picks, quotes, roi_sql, round_sql, with_tables
+from stakelens.plans.adapters import PICK_TIES, gate_sql, games, listed_games, picks, player_lines, quotes, roi_sql, round_sql, with_tables
 from stakelens.plans.registry import ORACLES, query
 from stakelens.plans.scalars import _implied
 from stakelens.plans.sweeps import strategy_bets
@@ -334,23 +334,28 @@ def q_cluster_robust_ci(spark, sf):
     "FROM b LEFT JOIN a ON a.game_pk = b.game_pk GROUP BY 1",
 )
 def q_reconcile_two_ways(spark, sf):
-    from stakelens.operators.gamelog import team_runs
+    """Runs of each game by way of its teams' batters and by all lines that are no pitcher's.
 
-    box = boxscore(spark, sf)
-    by_team = team_runs(box).groupBy("game_pk").agg(F.sum("team_runs").alias("x"))
-    direct = box.groupBy("game_pk", F.year("game_date").alias("season")).agg(
-        F.sum(F.when(F.col("position_type") != "Pitcher", F.col("runs_scored"))).alias("y"),
-        F.sum("runs_scored").alias("z"),
+    A team whose runs are all unknown adds nothing, so the sum over teams is that over their batters: lines fold by game once, before the
+    games are met.
+    """
+    from stakelens.operators.gamelog import BATTERS
+
+    runs, kind = F.col("runs_scored"), F.col("position_type")
+    folded = player_lines(spark, sf).groupBy("game_pk").agg(
+        F.sum(F.when(kind.isin(*BATTERS), runs)).alias("x"), F.sum(F.when(kind != "Pitcher", runs)).alias("y"), F.sum(runs).alias("z")
     )
-    return (
-        direct.join(by_team, "game_pk", "left")
-        .groupBy("season")
-        .agg(
-            F.count(F.lit(1)).alias("games"),
-            F.count_if(F.col("x") != F.col("y")).alias("mismatched"),
-            F.count_if(F.col("x") != F.col("z")).alias("pitcher_runs_counted"),
-            F.count_if(F.col("x").isNull()).alias("unscored"),
-        )
+    days = listed_games(games(spark, sf).select("game_pk", F.year("game_date").alias("season")))
+    direct = (
+        days.join(folded, "game_pk")
+        .groupBy("game_pk", "season")
+        .agg(F.max(F.col("x") * F.col("listed")).alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"))
+    )
+    return direct.groupBy("season").agg(
+        F.count(F.lit(1)).alias("games"),
+        F.count_if(F.col("x") != F.col("y")).alias("mismatched"),
+        F.count_if(F.col("x") != F.col("z")).alias("pitcher_runs_counted"),
+        F.count_if(F.col("x").isNull()).alias("unscored"),
     )
 
 
