@@ -43,7 +43,7 @@ def same(spark, odd, name):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["reconcile_two_ways"])
+@pytest.mark.parametrize("name", ["reconcile_two_ways", "feature_corr", "weather_bins"])
 def test_lines_fold_before_the_join(spark, odd, name):
     plan = same(spark, odd, name)
     assert plan.count("Join ") == 1 and "Aggregate" in plan[plan.index("Join ") :]
