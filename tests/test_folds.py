@@ -48,3 +48,17 @@ def test_lines_fold_before_the_join(spark, odd, name):
     plan = same(spark, odd, name)
     assert plan.count("Join ") == 1 and "Aggregate" in plan[plan.index("Join ") :]
     assert sum("Relation" in line and "l_linenumber" in line for line in plan.splitlines()) == 1
+
+
+def test_quotes_are_typed_before_they_move(spark, odd):
+    """The join to the games carries numbers, and the pick of the main line no column twice."""
+    plan = same(spark, odd, "main_line")
+    quotes = plan[plan.index("Join Inner") :]
+    assert "AS best_under_odds" in quotes and "CAST" in quotes.upper() and "min_by" not in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["portfolio_blend", "policy_grading", "side_vote", "home_away_wide", "team_game_log", "grade_prop_market", "two_sided_expand"]
+)
+def test_folded_games_equal_sql(spark, odd, name):
+    same(spark, odd, name)
