@@ -28,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakelens.llm.common import checkpointed, conf_partitions, text_of
+from stakelens.llm.common import conf_partitions, text_of
+from stakelens.session import stored
 
 COPIES, LEVELS, DENSE, ENOUGH = 16, 22, 8, 24
 ROOM = 64
+PART_BITS = 11
+PARTS = 1 << PART_BITS
 _FLUSH = 2_000_000  # hashed terms held by a task before they are counted and passed on
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, COPIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RATE = np.uint64(64) - np.arange(1, LEVELS + 1, dtype=np.uint64)
@@ -47,31 +50,62 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", bucket_bits: int = 24) -> DataFrame:
-    """(term, n): the number of documents that hold each term, by its 64-bit hash; ``bucket_bits`` is kept for callers and unused."""
+    """(term, n): the number of documents that hold each term, by its 64-bit hash; ``bucket_bits`` is kept for callers and unused.
+
+    Each task counts its own terms and hands them on sorted, in one packed row for each of ``PARTS`` ranges of the hash; the rows of a
+    range are added up together.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def counted() -> pa.RecordBatch:
-            term, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
+            term, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            part = (term >> np.uint64(64 - PART_BITS)).astype(np.int32)
+            starts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+            packed = [_packed(term[a:b], n[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(part[starts[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
 
         for batch in batches:
             for value in batch.column(0):
-                held.append(_hashes(value.as_py() or "").view(np.int64))
+                held.append(_hashes(value.as_py() or ""))
                 size += len(held[-1])
                 if size >= _FLUSH:
                     yield counted()
                     held, size = [], 0
         yield counted()
 
-    return docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    def add(rows: pa.Table) -> pa.Table:
+        pieces = [_unpacked(p.as_py()) for p in rows["packed"]]
+        term, at = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[1] for p in pieces])).astype(np.int64)
+        return pa.table({"term": term.view(np.int64), "n": n})
+
+    return docs.select(text).mapInArrow(count, "part int, packed binary").groupBy("part").applyInArrow(add, "term long, n long")
+
+
+def _packed(term: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted terms and their counts, by planes of one byte: the high bytes of neighbours are alike and pack well."""
+    steps = np.diff(term, prepend=term[0]).astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = int(np.nonzero(steps.any(axis=0))[0].max(initial=0)) + 1
+    wide = int(n.max() > 255)
+    counts = n.astype("<u4" if wide else np.uint8).tobytes()
+    head = bytes([used, wide]) + len(term).to_bytes(4, "little") + int(term[0]).to_bytes(8, "little")
+    return head + steps[:, :used].T.tobytes() + counts
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    used, wide, size = raw[0], raw[1], int.from_bytes(raw[2:6], "little")
+    steps = np.zeros((size, 8), np.uint8)
+    steps[:, :used] = np.frombuffer(raw, np.uint8, size * used, 14).reshape(used, size).T
+    term = np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(int.from_bytes(raw[6:14], "little"))
+    return term, np.frombuffer(raw, "<u4" if wide else np.uint8, size, 14 + size * used)
 
 
 def lexicon(counts: DataFrame, documents: int, bucket_bits: int, least_documents: int, most_share: float) -> bytes:
     """A bit for each bucket: whether a term of it lies in the band. At least 2 ** bucket_bits bits."""
-    kept = checkpointed(counts.where((F.col("n") >= least_documents) & (F.col("n") <= most_share * documents)).select("term"))
+    kept = stored(counts.where((F.col("n") >= least_documents) & (F.col("n") <= most_share * documents)).select("term"), "lexicon")
     bucket_bits = max(bucket_bits, (ROOM * kept.count() - 1).bit_length())
     slice_bits = min(15, bucket_bits)
 

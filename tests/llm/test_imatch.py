@@ -81,3 +81,18 @@ def test_terms_of_one_bucket_keep_their_counts(spark):
     assert np.unpackbits(np.frombuffer(lexicon(counts, 40, 12, 2, 1.0), np.uint8)).sum() == 1
     wide = lexicon(counts, 40, 12, 1, 1.0)  # 16,001 terms get a filter of their size
     assert 8 * len(wide) >= 64 * 16_001
+
+
+def test_terms_travel_packed():
+    """Sorted hashes take with their counts under eight bytes each on their way, and come back exactly."""
+    from stakelens.llm.imatch import _packed, _unpacked
+
+    rng = np.random.default_rng(3)
+    for size, most in ((1, 2), (200, 3), (5000, 70_000)):
+        term = np.unique(rng.integers(1 << 60, (1 << 60) + (1 << 53), size, dtype=np.uint64))
+        n = rng.integers(1, most, len(term))
+        back, counts = _unpacked(_packed(term, n))
+        assert (back == term).all() and (counts == n).all()
+    assert len(_packed(term, np.ones(len(term), int))) < 8 * len(term)
+    edge = np.array([0, (1 << 64) - 1], np.uint64)
+    assert (_unpacked(_packed(edge, np.array([1, 2])))[0] == edge).all()
