@@ -37,7 +37,9 @@ PART_BITS = 11
 PARTS = 1 << PART_BITS
 _FLUSH = 2_000_000  # hashed terms held by a task before they are counted and passed on
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, COPIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_RATE = np.uint64(64) - np.arange(1, LEVELS + 1, dtype=np.uint64)
+_LEAST = np.uint64(1) << (np.uint64(64) - np.arange(LEVELS, 0, -1, dtype=np.uint64))  # a draw below the i-th last is kept at level i
+_DIGITS = np.array([f"{v:03x}".encode() for v in range(1 << 12)])
+_BATCH_CHARS = 1 << 19  # texts that are fingerprinted together
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -46,7 +48,7 @@ def _hashes(text: str) -> np.ndarray:
 
     of = xxhash.xxh64_intdigest
     words = set(text.lower().encode("utf-8", "replace").split())
-    return np.fromiter((of(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(of, words), np.uint64, len(words))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", bucket_bits: int = 24) -> DataFrame:
@@ -132,45 +134,72 @@ class Fingerprinter:
 
     def of(self, text: str) -> np.ndarray:
         """A number for each level and subset: 0 nothing kept, 0xFFF too dense, else a hash of what is kept."""
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> np.ndarray:
+        """The numbers of many texts, by array work over the terms of all of them."""
         import xxhash
 
-        out = np.zeros((LEVELS, COPIES), np.uint16)
-        terms = _hashes(text)
+        hashes = [_hashes(text) for text in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
+        terms = np.concatenate([np.empty(0, np.uint64), *hashes])
         bucket = terms & self._mask
-        kept = terms[(self._in[bucket >> np.uint64(3)] << (bucket & np.uint64(7)).astype(np.uint8)) & 128 > 0]
-        kept = np.sort(kept if len(kept) else terms)
+        band = (self._in[bucket >> np.uint64(3)] << (bucket & np.uint64(7)).astype(np.uint8)) & 128 > 0
+        band |= (np.bincount(owner[band], minlength=len(texts)) == 0)[owner]
+        terms, owner = terms[band], owner[band]
+        size = np.bincount(owner, minlength=len(texts))
+        out = np.zeros((len(texts), LEVELS, COPIES), np.uint16)
+        dense = size[:, None] >> np.arange(1, LEVELS) > DENSE  # the sparsest level always counts
+        out[:, :-1][dense] = 0xFFF
+        first = dense.sum(axis=1)[owner]
+        most = _LEAST[LEVELS - 1 - first]
+        found = []  # of the terms drawn at the first level that counts: text, subset, number of levels, term
+        for copy in range(COPIES):
+            drawn = terms * _MIX[copy]
+            drawn ^= drawn >> np.uint64(32)
+            drawn *= np.uint64(0x9E3779B97F4A7C15)
+            at = np.nonzero(drawn < most)[0]
+            levels = LEVELS - np.searchsorted(_LEAST, drawn[at], side="right") - first[at]
+            found.append((owner[at] * (LEVELS * COPIES) + first[at] * COPIES + copy, levels, terms[at]))
+        place, levels, kept = (np.concatenate(c) for c in zip(*found))
         if not len(kept):
             return out
-        drawn = kept[:, None] * _MIX[None, :]
-        drawn ^= drawn >> np.uint64(32)
-        drawn *= np.uint64(0x9E3779B97F4A7C15)
-        for level in range(LEVELS):
-            if len(kept) >> (level + 1) > DENSE and level < LEVELS - 1:
-                out[level] = 0xFFF
-                continue
-            row, copy = np.nonzero(drawn < np.uint64(1) << _RATE[level])
-            if not len(row):
-                break  # the subsets of the next levels lie within these
-            order = np.argsort(copy, kind="stable")
-            row, copy = row[order], copy[order]
-            starts = np.concatenate([[0], np.nonzero(np.diff(copy))[0] + 1, [len(copy)]])
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                out[level, copy[a]] = xxhash.xxh32_intdigest(kept[row[a:b]].tobytes()) % 0xFFE + 1
+        ends = np.cumsum(levels)
+        deeper = np.arange(ends[-1]) - np.repeat(ends - levels, levels)  # a term drawn at a level is so at all before it
+        place, kept = np.repeat(place, levels) + deeper * COPIES, np.repeat(kept, levels)
+        order = np.lexsort((kept, place))
+        place, raw = place[order], memoryview(kept[order].tobytes())
+        starts = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1])
+        cuts = [*(8 * starts).tolist(), len(raw)]
+        of = xxhash.xxh32_intdigest
+        told = np.fromiter((of(raw[a:b]) for a, b in zip(cuts, cuts[1:])), np.uint32, len(starts))
+        out.reshape(-1)[place[starts]] = told % 0xFFE + 1
         return out
 
 
+def as_texts(prints: np.ndarray) -> list[str]:
+    """Three hex digits for each number, a text for each fingerprint."""
+    digits = _DIGITS[prints.reshape(len(prints), -1)]
+    return [row.tobytes().decode("ascii") for row in digits]
+
+
 def as_text(print_: np.ndarray) -> str:
-    return "".join([f"{v:03x}" for v in print_.ravel().tolist()])
+    return as_texts(print_[None])[0]
+
+
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Likeness of each fingerprint of ``a`` to that of ``b``, 0 to 1."""
+    usable = ((a != 0) | (b != 0)) & (a != 0xFFF) & (b != 0xFFF)
+    seen = usable.sum(axis=2)[:, ::-1].cumsum(axis=1)
+    equal = (usable & (a == b)).sum(axis=2)[:, ::-1].cumsum(axis=1)
+    at = np.minimum((seen < ENOUGH).sum(axis=1), LEVELS - 1)[:, None]
+    seen, equal = np.take_along_axis(seen, at, 1)[:, 0], np.take_along_axis(equal, at, 1)[:, 0]
+    return np.where((a == b).all(axis=(1, 2)), 1.0, equal / np.maximum(seen, 1))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Likeness of two fingerprints, 0 to 1."""
-    if (a == b).all():
-        return 1.0
-    usable = ((a != 0) | (b != 0)) & (a != 0xFFF) & (b != 0xFFF)
-    seen, equal = usable.sum(axis=1)[::-1].cumsum(), (usable & (a == b)).sum(axis=1)[::-1].cumsum()
-    at = min(int(np.searchsorted(seen, ENOUGH)), LEVELS - 1)
-    return float(equal[at] / seen[at]) if seen[at] else 0.0
+    return float(likenesses(a[None], b[None])[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -238,27 +267,41 @@ def fingerprint_documents(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(shared.value)
         rows = chain.from_iterable(zip(*(batch.column(i) for i in range(4))) for batch in batches)
-        out: list[tuple] = []
-        before = None  # the row that waits for its next document: (deal, id, text, fingerprint)
+        ids: list[int | None] = []
+        texts: list[str] = []
+        firsts: list[int] = []  # places of the documents whose next one stands behind them
+        known = np.empty((0, LEVELS, COPIES), np.uint16)  # fingerprint of the text carried over
+        size, waits = 0, None  # waits: the run of the row whose next one is still to come
+
+        def compared() -> pa.RecordBatch:
+            nonlocal known
+            changed = [edited(texts[i], texts[i + 1]) for i in firsts]
+            made = maker.of_all(texts[len(known) :] + changed)
+            prints, after = np.concatenate([known, made[: len(texts) - len(known)]]), made[len(texts) - len(known) :]
+            known, before = prints[-1:], prints[firsts]
+            columns = (
+                [ids[i] for i in firsts], [len(texts[i]) for i in firsts],
+                [hashlib.sha256(c.encode("utf-8", "replace")).hexdigest() for c in changed], as_texts(before),
+                as_texts(after), likenesses(before, after), likenesses(before, prints[[i + 1 for i in firsts]]),
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
         for row in chain(rows, [None]):
             if row is not None:
                 deal, lends, doc_id, text = (v.as_py() for v in row)
-                if lends and (before is None or before[0] != deal):
+                if lends and waits != deal:
                     continue  # one more row of the id that already closed this run
-                now = (None if lends else deal, doc_id, text, maker.of(text))
-                if before is not None:
-                    changed = edited(before[2], text)
-                    print_ = maker.of(changed)
-                    out.append((
-                        before[1], len(before[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), as_text(before[3]),
-                        as_text(print_), likeness(before[3], print_), likeness(before[3], now[3]),
-                    ))
-                before = None if lends else now
-            if out and (row is None or len(out) >= 1000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))],
-                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
-                out = []
+                if waits is not None:
+                    firsts.append(len(texts) - 1)
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                waits = None if lends else deal
+            if firsts and (row is None or size >= _BATCH_CHARS):
+                yield compared()
+                ids, texts, firsts, size = ids[-1:], texts[-1:], [], 0
 
     return _in_order(docs).mapInArrow(walk, schema)

@@ -96,3 +96,61 @@ def test_terms_travel_packed():
     assert len(_packed(term, np.ones(len(term), int))) < 8 * len(term)
     edge = np.array([0, (1 << 64) - 1], np.uint64)
     assert (_unpacked(_packed(edge, np.array([1, 2])))[0] == edge).all()
+
+
+def test_many_texts_at_once():
+    """Fingerprints made together equal a plain loop over levels and subsets, and cost little beside the hashing of the words."""
+    import time
+
+    import xxhash
+
+    from stakelens.llm import imatch
+
+    def loop(text, band):
+        out = np.zeros((imatch.LEVELS, imatch.COPIES), int)
+        terms = imatch._hashes(text)
+        kept = sorted([t for t in terms.tolist() if band(t)] or terms.tolist())
+        for level in range(imatch.LEVELS):
+            for copy in range(imatch.COPIES):
+                drawn = [(t * int(imatch._MIX[copy])) % (1 << 64) for t in kept]
+                drawn = [((x ^ (x >> 32)) * 0x9E3779B97F4A7C15) % (1 << 64) for x in drawn]
+                some = [t for t, x in zip(kept, drawn) if x < 1 << (63 - level)]
+                if len(kept) >> (level + 1) > imatch.DENSE and level < imatch.LEVELS - 1:
+                    out[level, copy] = 0xFFF
+                elif some:
+                    out[level, copy] = xxhash.xxh32_intdigest(np.array(some, np.uint64).tobytes()) % 0xFFE + 1
+        return out
+
+    rng = np.random.default_rng(5)
+    texts = ["", "one", " ", *[" ".join(f"w{i}" for i in rng.integers(0, 9000, n)) for n in (2, 9, 10, 40, 300, 2000)], "one"]
+    for bits, band in ((b"\xff" * 128, lambda t: True), (b"\x00" * 128, lambda t: False), (b"\xaa" * 128, lambda t: t % 2 == 0)):
+        prints = Fingerprinter(bits).of_all(texts)
+        assert all((p == loop(t, band)).all() for t, p in zip(texts, prints))
+        assert imatch.as_texts(prints) == ["".join(f"{v:03x}" for v in p.ravel().tolist()) for p in prints]
+        plainly = [[likeness(a, b) for b in prints] for a in prints]
+        assert (np.array(plainly) == [imatch.likenesses(np.repeat(a[None], len(prints), 0), prints) for a in prints]).all()
+
+    many, maker = [" ".join(f"w{i}" for i in rng.integers(0, 90_000, 400)) for _ in range(150)], Fingerprinter(b"\xff" * 128)
+
+    def cost(work):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            work()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert cost(lambda: imatch.as_texts(maker.of_all(many))) < 3.5 * cost(lambda: [imatch._hashes(t) for t in many])
+
+
+def test_batches_carry_the_last_text(spark, monkeypatch):
+    """Cut into batches or not, the rows are the same."""
+    from stakelens.llm import imatch
+
+    rows = [(i if i % 7 else None, f"word{i % 5} " * (i % 11) + f"tail{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = Counter(map(tuple, fingerprint_documents(docs, bucket_bits=16).collect()))
+    monkeypatch.setattr(imatch, "_BATCH_CHARS", 1)
+    walk = fingerprint_documents(docs, bucket_bits=16)
+    assert Counter(map(tuple, walk.collect())) == whole
+    assert Counter((k, n, sha) for k, n, sha, *_ in whole.elements()) == Counter(plain(rows))
