@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakelens.llm.common import conf_partitions, text_of
+from stakelens.llm.common import conf_partitions, packed_bits, text_of
 from stakelens.session import stored
 
 COPIES, LEVELS, DENSE, ENOUGH = 16, 22, 8, 24
@@ -109,22 +109,7 @@ def lexicon(counts: DataFrame, documents: int, bucket_bits: int, least_documents
     """A bit for each bucket: whether a term of it lies in the band. At least 2 ** bucket_bits bits."""
     kept = stored(counts.where((F.col("n") >= least_documents) & (F.col("n") <= most_share * documents)).select("term"), "lexicon")
     bucket_bits = max(bucket_bits, (ROOM * kept.count() - 1).bit_length())
-    slice_bits = min(15, bucket_bits)
-
-    def pack(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << slice_bits, np.uint8)
-        bits[rows["term"].to_numpy() & ((1 << slice_bits) - 1)] = 1
-        return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    bucket = F.col("term").bitwiseAND(F.lit((1 << bucket_bits) - 1))
-    parts = kept.select(F.shiftright(bucket, slice_bits).alias("part"), "term").groupBy("part").applyInArrow(
-        pack, "part long, bits binary"
-    )
-    size = (1 << slice_bits) // 8
-    out = bytearray((1 << bucket_bits) // 8)
-    for row in parts.collect():
-        out[row.part * size : (row.part + 1) * size] = row.bits
-    return bytes(out)
+    return packed_bits(kept, bucket_bits)
 
 
 class Fingerprinter:

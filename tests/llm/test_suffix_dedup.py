@@ -85,3 +85,32 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op8_suffix_arrays"](spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
+def test_what_stands_alone_does_not_travel(spark):
+    """Of texts that share nothing, neither the bytes nor the runs go through a shuffle; the few that share still lose their passage."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n))
+    passage = text(900)
+    rows = [(i, text(4000), "x") for i in range(120)] + [(1000 + i, text(300) + passage + text(300), "x") for i in range(4)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = made(spark, rows)
+    assert written() - before < sum(len(t) for _, t, _ in rows) // 2
+    assert got == plain([r[:2] for r in rows]) and sum(r[2] for r in got) == 4 * 900
+
+
+def test_key_filter_loses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from stakelens.llm.common import key_filter
+
+    keys = spark.range(5000).select(F.xxhash64("id").alias("v"))
+    others = spark.range(5000, 30_000).select(F.xxhash64("id").alias("v"))
+    for most_bits, share in ((29, 0.06), (12, 1.0)):  # a full filter lets others pass and still loses none
+        may = key_filter(keys, most_bits)
+        assert keys.where(may(F.col("v"))).count() == 5000
+        assert others.where(may(F.col("v"))).count() <= share * 25_000
+    edges = spark.createDataFrame([(0,), (-1,), (-(1 << 63),), ((1 << 63) - 1,)], "v long")
+    assert edges.where(key_filter(edges)(F.col("v"))).count() == 4
+    assert edges.where(key_filter(edges.limit(0))(F.col("v"))).count() == 0
