@@ -108,7 +108,7 @@ def q_ml_market_pit(spark, sf):
     """All eight markets on nine point-in-time features; the last quarter of every year is held out."""
     sides = stored(with_features(prop_sides(spark, sf).unionByName(game_market_sides(spark, sf)), spark, sf), "sides")
     split = index_split(sides, ["market", "season"], "game_date", ["game_pk", "side", "tie"], [0.75])
-    rows = m.model_rows(split, PIT, ["market"])
+    rows = m.model_rows(split, PIT, ["market"], apart=["market", "part_no"])
     states = checkpointed(m.market_states(rows, "market", catalogue(spark, PIT_MARKETS)))
     return market_report(rows, states, dict.fromkeys(PIT_MARKETS, PIT))
 
@@ -132,7 +132,7 @@ def history_states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     history = typed_history(a.pick_history(spark, sf))
     factors = prefixed(history, "score_")
     split = index_split(history, ["market"], "game_date", _HISTORY_TIES, [0.75])
-    rows = m.model_rows(split, factors, ["market"])
+    rows = m.model_rows(split, factors, ["market"], apart=["market", "part_no"])
     kept = checkpointed(coverage(rows, ["market"], factors).where("keep").select("market", "factor"))
     return rows, checkpointed(m.market_states(rows, "market", catalogue(spark, a.MARKETS), least_part=0)), kept
 
@@ -212,7 +212,7 @@ def quote_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     markets, sides = quote_sides(spark, sf)
     priced = stored(with_features(sides, spark, sf), "sides")
     split = index_split(priced, ["market"], "game_date", ["game_pk", "side", "tie"], [0.75])
-    rows = m.model_rows(split, PIT, ["market"])
+    rows = m.model_rows(split, PIT, ["market"], apart=["part_no"])
     return rows, checkpointed(m.market_states(rows, "market", markets))
 
 
@@ -264,7 +264,7 @@ def seeded_rows(spark, sf) -> tuple[DataFrame, list[str]]:
     split = index_split(picks, ["market", "season"], "game_date", a.PICK_TIES, [0.75])
     weights = {f"weight_{s}": F.expr(seed_weight(s)) for s in SEEDS}
     rows = split.withColumn("market_prob", implied_prob("odds")).withColumns(weights)
-    return m.model_rows(rows, features, ["market", *weights]), features
+    return m.model_rows(rows, features, ["market", *weights], apart=["part_no"]), features
 
 
 @query(
@@ -297,12 +297,16 @@ def q_ml_seed_refits(spark, sf):
     """Spread over refits: the same split, another resampling and another seed each; ``split_verdict`` tells that they disagree."""
     rows, features = seeded_rows(spark, sf)
     train, test = rows.where("part_no = 0"), rows.where("part_no = 1")
+    weights = {s: f"weight_{s}" for s in SEEDS}
+    # one fold for all refits: what differs between them is the weight of each cell
+    inputs, n = m.inputs_of(train, features, fold=True)
+    cells = m.folded(train, inputs, list(weights.values()))
 
     def fit_one(seed: int):
-        weight = f"weight_{seed}"
-        return m.fit(train.where(F.col(weight) > 0), features, seed=seed, rounds=ROUNDS, weight=weight)
+        some = m.packed(cells.where(F.col(weights[seed]) > 0), n)
+        return m.Fitted(inputs, m.boosted_trees(seed, ROUNDS, weight=weights[seed]).fit(some))
 
-    fitted = m.fit_all(spark, fit_one, SEEDS, train.count())
+    fitted = m.fit_all(spark, fit_one, SEEDS, cells.count())
     for seed, model in zip(SEEDS, fitted):
         test = m.scored(model, test, f"prob_{seed}")
     runs = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"prob_{s}").alias("model_prob")) for s in SEEDS])
