@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakelens.llm.common import checkpointed
+from stakelens.session import stored
 
-_LEAF = 48
+_LEAF = 256
 _LOWEST = -(1 << 62)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -83,19 +84,26 @@ class Best:
         self.score = np.full((n, k), _LOWEST, np.int64)
         self.id = np.full((n, k), _NO_ID, np.int64)
 
-    def take(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Merge a block of scores (rows x candidates)."""
-        if score.shape[1] > 4 * self.k:
-            # all candidates that reach the kth score of the block stay, ties included
-            kth = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
-            keep = (score >= np.maximum(kth, self.score[rows, -1])[:, None]).any(axis=0)
-            score, ids = score[:, keep], ids[keep]
-        all_score = np.concatenate([self.score[rows], score], axis=1)
-        all_id = np.concatenate([self.id[rows], np.broadcast_to(ids, score.shape)], axis=1)
-        all_id[all_score == _LOWEST] = _NO_ID
-        order = np.lexsort((all_id, -all_score), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(all_score, order, 1)
-        self.id[rows] = np.take_along_axis(all_id, order, 1)
+    def take(self, rows: np.ndarray, score: np.ndarray, own: np.ndarray, ids: np.ndarray) -> None:
+        """Merge a block of scores (rows x candidates); ``own`` holds the ids of the rows, which are no candidates of their own."""
+        least = self.score[rows, -1]
+        if score.shape[1] > 4 * self.k and (new := least == _LOWEST).any():
+            # nothing is known of these rows: what falls below the kth other candidate of the block stays out
+            dense = np.where(own[new][:, None] == ids[None, :], _LOWEST, score[new])
+            least[new] = np.partition(dense, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k]
+        row, col = np.nonzero(score >= least[:, None])  # equal scores may enter by their id
+        other = own[row] != ids[col]
+        row, col = row[other], col[other]
+        if not len(row):
+            return
+        hit = np.unique(row)
+        all_row = np.concatenate([row, np.repeat(hit, self.k)])
+        all_score = np.concatenate([score[row, col].astype(np.int64), self.score[rows[hit]].ravel()])
+        all_id = np.concatenate([ids[col], self.id[rows[hit]].ravel()])
+        order = np.lexsort((all_id, -all_score, all_row))
+        starts = np.searchsorted(all_row[order], hit)
+        best = order[starts[:, None] + np.arange(self.k)]  # each row has its own k entries at least
+        self.score[rows[hit]], self.id[rows[hit]] = all_score[best], all_id[best]
 
 
 def _most(dot: float, radius_a: float, norm_a: float, radius_b: float, norm_b: float) -> float:
@@ -106,7 +114,7 @@ def _most(dot: float, radius_a: float, norm_a: float, radius_b: float, norm_b: f
 
 def _scores(a: np.ndarray, b: np.ndarray, small: bool) -> np.ndarray:
     """Exact products of rows; ``small``: all sums are exact as doubles."""
-    return np.rint(a @ b.T).astype(np.int64) if small else a.astype(np.int64) @ b.astype(np.int64).T
+    return a @ b.T if small else a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, best: Best) -> None:
@@ -128,9 +136,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         kids_q, kids_p = left.children[q], right.children[p]
         if not kids_q and not kids_p:
             there = right.order[slice(*right.span[p])]
-            score = _scores(queries[rows], points[there], small)
-            score[query_ids[rows][:, None] == ids[there][None, :]] = _LOWEST
-            best.take(rows, score, ids[there])
+            best.take(rows, _scores(queries[rows], points[there], small), query_ids[rows], ids[there])
         elif kids_p and (not kids_q or right.radius[p] >= left.radius[q]):
             stack.extend(sorted((bound(q, c), q, c) for c in kids_p))
         else:
@@ -196,18 +202,33 @@ def _dealt(rows: DataFrame, centres: np.ndarray, most_rows: int, salt: str) -> t
     return parts.select("vec_id", "v", "shard", "part"), ball
 
 
+def _visits(
+    pairs: list[tuple[int, ...]], sizes: dict[tuple[int, int], int], asking_rows: int
+) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """(task, group) and (task, part) of the pairs: the groups that visit a part share its task until they hold ``asking_rows`` queries."""
+    visits, tasks, asked = [], [], {}
+    for s, g, t, part in pairs:
+        task, held = asked.get((t, part), (-1, asking_rows))
+        if held >= asking_rows:
+            task, held = len(tasks), 0
+            tasks.append((task, t, part))
+        visits.append((task, s, g))
+        asked[t, part] = task, held + sizes[s, g]
+    return visits, tasks
+
+
 def top_inner_products(
     vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding",
-    shard_rows: int = 8192, most_shards: int = 2048, group_rows: int = 1024, part_rows: int = 32_768,
+    shard_rows: int = 8192, most_shards: int = 2048, group_rows: int = 1024, part_rows: int = 32_768, asking_rows: int = 16_384,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every query row, exactly.
 
     Centres come from a sample of at most ``16 * most_shards`` vectors; every vector is dealt to its nearest centre, a shard with
-    more than ``part_rows`` rows in parts, queries in groups of about ``group_rows``. Of query rows that share an id
-    the smallest vector asks.
+    more than ``part_rows`` rows in parts, queries in groups of about ``group_rows``. A part meets all groups that visit it in one task, or in
+    one for each ``asking_rows`` queries, so it travels and grows its tree once. Of query rows that share an id the smallest vector asks.
     """
     spark = vectors.sparkSession
-    rows = whole_numbers(vectors, is_query, vec_id, embedding, scale)
+    rows = stored(whole_numbers(vectors, is_query, vec_id, embedding, scale), "vectors")
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -222,26 +243,29 @@ def top_inner_products(
     def search(asking: pa.Table, there: pa.Table) -> pa.Table:
         q_ids, p_ids = asking["q_id"].to_numpy(), there["p_id"].to_numpy()
         best = Best(len(q_ids), k)
-        best.score[:, -1] = asking["least"].to_numpy()  # lower scores are out, equal ones may still enter
+        best.score[:] = asking["least"].to_numpy()[:, None]  # lower scores are out
         dual_search(_matrix(asking["q_v"]), q_ids, _matrix(there["p_v"]), p_ids, best)
         row, col = np.nonzero(best.id != _NO_ID)
         return pa.table({"query_id": q_ids[row], "vec_id": best.id[row, col], "score": best.score[row, col]})
 
-    def searched(pairs: list[tuple[int, ...]], known: DataFrame) -> DataFrame:
+    def searched(pairs: list[tuple[int, ...]], known: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
         """What the given pairs of query group and shard part hold."""
         if not pairs:
             return spark.createDataFrame([], "query_id long, vec_id long, score long")
-        numbered = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair int, qs int, qg int, ps int, pp int")
-        left = known.join(numbered, (F.col("shard") == F.col("qs")) & (F.col("part") == F.col("qg")))
-        right = points.join(numbered, (F.col("shard") == F.col("ps")) & (F.col("part") == F.col("pp")))
-        asking = left.select(F.col("pair").alias("q_pair"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), "least")
-        there = right.select(F.col("pair").alias("p_pair"), F.col("vec_id").alias("p_id"), F.col("v").alias("p_v"))
-        return asking.groupBy("q_pair").cogroup(there.groupBy("p_pair")).applyInArrow(
+        visits, tasks = _visits(pairs, sizes, asking_rows)
+        groups = spark.createDataFrame(visits, "task int, qs int, qg int")
+        parts = spark.createDataFrame(tasks, "task int, ps int, pp int")
+        left = known.join(F.broadcast(groups), (F.col("shard") == F.col("qs")) & (F.col("part") == F.col("qg")))
+        right = points.join(F.broadcast(parts), (F.col("shard") == F.col("ps")) & (F.col("part") == F.col("pp")))
+        asking = left.select(F.col("task").alias("q_task"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), "least")
+        there = right.select(F.col("task").alias("p_task"), F.col("vec_id").alias("p_id"), F.col("v").alias("p_v"))
+        return asking.groupBy("q_task").cogroup(there.groupBy("p_task")).applyInArrow(
             search, "query_id long, vec_id long, score long"
         )
 
     home = [(*g, *p) for g in sorted(radius_q) for p in sorted(radius_p) if p[0] == g[0]]
-    first = checkpointed(searched(home, queries.withColumn("least", F.lit(_LOWEST))))
+    sizes = {(r.shard, r.part): r["count"] for r in queries.groupBy("shard", "part").count().collect()}
+    first = checkpointed(searched(home, queries.withColumn("least", F.lit(_LOWEST)), sizes))
     scores = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.array_sort(F.collect_list("score")).alias("s"))
     least = scores.where(F.size("s") >= k).select("vec_id", (F.element_at("s", -k) - 1).alias("least"))
     known = checkpointed(queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(_LOWEST))))
@@ -251,7 +275,7 @@ def top_inner_products(
         for (t, part), r_p in sorted(radius_p.items()):
             if t != s and _most(float(centres[s] @ centres[t]), r_q, norms[s], r_p, norms[t]) >= worst[s, g]:
                 rest.append((s, g, t, part))
-    found = first.unionByName(searched(rest, known))
+    found = first.unionByName(searched(rest, known, sizes))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
     best = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("best")).select("query_id", F.posexplode("best").alias("p", "x"))
     return best.select(

@@ -73,3 +73,25 @@ def test_tree_covers_and_prunes():
     for q in range(50):
         order = np.lexsort((ids, -score[q]))[:5]
         assert (best.id[q] == order).all() and (best.score[q] == score[q][order]).all()
+
+
+def test_a_part_meets_its_groups_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from stakelens.llm.cover_tree import _visits
+
+    pairs = [(s, 0, t, p) for s in range(5) for t in range(3) for p in range(2)]
+    visits, tasks = _visits(pairs, {(s, 0): 10 for s in range(5)}, 1000)
+    assert sorted((t, p) for _, t, p in tasks) == [(t, p) for t in range(3) for p in range(2)]  # not once for each of the five groups
+    assert len(visits) == len(pairs)
+    visits, tasks = _visits(pairs, {(s, 0): 10 for s in range(5)}, 20)
+    held = [sum(10 for v in visits if v[0] == task) for task, *_ in tasks]
+    assert max(held) <= 20 and sum(held) == 10 * len(pairs)
+    where = {task: (t, p) for task, t, p in tasks}
+    assert sorted((s, g, *where[task]) for task, s, g in visits) == sorted(pairs)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(F32(x)) for x in rng.normal(0, 1, 3)]) for i in range(0, 9000, 10)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for most in (7, 16_384):
+        got = top_inner_products(vectors, F.col("vec_id") % 100 == 0, shard_rows=80, group_rows=5, part_rows=40, asking_rows=most).collect()
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == plain(rows)
