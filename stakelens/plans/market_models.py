@@ -93,12 +93,15 @@ def game_market_sides(spark, sf) -> DataFrame:
 def prop_sides(spark, sf) -> DataFrame:
     """Both sides of each player's main line, all player markets."""
     ties = ["book_id", "quote_ref", "slot"]
-    main = main_line(graded_props(spark, sf), ["market_key", "game_pk", "name_norm"], "best_over_odds", ties)
-    return both_sides(main, "stat").withColumnsRenamed({"market_key": "market", "name_norm": "tie"}).select(*_PIT_ROW)
+    # a market has one role, so it splits no group, and the rows are grouped where the join has put them
+    props = graded_props(spark, sf).select("market_key", "game_pk", "name_norm", "role", "line", "stat", "best_over_odds", "best_under_odds", *ties)
+    main = main_line(props, ["market_key", "game_pk", "name_norm", "role"], "best_over_odds", ties).drop("role", *ties)
+    return both_sides(stored(main, "main", tidy=True), "stat").withColumnsRenamed({"market_key": "market", "name_norm": "tie"}).select(*_PIT_ROW)
 
 
 def with_features(sides: DataFrame, spark, sf) -> DataFrame:
-    joined = sides.join(feature_table(spark, sf), "game_pk")
+    # features and sides are each made and kept first, so that their shuffle files are not on disk together
+    joined = sides.join(stored(feature_table(spark, sf), "features", tidy=True), "game_pk")
     side = F.when(F.col("side") == "under", 1.0).otherwise(0.0)
     return joined.withColumns({"side_code": side, "market_prob": implied_prob("odds")})
 
@@ -106,7 +109,7 @@ def with_features(sides: DataFrame, spark, sf) -> DataFrame:
 @query("ml_market_pit")
 def q_ml_market_pit(spark, sf):
     """All eight markets on nine point-in-time features; the last quarter of every year is held out."""
-    sides = stored(with_features(prop_sides(spark, sf).unionByName(game_market_sides(spark, sf)), spark, sf), "sides")
+    sides = stored(with_features(prop_sides(spark, sf).unionByName(game_market_sides(spark, sf)), spark, sf), "sides", tidy=True)
     split = index_split(sides, ["market", "season"], "game_date", ["game_pk", "side", "tie"], [0.75])
     rows = m.model_rows(split, PIT, ["market"], apart=["market", "part_no"])
     states = checkpointed(m.market_states(rows, "market", catalogue(spark, PIT_MARKETS)))
@@ -201,7 +204,7 @@ _OUTS_BOX = (
 def quote_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(quoted markets, priced sides with a result) of all quote documents."""
     flat = ns.flatten_quotes(ns.parse(quote_docs(spark, sf), "doc", ns.QUOTE_DOC)).withColumnRenamed("market_key", "market")
-    best = stored(ns.consensus(flat, ["market", "event_id", "game_pk", "player_name"]), "consensus")
+    best = stored(ns.consensus(flat, ["market", "event_id", "game_pk", "player_name"]), "consensus", tidy=True)
     priced = best.withColumns({f"{s}_odds": decimal_to_american(f"best_{s}") for s in ("over", "under")})
     outs = spark.sql(_OUTS_BOX.format(source="{lines}"), lines=table(spark, sf, "lineitem"))
     sides = both_sides(priced.join(outs, ["market", "game_pk", "player_name"]), "stat", "over_odds", "under_odds")
@@ -210,7 +213,7 @@ def quote_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def quote_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
     markets, sides = quote_sides(spark, sf)
-    priced = stored(with_features(sides, spark, sf), "sides")
+    priced = stored(with_features(sides, spark, sf), "sides", tidy=True)
     split = index_split(priced, ["market"], "game_date", ["game_pk", "side", "tie"], [0.75])
     rows = m.model_rows(split, PIT, ["market"], apart=["part_no"])
     return rows, checkpointed(m.market_states(rows, "market", markets))
